@@ -7,6 +7,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+INTERVAL = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -64,13 +67,13 @@ def exact_interval(events: np.ndarray, trials: np.ndarray, alpha: float = 0.05):
     return lower, upper
 
 
-@F.pandas_udf("lower double, upper double")
+@F.pandas_udf(INTERVAL)
 def clopper_pearson(events: pd.Series, trials: pd.Series) -> pd.DataFrame:
     lower, upper = exact_interval(events.to_numpy(), trials.to_numpy())
     return pd.DataFrame({"lower": lower, "upper": upper})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(events: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Series:
     """P(Binomial(trials, p) >= events)."""
     x, n = events.to_numpy(dtype=float), trials.to_numpy(dtype=float)
@@ -78,7 +81,7 @@ def binomial_tail(events: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Seri
     return pd.Series(np.where(x <= 0, 1.0, np.where(x > n, 0.0, value)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0))).astype(float)
@@ -100,7 +103,7 @@ def bernoulli_sum_tail(p: np.ndarray, counts: np.ndarray, observed: int) -> floa
     return float(min(1.0, pmf[max(int(observed), 0):].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def poisson_binomial_tail(p: pd.Series, counts: pd.Series, observed: pd.Series) -> float:
     """Grouped aggregate over (probability, count) rows already collapsed by Spark."""
     return bernoulli_sum_tail(p.to_numpy(), counts.to_numpy(), int(observed.iloc[0]))

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from drawloom.plans.catalog import canonical, series  # noqa: F401
+from drawloom.plans.catalog import canonical, scoring, series  # noqa: F401
