@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import unit_uniform
+from drawloom.session import spread
 
 TINY = float(2**-53)
 
@@ -15,7 +16,7 @@ def rank_numbers(scores: DataFrame, keys: list[str], score: str = "score", **ext
     """(keys, ranked, weights): numbers by falling score, ties to the smaller; weights in number order."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col("number").alias("n"))))
     weights = F.array_sort(F.collect_list(F.struct(F.col("number").alias("n"), F.col(score).alias("w"))))
-    out = scores.groupBy(*keys).agg(pairs.alias("_p"), weights.alias("_w"), *[c.alias(n) for n, c in extra.items()])
+    out = spread(scores, *keys).groupBy(*keys).agg(pairs.alias("_p"), weights.alias("_w"), *[c.alias(n) for n, c in extra.items()])
     return out.select(
         *keys,
         *extra,
@@ -66,8 +67,12 @@ def weighted_line(weights: Column, *seed) -> Column:
 
 
 def distinct_lines(line_of_attempt, budget: int, attempts: int | None = None, first: Column | None = None) -> Column:
-    """The first ``budget`` distinct lines over numbered attempts; ``first`` is put in front when given."""
-    tries = attempts or 2 * budget + 8
+    """The first ``budget`` distinct lines over numbered attempts; ``first`` is put in front when given.
+
+    Repeats are rare in pools of 30 or more (four spare attempts); pass more ``attempts`` for a small pool.
+    A portfolio that still falls short shows up in ``validate.portfolio_check``.
+    """
+    tries = attempts or budget + 4
     lines = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), line_of_attempt)
     if first is not None:
         lines = F.concat(F.array(first), lines)
@@ -89,39 +94,51 @@ def explode_lines(portfolios: DataFrame, lines: str = "lines") -> DataFrame:
     return portfolios.select(*keys, F.size(lines).alias("budget"), F.posexplode(lines).alias("line_index", "mains"))
 
 
-def study_portfolios(scored: DataFrame, digest: str) -> DataFrame:
-    """All source-method portfolios of each target.
+MARGINAL_METHODS = ("top6", "weighted", "coverage5", "coverage10")
+UNIFORM_METHODS = ("random1", "random5", "random10")
+HEURISTICS = ("hot", "cold", "overdue")
+
+
+def study_portfolios(scored: DataFrame, digest: str, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """Portfolios of each target for the wanted methods (all by default).
 
     ``scored`` has series keys, draw_date, max_input_date, pool, number, source and score. Marginal sources
-    give top6, weighted, coverage5, coverage10; heuristic sources carry one method each; uniform lines need no score.
+    give top6, weighted, coverage5, coverage10; heuristic sources carry one method each. Uniform lines need no
+    score and ride on the row of the first heuristic, so the draws are not read again.
     """
+    wanted = methods or (*MARGINAL_METHODS, *UNIFORM_METHODS, *HEURISTICS)
     keys = ["game", "rule_code", "draw_date", "source"]
     ranked = rank_numbers(scored, keys, pool=F.max("pool"), max_input_date=F.max("max_input_date"))
     target = F.concat_ws(":", "game", F.col("draw_date").cast("string"))
+    numbers = F.col("ranked")
 
     def option(method, lines):
         return F.struct(F.lit(method).alias("method"), lines.alias("lines"))
 
-    weighted = weighted_line(F.col("weights"), digest, F.concat_ws(":", "source", F.lit("weighted")), target)
-    marginal = F.array(
-        option("top6", F.array(top_line(F.col("ranked")))),
-        option("weighted", F.array(weighted)),
-        option("coverage5", coverage_lines(F.col("ranked"), 5)),
-        option("coverage10", coverage_lines(F.col("ranked"), 10)),
+    makers = {
+        "top6": lambda: F.array(top_line(numbers)),
+        "weighted": lambda: F.array(weighted_line(F.col("weights"), digest, F.concat_ws(":", "source", F.lit("weighted")), target)),
+        "coverage5": lambda: coverage_lines(numbers, 5),
+        "coverage10": lambda: coverage_lines(numbers, 10),
+    }
+    empty = F.array().cast("array<struct<method:string,lines:array<array<int>>>>")
+    marginal = [option(m, makers[m]()) for m in MARGINAL_METHODS if m in wanted]
+    uniform = [
+        option(m, uniform_portfolio(F.col("pool"), int(m[6:]), digest, m, target)) for m in UNIFORM_METHODS if m in wanted
+    ]
+    source = F.col("source")
+    own = F.array(F.struct(source.alias("method"), F.array(top_line(numbers)).alias("lines")))
+    heuristic = F.when(source.isin(*wanted), own).otherwise(empty)
+    options = (
+        F.when(source == HEURISTICS[0], F.concat(heuristic, F.array(*uniform)) if uniform else heuristic)
+        .when(source.isin(*HEURISTICS), heuristic)
+        .otherwise(F.array(*marginal) if marginal else empty)
     )
-    heuristic = F.array(F.struct(F.col("source").alias("method"), F.array(top_line(F.col("ranked"))).alias("lines")))
-    rule_based = F.col("source").isin("hot", "cold", "overdue")
-    uniform = F.array(*[option(f"random{b}", uniform_portfolio(F.col("pool"), b, digest, f"random{b}", target)) for b in (1, 5, 10)])
-    # The uniform lines ride on one row per target instead of a second pass over the draws.
-    anchor = F.col("source") == "cold"
-    options = F.when(anchor, F.concat(heuristic, uniform)).when(rule_based, heuristic).otherwise(marginal)
     flat = ranked.select("game", "rule_code", "draw_date", "max_input_date", "pool", "source", F.explode(options).alias("o"))
-    source = (
-        F.when(F.col("o.method").startswith("random"), "uniform").when(rule_based, "heuristic").otherwise(F.col("source"))
-    )
-    return flat.select(
-        "game", "rule_code", "draw_date", "max_input_date", "pool", source.alias("source"), "o.method", "o.lines"
+    label = (
+        F.when(F.col("o.method").isin(*UNIFORM_METHODS), "uniform").when(source.isin(*HEURISTICS), "heuristic").otherwise(source)
     )
+    return flat.select("game", "rule_code", "draw_date", "max_input_date", "pool", label.alias("source"), "o.method", "o.lines")
 
 
 def heuristic_scores(features: DataFrame, marginals: dict[str, str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import match_probability, match_tail, overlap
 from drawloom.functions.tails import clopper_pearson, normal_tail, poisson_binomial_tail
+from drawloom.session import spread
 
 EPSILON = 1e-15
 
@@ -64,16 +65,9 @@ def parity(lines: DataFrame) -> DataFrame:
         F.count("*").alias("rows"), F.countDistinct("line_index").alias("indices"), F.max("line_index").alias("top")
     )
     whole = (F.col("rows") == F.col("indices")) & (F.col("indices") == F.col("budget")) & (F.col("top") == F.col("budget") - 1)
-    population = portfolio.select(*slot).distinct().agg(F.count("*").alias("population"))
-    per_policy = portfolio.groupBy("policy").agg(
-        F.count("*").alias("slots"), F.count_if(~whole).alias("broken_portfolios")
-    )
-    total = population.select("population").withColumn("_one", F.lit(1))
-    # One-row side: the population count of a global aggregate.
-    return (
-        per_policy.withColumn("_one", F.lit(1))
-        .join(total, "_one")
-        .select("policy", "slots", "broken_portfolios", (F.col("slots") == F.col("population")).alias("covers_all"))
+    population = portfolio.select(*slot).distinct().agg(F.count("*")).scalar()
+    return portfolio.groupBy("policy").agg(F.count("*").alias("slots"), F.count_if(~whole).alias("broken_portfolios")).withColumn(
+        "covers_all", F.col("slots") == population
     )
 
 
@@ -138,49 +132,39 @@ def subset_masks(numbers: Column) -> Column:
     every = F.aggregate(
         numbers,
         F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.transform(acc, lambda m: m.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), n)))),
+        lambda acc, n: F.concat(acc, F.transform(acc, lambda m: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), n)))),
     )
     return F.filter(every, lambda m: m != 0)
 
 
-def portfolio_chance(structures: DataFrame, outcomes: DataFrame, buckets: int = 64) -> DataFrame:
+def portfolio_chance(structures: DataFrame, outcomes: DataFrame) -> DataFrame:
     """For each distinct structure: share of outcomes with a line matching 3+, and moments of the best match.
 
     Two lines share m numbers exactly when they share a subset of size m and none larger, so portfolio and
-    outcome meet by an equi-join on subset masks: only real matches are produced, never all pairs. The outcome's
-    bucket is part of the key, which spreads the few popular subsets (single numbers) over many tasks.
+    outcome meet by an equi-join on subset masks: only real matches are produced, never all pairs. Even the
+    most popular mask, a single number, holds a small share of the rows.
     """
-    # Spread by bucket on both sides; an outcome lives in exactly one bucket.
-    subsets = (
-        structures.select("structure", F.explode("structure").alias("line"))
-        .select("structure", F.explode(subset_masks(F.col("line"))).alias("mask"))
-        .distinct()
-        .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    )
-    drawn = outcomes.select(
-        "outcome_id",
-        F.pmod(F.xxhash64("outcome_id"), F.lit(buckets)).cast("int").alias("bucket"),
-        F.explode(subset_masks(F.col("mains"))).alias("mask"),
-    )
-    best = (
-        subsets.join(drawn, ["mask", "bucket"])
-        .groupBy("structure", "outcome_id")
-        .agg(F.max(F.bit_count("mask")).alias("best"))
+    # 128 hash bits stand for the nested array while it is joined and grouped.
+    distinct = structures.select("structure").distinct().withColumn("a", F.xxhash64("structure")).withColumn(
+        "b", F.xxhash64(F.lit("second"), "structure")
     )
-    sums = best.groupBy("structure").agg(
+    # A structure stays in one partition, so when Spark can broadcast the outcomes the best match of each
+    # pair is settled where it arises, without another shuffle.
+    masks = F.array_distinct(F.flatten(F.transform("structure", subset_masks)))
+    subsets = spread(distinct, "a", "b").select("a", "b", F.explode(masks).alias("mask"))
+    drawn = outcomes.select("outcome_id", F.explode(subset_masks(F.col("mains"))).alias("mask"))
+    best = subsets.join(drawn, "mask").groupBy("a", "b", "outcome_id").agg(F.max(F.bit_count("mask")).alias("best"))
+    sums = best.groupBy("a", "b").agg(
         F.count_if(F.col("best") >= 3).alias("_hits"),
         F.sum("best").alias("_sum"),
         F.sum(F.col("best") * F.col("best")).alias("_squares"),
     )
-    total = outcomes.agg(F.count("*").alias("outcomes")).withColumn("_one", F.lit(1))
+    total = outcomes.agg(F.count("*")).scalar()
     n = F.col("outcomes")
     mean = F.coalesce("_sum", F.lit(0)) / n
     return (
-        structures.select("structure")
-        .distinct()
-        .join(sums, "structure", "left")
-        .withColumn("_one", F.lit(1))
-        .join(total, "_one")
+        distinct.join(sums, ["a", "b"], "left")
+        .withColumn("outcomes", total)
         .select(
             "structure",
             "outcomes",

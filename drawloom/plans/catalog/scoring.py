@@ -38,8 +38,8 @@ SELECT game, draw_date, budget, line_index, mains FROM (
           SELECT t.game, t.draw_date, b.budget, a.attempt, n.number,
             {uniform("'" + DIGEST + "'", "'random' || b.budget", _TARGET, "CAST(b.budget AS VARCHAR)", "CAST(a.attempt AS VARCHAR)", "CAST(n.number AS VARCHAR)")} AS u
           FROM (SELECT game, draw_date FROM week_pop WHERE draw_idx >= {WARMUP}) t, (VALUES (1), (5), (10)) b(budget),
-            (SELECT range AS attempt FROM range(0, 28)) a, (SELECT CAST(range AS INT) AS number FROM range(1, 48)) n
-          WHERE a.attempt < 2 * b.budget + 8) x) y WHERE place <= 6 GROUP BY 1, 2, 3, 4) z GROUP BY 1, 2, 3, 4) w) v
+            (SELECT range AS attempt FROM range(0, 14)) a, (SELECT CAST(range AS INT) AS number FROM range(1, 48)) n
+          WHERE a.attempt < b.budget + 4) x) y WHERE place <= 6 GROUP BY 1, 2, 3, 4) z GROUP BY 1, 2, 3, 4) w) v
 WHERE line_index < budget
 """
 _WEIGHT_KEY = uniform("'" + DIGEST + "'", "'frequency:weighted'", _TARGET, "CAST(t.number AS VARCHAR)")
@@ -67,12 +67,12 @@ def scored(spark, d):
     return lines.heuristic_scores(rows)
 
 
-def portfolios(spark, d):
-    return lines.study_portfolios(scored(spark, d), DIGEST)
+def portfolios(spark, d, methods=None):
+    return lines.study_portfolios(scored(spark, d), DIGEST, methods)
 
 
-def study_lines(spark, d):
-    return lines.explode_lines(portfolios(spark, d).select("game", "draw_date", "max_input_date", "pool", "source", "method", "lines"))
+def study_lines(spark, d, methods=None):
+    return lines.explode_lines(portfolios(spark, d, methods).select("game", "draw_date", "max_input_date", "pool", "source", "method", "lines"))
 
 
 def matched(spark, d):
@@ -107,7 +107,7 @@ def coverage_lines(spark, d):
     "SELECT game, draw_date, method, mains FROM study_lines WHERE source = 'heuristic'",
 )
 def heuristic_lines(spark, d):
-    return study_lines(spark, d).filter("source = 'heuristic'")
+    return study_lines(spark, d, lines.HEURISTICS)
 
 
 @query(
@@ -116,7 +116,7 @@ def heuristic_lines(spark, d):
     "SELECT game, draw_date, budget, line_index, mains FROM uniform_lines",
 )
 def uniform_portfolio(spark, d):
-    return study_lines(spark, d).filter("source = 'uniform'")
+    return study_lines(spark, d, lines.UNIFORM_METHODS)
 
 
 @query(
@@ -125,7 +125,7 @@ def uniform_portfolio(spark, d):
     "SELECT game, draw_date, mains FROM weighted_lines",
 )
 def weighted_line(spark, d):
-    return study_lines(spark, d).filter("method = 'weighted'")
+    return study_lines(spark, d, ("weighted",))
 
 
 @query(
@@ -287,28 +287,37 @@ def canonical_text(column="structure"):
 
 def spread_portfolios(spark, d):
     """Coverage portfolios (one shared overlap structure per budget) and the top lines."""
-    return portfolios(spark, d).filter(F.col("method").isin("top6", "coverage5", "coverage10", "hot", "cold", "overdue", "weighted"))
+    return portfolios(spark, d, (*lines.MARGINAL_METHODS, *lines.HEURISTICS))
 
 
-RELATIONS["chance_by_structure"] = """
-SELECT budget, avg(CAST(best >= 3 AS INT)) AS chance, avg(best) AS match_mean, var_pop(best) AS match_variance FROM (
-  SELECT c.budget, o.outcome_id, max(len(list_intersect(c.mains, o.mains))) AS best FROM (
-    SELECT budget, list_sort(list(CAST(v.p + 1 AS INT))) AS mains FROM (
-      SELECT b.budget, k.k, (6 * k.k + (6 * k.k) // 47 + i.i) % 47 AS p FROM (VALUES (5), (10)) b(budget), range(0, 10) k(k), range(0, 6) i(i) WHERE k.k < b.budget) v
-    GROUP BY budget, v.k) c, given_outcomes o GROUP BY 1, 2) x GROUP BY 1
+RELATIONS["line_structures"] = """
+SELECT game, draw_date, method, list_sort(list(line)) AS lines, array_to_string(list_sort(list(line)), '|') AS structure FROM (
+  SELECT game, draw_date, method, line_index, list_sort(list(label)) AS line FROM (
+    SELECT u.game, u.draw_date, u.method, u.line_index, CAST(f.label AS INT) AS label FROM
+      (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE method IN ('coverage5', 'coverage10')) u
+      JOIN (SELECT game, draw_date, method, number, row_number() OVER (PARTITION BY game, draw_date, method ORDER BY min(line_index * 100 + number)) AS label
+            FROM (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE method IN ('coverage5', 'coverage10')) v GROUP BY 1, 2, 3, 4) f
+      USING (game, draw_date, method, number)) x GROUP BY 1, 2, 3, 4) y GROUP BY 1, 2, 3
+"""
+RELATIONS["structure_chance"] = """
+SELECT structure, count(*) AS outcomes, avg(CAST(best >= 3 AS INT)) AS chance, avg(best) AS match_mean, var_pop(best) AS match_variance FROM (
+  SELECT s.structure, o.outcome_id, max(len(list_intersect(s.line, o.mains))) AS best FROM
+    (SELECT structure, unnest(lines) AS line FROM (SELECT structure, any_value(lines) AS lines FROM line_structures GROUP BY 1) z) s, given_outcomes o GROUP BY 1, 2) x
+GROUP BY 1
 """
 
 
 @query(
     "C23_portfolio_chance",
-    "lines:i outcomes:i chance:f match_mean:f match_variance:f",
-    None,
+    "structure:s outcomes:i chance:f match_mean:f match_variance:f",
+    """SELECT replace(structure, ', ', ' ') AS structure, outcomes, chance, match_mean, match_variance FROM
+       (SELECT translate(structure, '[]', '') AS structure, outcomes, chance, match_mean, match_variance FROM structure_chance) t""",
 )
 def portfolio_chance(spark, d):
     tagged = spread_portfolios(spark, d).withColumn("structure", scoring.canonical_structure(F.col("lines")))
     distinct = tagged.filter(F.size("lines") > 1).select("structure").distinct()
     table = scoring.portfolio_chance(distinct, given_outcomes(spark, d))
-    return table.withColumn("lines", F.size("structure"))
+    return table.withColumn("structure", canonical_text())
 
 
 def outcome_table(spark, d):
@@ -325,6 +334,25 @@ def study_summary(spark, d):
     return scoring.study_summary(outcome_table(spark, d))
 
 
+_P3 = "75249.0 / 3579191.0"  # exact chance that one line of a pool of 47 matches three or more
+
+
+@query(
+    "D17_study_rates",
+    "source:s method:s lines:i draws:i hits_3_plus:i rate:f expected_rate:f lift:f hits_5_plus:i mean_matches:f expected_matches:f match_lift:f",
+    f"""WITH r AS (SELECT l.source, l.method, l.game, l.draw_date, max(l.budget) AS lines, max(l.matched) AS best FROM scored_lines l
+         WHERE l.source <> 'uniform' GROUP BY 1, 2, 3, 4),
+       c AS (SELECT r.*, CASE WHEN r.lines = 1 THEN {_P3} ELSE s.chance END AS chance, CASE WHEN r.lines = 1 THEN 36.0 / 47 ELSE s.match_mean END AS mean
+         FROM r LEFT JOIN line_structures t ON t.game = r.game AND t.draw_date = r.draw_date AND t.method = r.method LEFT JOIN structure_chance s ON s.structure = t.structure)
+       ;; SELECT source, method, max(lines) AS lines, count(*) AS draws, count(*) FILTER (WHERE best >= 3) AS hits_3_plus,
+       count(*) FILTER (WHERE best >= 3) / count(*) AS rate, avg(chance) AS expected_rate, count(*) FILTER (WHERE best >= 3) / count(*) / avg(chance) AS lift,
+       count(*) FILTER (WHERE best >= 5) AS hits_5_plus, avg(best) AS mean_matches, avg(mean) AS expected_matches, sum(best) / sum(mean) AS match_lift
+       FROM c GROUP BY 1, 2""",
+)
+def study_rates(spark, d):
+    return scoring.study_summary(outcome_table(spark, d))
+
+
 @query(
     "D18_yearly_rates",
     "source:s method:s year:i draws:i hits_3_plus:i rate:f",
@@ -351,8 +379,8 @@ def any_line_hit(spark, d):
 @query(
     "G4_line_intersection",
     "game:s draw_date:s previous:i bonus_hit:i",
-    """SELECT game, draw_date, len(list_intersect(mains, lag(mains) OVER (PARTITION BY game ORDER BY draw_date))) AS previous,
-       CAST(list_contains(lag(mains) OVER (PARTITION BY game ORDER BY draw_date), bonus) AS INT) AS bonus_hit FROM day_draws""",
+    """SELECT game, draw_date, CASE WHEN p IS NOT NULL THEN len(list_intersect(mains, p)) END AS previous, CAST(list_contains(p, bonus) AS INT) AS bonus_hit
+       FROM (SELECT *, lag(mains) OVER (PARTITION BY game ORDER BY draw_date) AS p FROM day_draws) x""",
 )
 def line_intersection(spark, d):
     from pyspark.sql import Window

@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
 }
 
@@ -56,3 +57,12 @@ def cut_lineage(df):
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys):
+    """Hash-partition by keys over the session's full shuffle width.
+
+    For rows that are small in bytes but cost much CPU: adaptive execution would coalesce them by size
+    into a few tasks. A later group-by on the same keys reuses the partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
