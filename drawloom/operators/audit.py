@@ -126,9 +126,8 @@ def full_audit(assessed: DataFrame, bound_rules: DataFrame, ranges: DataFrame, e
             F.when(F.coalesce("included", F.lit(0)) == 0, "zero_eligible_draws"),
         )
     )
-    return joined.drop("_unverified").withColumn("warnings", warnings).withColumn("blocking", blocking).withColumn(
-        "snapshot_ready", F.size("blocking") == 0
-    )
+    coded = joined.withColumn("warnings", warnings).withColumn("blocking", blocking).drop("_unverified")
+    return coded.withColumn("snapshot_ready", F.size("blocking") == 0)
 
 
 def select_lineage(observations: DataFrame, draws: DataFrame, enrichment: DataFrame) -> DataFrame:
