@@ -72,10 +72,13 @@ def published_date(text: Column) -> Column:
     """First of the accepted layouts that parses: ISO, ``dd-MM-yyyy``, ``dd/MM/yy`` or ``12th March 2001``."""
     plain = F.regexp_replace(F.trim(text), r"(\d)(st|nd|rd|th)\b", "$1")
     long_form = F.regexp_extract(plain, r"(\d{1,2} [A-Z][a-z]+ \d{4})", 1)
+    short = F.try_to_date(plain, "dd/MM/yy")
+    # Two-digit years 69..99 belong to the last century.
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
     return F.coalesce(
         F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(plain, "yyyy-MM-dd")),
         F.when(plain.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(plain, "dd-MM-yyyy")),
-        F.when(plain.rlike(r"^\d{2}/\d{2}/\d{2}$"), F.try_to_date(plain, "dd/MM/yy")),
+        F.when(plain.rlike(r"^\d{2}/\d{2}/\d{2}$"), short),
         F.when(long_form != "", F.try_to_date(long_form, "d MMMM yyyy")),
     )
 

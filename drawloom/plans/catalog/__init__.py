@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from drawloom.plans.catalog import audit, canonical, inference, scoring, series  # noqa: F401
+from drawloom.plans.catalog import audit, canonical, inference, prospective, scoring, series, validation  # noqa: F401

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from drawloom.operators import features, intervals
 from drawloom.plans import relations as rel
 from drawloom.plans.registry import query
+from drawloom.plans.relations_sql import RELATIONS
 
 _ALL = (
     "game:s rule_code:s draw_idx:i draw_date:s max_input_date:s number:i hit:i freq_10:f freq_25:f freq_50:f freq_100:f recency:f never_seen:f "
@@ -146,26 +147,30 @@ def pooled_training_rows(spark, d):
     )
 
 
+RELATIONS["holiday_gaps"] = """
+WITH easter AS (SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM range(1990, 2010) t(y)),
+       easter2 AS (SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS l FROM easter),
+       easter3 AS (SELECT y, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS n FROM easter2),
+       easter4 AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS e FROM easter3),
+       hol AS (SELECT unnest([make_date(y, 1, 1), make_date(y, 3, 17), make_date(y, 12, 25), make_date(y, 12, 26), e - 2, e + 1,
+           make_date(y, 5, 1) + CAST((8 - isodow(make_date(y, 5, 1))) % 7 AS INT), make_date(y, 6, 1) + CAST((8 - isodow(make_date(y, 6, 1))) % 7 AS INT),
+           make_date(y, 8, 1) + CAST((8 - isodow(make_date(y, 8, 1))) % 7 AS INT), make_date(y, 10, 31) - CAST(isodow(make_date(y, 10, 31)) - 1 AS INT)]) AS day FROM easter4)
+SELECT d.draw_date, min(abs(date_diff('day', d.draw_date, h.day))) AS gap FROM (SELECT DISTINCT draw_date FROM week_draws) d, hol h GROUP BY 1
+"""
+
 _CONTEXT = [c for g in features.CONTEXT_GROUPS.values() for c in g]
 
 
 @query(
     "E17_draw_context",
     "game:s draw_date:s " + " ".join(f"{c}:f" for c in _CONTEXT) + " context_missing:f",
-    """WITH /*RECURSIVE*/ easter AS (SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM range(1990, 2010) t(y)),
-       easter2 AS (SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS l FROM easter),
-       easter3 AS (SELECT y, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS n FROM easter2),
-       easter4 AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS e FROM easter3),
-       hol AS (SELECT unnest([make_date(y, 1, 1), make_date(y, 3, 17), make_date(y, 12, 25), make_date(y, 12, 26), e - 2, e + 1,
-           make_date(y, 5, 1) + CAST((8 - isodow(make_date(y, 5, 1))) % 7 AS INT), make_date(y, 6, 1) + CAST((8 - isodow(make_date(y, 6, 1))) % 7 AS INT),
-           make_date(y, 8, 1) + CAST((8 - isodow(make_date(y, 8, 1))) % 7 AS INT), make_date(y, 10, 31) - CAST(isodow(make_date(y, 10, 31)) - 1 AS INT)]) AS day FROM easter4),
-       wide AS (SELECT game, draw_date, max(CASE WHEN tier = 'Match 6' THEN winners END) AS won, max(CASE WHEN tier = 'Match 3' THEN winners END) AS m3,
+    """WITH wide AS (SELECT game, draw_date, max(CASE WHEN tier = 'Match 6' THEN winners END) AS won, max(CASE WHEN tier = 'Match 3' THEN winners END) AS m3,
            max(CASE WHEN tier = 'Match 4' THEN amount END) AS m4, max(CASE WHEN tier = 'Match 5' THEN amount END) AS m5 FROM prize_facts GROUP BY 1, 2),
        base AS (SELECT p.*, w.won, w.m3, w.m4, w.m5, c.jackpot FROM week_pop p LEFT JOIN wide w USING (game, draw_date) LEFT JOIN context_rows c USING (game, draw_date)),
        win AS (SELECT *, max(CASE WHEN won IS NULL THEN draw_idx END) OVER p AS unk, max(CASE WHEN won > 0 THEN draw_idx END) OVER p AS wi,
            max(CASE WHEN won > 0 THEN draw_date END) OVER p AS wd, lag(m3) OVER s AS pm3, lag(m4) OVER s AS pm4, lag(m5) OVER s AS pm5
          FROM base WINDOW p AS (PARTITION BY game ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY game ORDER BY draw_date)),
-       near AS (SELECT d.draw_date, min(abs(date_diff('day', d.draw_date, h.day))) AS gap FROM (SELECT DISTINCT draw_date FROM week_pop) d, hol h GROUP BY 1),
+       near AS (SELECT * FROM holiday_gaps),
        vals AS (SELECT w.game, w.draw_date, CASE WHEN jackpot > 0 THEN log10(CAST(jackpot AS DOUBLE)) END AS a,
            CASE WHEN NOT coalesce(unk > coalesce(wi, -1), FALSE) THEN draw_idx - coalesce(wi, -1) - 1 END AS b,
            CASE WHEN NOT coalesce(unk > coalesce(wi, -1), FALSE) THEN date_diff('day', wd, w.draw_date) END AS c,
@@ -174,7 +179,7 @@ _CONTEXT = [c for g in features.CONTEXT_GROUPS.values() for c in g]
        ;; SELECT game, draw_date, coalesce(a, 0) AS jackpot_log10, coalesce(b, 0) AS rollovers, coalesce(c, 0) AS days_since_jackpot_won,
        g AS days_to_holiday, CASE WHEN g <= 3 THEN 1 ELSE 0 END AS holiday_window, coalesce(e, 0) AS prev_match3_winners_log10,
        coalesce(f, 0) AS prev_match4_prize_log10, coalesce(k, 0) AS prev_match5_prize_log10,
-       CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR e IS NULL OR f IS NULL OR k IS NULL THEN 1 ELSE 0 END AS context_missing FROM vals""".replace("/*RECURSIVE*/ ", ""),
+       CASE WHEN a IS NULL OR b IS NULL OR c IS NULL OR e IS NULL OR f IS NULL OR k IS NULL THEN 1 ELSE 0 END AS context_missing FROM vals""",
 )
 def draw_context(spark, d):
     return features.context_table(rel.population(spark, d), rel.prize_facts(spark, d), rel.context_rows(spark, d))
@@ -183,6 +188,7 @@ def draw_context(spark, d):
 @query(
     "H6_holiday_distance",
     "draw_date:s days_to_holiday:i",
+    "SELECT draw_date, gap AS days_to_holiday FROM holiday_gaps",
 )
 def holiday_distance(spark, d):
     return features.days_to_holiday(rel.draws(spark, d).select("draw_date").distinct())
