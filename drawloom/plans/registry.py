@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from drawloom.plans.relations_sql import RELATIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, str]] = {}
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -77,7 +77,12 @@ def query(name: str, spec: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = lambda spark, sf_dir: shape(fn(spark, sf_dir), spec)
         if sql is not None:
-            ORACLES[name] = oracle_text(spec, sql)
+            _TWINS[name] = (spec, sql)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """SQL twins, built after all modules have named their relations."""
+    return {name: oracle_text(spec, sql) for name, (spec, sql) in _TWINS.items()}

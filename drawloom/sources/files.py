@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 from drawloom import schemas
 from drawloom.operators.validate import check_curated, check_observations
 
-FILE = F.col("_metadata.file_path")
+FILE = "_metadata.file_path"
 NUMBERS = [f"n{i}" for i in range(1, 7)]
 OPTIONAL = ("bonus", "jackpot", "currency", "jackpotWinners")
 
 
+def below(path: Column, root: str) -> Column:
+    """Path of a file relative to the folder it was found in (any scheme or mount point before it is dropped)."""
+    return F.substring_index(path, root.rstrip("/").split("/")[-1] + "/", -1)
+
+
 def mark_bad_files(rows: DataFrame, bad: Column, reason: str = "bad_file") -> DataFrame:
     """Adds ``reject``: set on every row of a file that holds a bad row."""
     flagged = rows.withColumn("_row_bad", F.coalesce(bad, F.lit(True)))
@@ -34,7 +39,7 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"Draw export lacks columns {sorted(absent)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_bad")])
     reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    raw = reader.option("columnNameOfCorruptRecord", "_bad").csv(path).select("*", FILE.alias("file"))
+    raw = reader.option("columnNameOfCorruptRecord", "_bad").csv(path).select("*", F.col(FILE).alias("file"))
     for name in OPTIONAL:
         if name not in header:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
@@ -72,13 +77,14 @@ def empty_files(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(rows.select("file").distinct(), "file", "left_anti")
 
 
-def observation_files(spark: SparkSession, path: str, artifacts: DataFrame) -> DataFrame:
+def observation_files(spark: SparkSession, root: str, artifacts: DataFrame) -> DataFrame:
     """JSON observation files. Each record's host must be its artifact's host; ``file:`` addresses must be equal.
 
-    ``artifacts`` maps ``file`` (name) to ``url``.
+    ``artifacts`` maps ``file`` (path below the root) to ``url``.
     """
-    raw = spark.read.schema(schemas.OBSERVATION_FILE).option("multiLine", True).json(path)
-    named = raw.select(F.element_at(F.split(FILE, "/"), -1).alias("file"), F.explode("observations").alias("o"))
+    reader = spark.read.schema(schemas.OBSERVATION_FILE).option("multiLine", True).option("recursiveFileLookup", True)
+    raw = reader.json(root)
+    named = raw.select(below(F.col(FILE), root).alias("file"), F.explode("observations").alias("o"))
     rows = check_observations(named.select("file", "o.*")).join(artifacts.select("file", "url"), "file", "left")
     host, own = F.try_parse_url("url", F.lit("HOST")), F.try_parse_url("source_url", F.lit("HOST"))
     local = F.col("url").startswith("file:")
@@ -98,7 +104,7 @@ def journal_rows(spark: SparkSession, path: str, pool: int = 42) -> DataFrame:
     Any malformed line rejects its file. Lines come from Spark's text source, so a file is split over tasks
     only where line numbers are not needed; here each file is read whole to number its lines.
     """
-    whole = spark.read.option("wholetext", True).text(path).select("value", FILE.alias("file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col(FILE).alias("file"))
     lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     fields = F.split(F.trim("line"), r"\s+")
     rows = lines.filter(F.trim("line") != "").select("file", (F.col("pos") + 1).alias("source_row"), fields.alias("f"))
@@ -160,8 +166,7 @@ def wide_metrics(table: DataFrame, metrics: dict[str, tuple[str, str]], year: st
 def evidence_bodies(spark: SparkSession, root: str) -> DataFrame:
     """(path below the root, sha256, size) of every body; each executor hashes the files it reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("body_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("size"))
+    return files.select(below(F.col("path"), root).alias("body_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("size"))
 
 
 def artifact_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -215,13 +220,13 @@ def batch_rejects(**parts: DataFrame) -> DataFrame:
     return out
 
 
-def study_results(spark: SparkSession, paths: list[str], schema: str, fmt: str = "parquet") -> DataFrame:
-    """Result tables of several study folders with the folder as ``study``."""
+def study_results(spark: SparkSession, paths: list[str], schema: str, fmt: str = "parquet", depth: int = 2) -> DataFrame:
+    """Result tables of several study folders; the folder ``depth`` levels above the file end names the ``study``."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
     rows = reader.format(fmt).load(paths)
-    return rows.select("*", F.element_at(F.split(FILE, "/"), -2).alias("study"))
+    return rows.select("*", F.element_at(F.split(F.col(FILE), "/"), -depth).alias("study"))
 
 
 def adapter(url: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import canonical_json
+from drawloom.session import cut_lineage
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -52,8 +53,7 @@ def append_keyed(incoming: DataFrame, path: str, keys: list[str], payload: list[
     spark = incoming.sparkSession
     like = incoming.withColumn("payload_hash", F.lit("").cast("string"))
     fresh, rejects = plan_append(incoming, stored(spark, path, like.select(*keys, *[c for c in like.columns if c not in keys])), keys, payload)
-    rejects = rejects.persist()
-    rejects.count()  # judged against the ledger as it was before the append
+    rejects = cut_lineage(rejects)  # judged against the ledger as it was before the append
     fresh.write.mode("append").parquet(path)
     return rejects
 
