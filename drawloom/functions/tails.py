@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 INTERVAL = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+_lgamma_each = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _lgamma(values) -> np.ndarray:
+    return np.asarray(_lgamma_each(values), dtype=float)
 
 
 def beta_cdf(a, b, x) -> np.ndarray:
@@ -22,9 +26,9 @@ def beta_cdf(a, b, x) -> np.ndarray:
     inside = (z > 0.0) & (z < 1.0)
     safe = np.where(inside, z, 0.5)
     log_front = (
-        _lgamma(p + q).astype(float)
-        - _lgamma(p).astype(float)
-        - _lgamma(q).astype(float)
+        _lgamma(p + q)
+        - _lgamma(p)
+        - _lgamma(q)
         + p * np.log(safe)
         + q * np.log1p(-safe)
     )
@@ -97,7 +101,7 @@ def bernoulli_sum_tail(p: np.ndarray, counts: np.ndarray, observed: int) -> floa
         if value >= 1.0:
             factor = (k == n).astype(float)
         else:
-            log_choose = math.lgamma(n + 1) - (_lgamma(k + 1) + _lgamma(n - k + 1)).astype(float)
+            log_choose = math.lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1)
             factor = np.exp(log_choose + k * math.log(value) + (n - k) * math.log1p(-value))
         pmf = np.convolve(pmf, factor)
     return float(min(1.0, pmf[max(int(observed), 0):].sum()))

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from drawloom.plans.catalog import audit, canonical, inference, learning, prospective, scoring, series, sources, validation  # noqa: F401
+from drawloom.plans.catalog import audit, canonical, inference, learning, prospective, scoring, series, sources, streams, validation  # noqa: F401
