@@ -108,6 +108,6 @@ def bernoulli_sum_tail(p: np.ndarray, counts: np.ndarray, observed: int) -> floa
 
 
 @F.pandas_udf(T.DoubleType())
-def poisson_binomial_tail(p: pd.Series, counts: pd.Series, observed: pd.Series) -> float:
-    """Grouped aggregate over (probability, count) rows already collapsed by Spark."""
-    return bernoulli_sum_tail(p.to_numpy(), counts.to_numpy(), int(observed.iloc[0]))
+def poisson_binomial_tail(p: pd.Series, counts: pd.Series, hits: pd.Series) -> float:
+    """Grouped aggregate over (probability, trials, hits) rows already collapsed by Spark."""
+    return bernoulli_sum_tail(p.to_numpy(), counts.to_numpy(), int(hits.sum()))

@@ -57,13 +57,19 @@ def feature_table(draws: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     w = Window.partitionBy(*SERIES, "number").orderBy("draw_idx")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     last_seen = F.last(F.when(F.col("hit") == 1, F.col("draw_idx")), ignorenulls=True).over(past)
-    framed = hits.select(
+    counted = hits.select(
         "*",
-        *[F.avg("hit").over(w.rowsBetween(-n, -1)).alias(f"freq_{n}") for n in WINDOWS],
         last_seen.alias("_last"),
-        F.sum("hit").over(past).alias("_count"),
+        F.coalesce(F.sum("hit").over(past), F.lit(0)).alias("_count"),
         *[F.lag("hit", k).over(w).alias(f"_lag_{k}") for k in (1, 2, 3)],
-    ).filter("draw_idx >= 1")
+    )
+
+    # A rolling mean is a difference of running counts: one addition per row instead of a frame of w rows.
+    def rolling(n):
+        recent = F.col("_count") - F.coalesce(F.lag("_count", n).over(w), F.lit(0))
+        return F.try_divide(recent, F.least(F.lit(n), F.col("draw_idx"))).alias(f"freq_{n}")
+
+    framed = counted.select("*", *[rolling(n) for n in WINDOWS]).filter("draw_idx >= 1")
     recency = F.least(F.col("draw_idx") - F.col("_last"), F.lit(RECENCY_CAP))
     return framed.select(
         *base,

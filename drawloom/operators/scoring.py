@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import match_probability, match_tail, overlap
 from drawloom.functions.tails import clopper_pearson, normal_tail, poisson_binomial_tail
-from drawloom.session import spread
+from drawloom.session import cut_lineage, spread
 
 EPSILON = 1e-15
 
@@ -187,7 +187,8 @@ def single_line_chance(pool: Column) -> dict[str, Column]:
 
 def with_chance(portfolios: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Portfolios plus their chance columns: closed form for one line, the outcome table for several."""
-    tagged = portfolios.withColumn("structure", canonical_structure(F.col("lines")))
+    # Used twice and far dearer to compute than to store.
+    tagged = cut_lineage(portfolios.withColumn("structure", canonical_structure(F.col("lines"))))
     several = tagged.filter(F.size("lines") > 1).select("structure").distinct()
     table = portfolio_chance(several, outcomes)
     joined = tagged.join(table, "structure", "left")
@@ -232,27 +233,34 @@ def event_tail(rows: DataFrame, keys: list[str], hit: Column) -> DataFrame:
 
     Rows collapse to distinct chances first; that table is small, because equal portfolio structures share one.
     """
-    totals = rows.groupBy(*keys).agg(F.count_if(hit).alias("_observed"))
-    folded = rows.groupBy(*keys, "chance").agg(F.count("*").alias("_n"))
-    joined = folded.join(totals, keys)
-    return joined.groupBy(*keys).agg(poisson_binomial_tail("chance", "_n", "_observed").alias("p_value"))
+    folded = rows.groupBy(*keys, "chance").agg(F.count("*").alias("_n"), F.count_if(hit).alias("_hits"))
+    return folded.groupBy(*keys).agg(poisson_binomial_tail("chance", "_n", "_hits").alias("p_value"))
 
 
 def study_summary(rows: DataFrame, significance: float = 0.05) -> DataFrame:
     """Per source and method: rate against chance, exact interval, both tests and their joint Holm adjustment."""
     keys = ["source", "method"]
     hit3, hit5 = F.col("best_match") >= 3, F.col("best_match") >= 5
-    base = rows.groupBy(*keys).agg(
+    # One pass over the rows: equal chances fold together, and both the sums and the tail read the small fold.
+    folded = rows.groupBy(*keys, "chance", "match_mean", "match_variance").agg(
         F.max("lines").alias("lines"),
-        F.count("*").alias("draws"),
-        F.count_if(hit3).alias("hits_3_plus"),
-        F.count_if(hit5).alias("hits_5_plus"),
-        F.avg("chance").alias("expected_rate"),
-        F.sum("best_match").alias("_matches"),
-        F.sum("match_mean").alias("_null_mean"),
-        F.sum("match_variance").alias("_null_var"),
+        F.count("*").alias("_n"),
+        F.count_if(hit3).alias("_hits"),
+        F.count_if(hit5).alias("_five"),
+        F.sum("best_match").alias("_best"),
+    )
+    n = F.col("_n")
+    base = folded.groupBy(*keys).agg(
+        F.max("lines").alias("lines"),
+        F.sum("_n").alias("draws"),
+        F.sum("_hits").alias("hits_3_plus"),
+        F.sum("_five").alias("hits_5_plus"),
+        (F.sum(F.col("chance") * n) / F.sum("_n")).alias("expected_rate"),
+        F.sum("_best").alias("_matches"),
+        F.sum(F.col("match_mean") * n).alias("_null_mean"),
+        F.sum(F.col("match_variance") * n).alias("_null_var"),
     )
-    tails = event_tail(rows, keys, hit3)
+    tails = folded.groupBy(*keys).agg(poisson_binomial_tail("chance", "_n", "_hits").alias("p_value"))
     interval = clopper_pearson(F.col("hits_3_plus"), F.col("draws"))
     full = (
         base.join(tails, keys)
