@@ -51,12 +51,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+    """Writes an intermediate result to the shared folder and reads it back.
+
+    The table survives the loss of executors, and its file sizes give the optimizer true statistics, so a
+    small side is broadcast by Spark's own threshold and a large one is not (a checkpoint has no statistics).
+    """
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df, *keys):
