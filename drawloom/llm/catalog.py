@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawloom.llm import packing, quality, tokens
+from drawloom.llm import ngram_join, packing, quality, tokens
 from drawloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+@query
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
