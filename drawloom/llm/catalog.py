@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from drawloom.llm import ngram_join, packing, quality, tokens
+from drawloom.llm import ngram_join, packing, quality, tokens, winnowing
 from drawloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,13 @@ def op2_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+@query
+def op3_benchmark_decontamination(spark, sf_dir):
+    rows = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, winnowing.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
