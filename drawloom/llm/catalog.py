@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawloom.llm import ngram_join, packing, quality, tokens, winnowing
+from drawloom.llm import line_chunks, ngram_join, packing, quality, tokens, winnowing
 from drawloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, winnowing.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_chunks", "text")
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
