@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawloom.llm import line_chunks, ngram_join, packing, quality, tokens, winnowing
+from drawloom.llm import line_chunks, ngram_join, packing, quality, secrets, tokens, winnowing
 from drawloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
