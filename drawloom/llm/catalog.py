@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawloom.llm import line_chunks, ngram_join, packing, quality, secrets, tokens, winnowing
+from drawloom.llm import html_blocks, line_chunks, link_graph, ngram_join, packing, quality, secrets, tokens, toxicity, winnowing
 from drawloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # none: see the README
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -42,6 +42,22 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, winnowing.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@query
+def op4_url_filters(spark, sf_dir):
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train_on(pages))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
