@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from drawloom.llm import html_blocks, line_chunks, link_graph, ngram_join, packing, quality, secrets, tokens, toxicity, winnowing
-from drawloom.llm.common import table
+from drawloom.llm.common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}  # none: see the README
@@ -19,12 +20,6 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def public_tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op1_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -77,3 +72,8 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("byte_bpe_50k.tiktoken"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -98,6 +98,16 @@ def ledger(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), one, LEDGER)
 
 
+def kept_rows(docs: DataFrame, version: str = "v2_default") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns and without a join."""
+    mask = POLICIES[version]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([measure(t)[-1] & mask == 0 for t in texts(batch, "text")], pa.bool_()))
+
+    return map_batches(docs, one, docs.schema)
+
+
 def apply_policy(rows: DataFrame, version: str = "v2_default") -> DataFrame:
     """Adds ``base_failed`` and ``kept`` by the bits of a policy."""
     bits = F.col("failed_bits")

@@ -64,12 +64,16 @@ def item_windows(items: DataFrame) -> DataFrame:
     return starts.select("item_id", "length", hashed.alias("mark"), F.array_join("part", " ").alias("window"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids as strings)."""
+def text_keys(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def compared(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text keys, n_words, n_hit and items (null: none) of every document."""
     known = stored(item_windows(items))
     lengths = sorted({WINDOW} | {r.length for r in known.select("length").distinct().collect()})  # at most WINDOW values
-    text = F.coalesce("text", F.lit(""))
-    key = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+    key = text_keys(F.col("text"))
     choice = let(words(F.col("text")), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         let(word_hashes(w), lambda h: F.array_distinct(F.flatten(F.array(*(marks(h, n) for n in lengths))))).alias("marks"),
@@ -79,8 +83,20 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = stored(prints.select("k1", "k2", F.explode("marks").alias("mark")).join(small_side(marked), "mark", "left_semi").select("k1", "k2").distinct())
     found = stored(extended(docs.select(*key, "text"), hits, marked, known, lengths))
     rows = prints.select("doc_id", "k1", "k2", "n_words").join(found, ["k1", "k2"], "left")
+    return rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids as strings)."""
     none = F.array().cast("array<string>")
-    return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+    return compared(docs, items).select("doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    bad = stored(compared(docs, items).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    k1, k2 = text_keys(F.col("text"))
+    return docs.withColumns({"_k1": k1, "_k2": k2}).join(small_side(bad), ["_k1", "_k2"], "left_anti").select(docs.columns)
 
 
 def extended(docs: DataFrame, hits: DataFrame, marked: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
