@@ -6,12 +6,17 @@ from drawloom.operators import features, learn, lines, scoring
 from drawloom.plans import relations as rel
 from drawloom.plans.catalog.scoring import DIGEST
 from drawloom.plans.registry import query
+from drawloom.session import cut_lineage
 
-COLUMNS = ("freq_25", "freq_100", "recency", "smoothed_frequency", "lag_1")
+#: The fixture's series are some seven years long: the last 700 days are evaluated, the blocks before them tune.
+EVALUATION_DAYS, BLOCK = 700, 25
 
 
 def stored_features(spark, d):
-    return learn.materialise(rel.feature_rows(spark, d))
+    """Feature rows with the study's positions (evaluation_start, tuning_start, role)."""
+    splits = features.study_splits(rel.population(spark, d), EVALUATION_DAYS, BLOCK)
+    wanted = splits.select(*features.SERIES, "draw_date", "evaluation_start", "tuning_start", "role")
+    return learn.materialise(rel.feature_rows(spark, d).join(wanted, [*features.SERIES, "draw_date"]))
 
 
 @query(
@@ -24,10 +29,10 @@ def fit_guards(spark, d):
 
 
 def walked(spark, d):
-    return learn.walk_forward_logistic(stored_features(spark, d), start=250, block=50, costs=(0.01, 1.0), columns=COLUMNS)
+    return learn.walk_forward_logistic(stored_features(spark, d), F.col("evaluation_start"), BLOCK, costs=(0.01, 1.0))
 
 
-@query("R12_walk_forward", "game:s rule_code:s draw_date:s number:i C:f block_start:i probability:f")
+@query("R12_walk_forward", "game:s rule_code:s draw_date:s number:i C:f block_start:i probability:f converged:i")
 def walk_forward(spark, d):
     return walked(spark, d)
 
@@ -39,17 +44,18 @@ def leaked_targets(spark, d):
 
 @query("R13_model_families", "game:s family:s targets:i brier:f log_loss:f")
 def model_families(spark, d):
-    """One setting of each MLlib family on the last block of each game."""
+    """One setting of each MLlib family on the last block that all series have."""
     rows = stored_features(spark, d)
+    end = rows.groupBy(*features.SERIES).agg(F.max("draw_idx").alias("last")).agg(F.min("last")).first()[0] + 1
     options = {
         "logistic": {"C": 1.0},
-        "boosting": {"leaves": 3, "rate": 0.1, "trees": 5},
-        "forest": {"depth": 4, "leaf": 50, "trees": 10},
+        "boosting": {"max_leaf_nodes": 3, "learning_rate": 0.1, "trees": 20},
+        "forest": {"max_depth": 4, "min_samples_leaf": 50},
         "mlp": {"hidden": 8, "alpha": 0.1},
     }
     out = None
     for family, params in options.items():
-        scored = learn.walk_forward(rows, family, params, 325, 350).withColumn("family", F.lit(family))
+        scored = learn.walk_forward(rows, family, params, end - BLOCK, end).withColumn("family", F.lit(family))
         part = scored.select("family", "game", "draw_date", "probability", F.col("hit").alias("drawn"))
         out = part if out is None else out.unionByName(part)
     per_target = out.groupBy("family", "game", "draw_date").agg(
@@ -58,19 +64,27 @@ def model_families(spark, d):
     return per_target.groupBy("game", "family").agg(F.count("*").alias("targets"), F.avg("b").alias("brier"), F.avg("l").alias("log_loss"))
 
 
-@query("R14_tuning", "game:s setting:s validation_targets:i log_loss:f hit_3_plus_rate:f selected:i")
-def tuning(spark, d):
-    """The whole logistic grid on the blocks before the evaluation window, all fits together."""
+def tuned(spark, rows):
+    """The whole logistic grid on the tuning blocks, all fits together; one row per series and setting."""
     costs = learn.SEARCH_SPACE["logistic"]["C"]
-    predicted = learn.walk_forward_logistic(stored_features(spark, d), start=225, end=275, block=25, costs=costs, columns=COLUMNS)
+    predicted = learn.walk_forward_logistic(rows, F.col("tuning_start"), BLOCK, F.col("evaluation_start"), costs=costs)
     named = predicted.withColumn("setting", F.concat(F.lit("logistic-C"), F.col("C").cast("string")))
-    return learn.choose_settings(learn.validation_scores(named, ["game", "setting"]), ["game"])
+    checked = named.groupBy(*features.SERIES, "setting", "C").agg(F.bool_and(F.coalesce("converged", F.lit(False))).alias("converged"))
+    scores = learn.validation_scores(named, [*features.SERIES, "setting"]).join(checked, [*features.SERIES, "setting"])
+    return learn.choose_settings(scores, list(features.SERIES))
+
+
+@query("R14_tuning", "game:s rule_code:s setting:s validation_targets:i log_loss:f hit_3_plus_rate:f converged:i selected:i")
+def tuning(spark, d):
+    return tuned(spark, stored_features(spark, d))
 
 
 @query("R16_model_evaluation", "source:s method:s draws:i lines:i mean_matches:f any_3_plus:i")
 def model_evaluation(spark, d):
-    """Lines of the fitted model next to the frequency and rule-based lines, on the same targets."""
-    predicted = learn.walk_forward_logistic(stored_features(spark, d), start=250, block=50, columns=COLUMNS)
+    """Lines of the model with the tuned setting next to the frequency and rule-based lines, on the same targets."""
+    rows = stored_features(spark, d)
+    chosen = cut_lineage(tuned(spark, rows).filter("selected").select(*features.SERIES, "C"))
+    predicted = learn.walk_forward_logistic(rows, F.col("evaluation_start"), BLOCK, costs=chosen).filter("probability is not null")
     scored = lines.heuristic_scores(predicted, {"logistic": "probability"})
     portfolios = lines.study_portfolios(scored, DIGEST)
     issued = lines.explode_lines(portfolios.select("game", "draw_date", "source", "method", "lines"))
@@ -97,7 +111,7 @@ def baselines(spark, d):
 
 def next_models(spark, d):
     rows = stored_features(spark, d).filter("draw_idx >= 150")
-    return learn.fit_logistic(rows, features.SERIES, COLUMNS)
+    return learn.fit_logistic(rows, features.SERIES)
 
 
 @query("R18_next_target_lines", "game:s rule_code:s draw_date:s cutoff:s line:s")
@@ -106,7 +120,7 @@ def next_target(spark, d):
     population = rel.population(spark, d)
     coming = population.groupBy(*features.SERIES).agg(F.date_add(F.max("draw_date"), 7).alias("draw_date"), F.max("pool").alias("pool"))
     targets = features.next_target_features(population, coming.withColumn("gap_before", F.lit(False)))
-    scored = learn.predict_logistic(targets, next_models(spark, d), features.SERIES, COLUMNS)
+    scored = learn.predict_logistic(targets, next_models(spark, d), features.SERIES)
     keys = [*features.SERIES, "draw_date"]
     ranked = lines.rank_numbers(scored, keys, score="probability", cutoff=F.max("max_input_date"))
     return ranked.withColumn("line", F.array_join(lines.top_line(F.col("ranked")), " "))
@@ -114,16 +128,16 @@ def next_target(spark, d):
 
 @query("R19_model_parameters", "game:s rule_code:s feature:s coefficient:f")
 def model_parameters(spark, d):
-    return learn.export_parameters(next_models(spark, d), features.SERIES, COLUMNS)
+    return learn.export_parameters(next_models(spark, d), features.SERIES)
 
 
 @query(
     "C20_plan_grid",
     "game:s lines_per_draw:i draws_played:i cost:f",
-    "SELECT game, n AS lines_per_draw, d AS draws_played, n * d * 2.0 AS cost FROM (SELECT DISTINCT game FROM week_pop) g, (VALUES (1), (10)) x(n), (VALUES (1), (52)) y(d)",
+    "SELECT game, n AS lines_per_draw, d AS draws_played, n * d * 2.0 AS cost FROM (SELECT DISTINCT game FROM week_pop) g, (VALUES (1), (2), (5), (10), (20), (50), (100)) x(n), (VALUES (1), (12), (52), (156)) y(d)",
 )
 def plan_grid(spark, d):
     from drawloom.operators import returns
     from drawloom.plans.catalog.inference import markets
 
-    return returns.plan_table(markets(spark, d), price=2.0, lines=(1, 10), draws=(1, 52))
+    return returns.plan_table(markets(spark, d), price=2.0)

@@ -16,11 +16,11 @@ from drawloom.streaming import jobs
 def stream_ingest(spark, d):
     """Sources a and b arrive, then everything again: the replay adds only c and d."""
     root = scratch(spark, "ingest")
-    rows = rel.sightings(spark, d).withColumn("retrieved_at", F.col("draw_date").cast("timestamp"))
+    rows = rel.sightings(spark, d)
     keys, payload = ["source", "game", "draw_date"], ["mains", "bonus"]
     for part in (rows.filter("source in ('a', 'b')"), rows):
         part.write.mode("append").parquet(root + "/in")
-        jobs.ingest(jobs.file_stream(spark, root + "/in", rows.schema), root + "/log", root + "/checkpoint", keys, payload, "retrieved_at", "20000 days")
+        jobs.ingest(jobs.file_stream(spark, root + "/in", rows.schema), root + "/log", root + "/checkpoint", keys, payload)
     return spark.read.parquet(root + "/log").groupBy("source").agg(F.count("*").alias("logged"))
 
 

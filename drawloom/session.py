@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,14 +37,18 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf) -> SparkS
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only where the setting is absent (tests, one machine) is a temporary folder made.
+    Only a session on one machine (master ``local`` or ``local[...]``) without the setting gets a temporary folder,
+    which goes when the process ends; any other master without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.environ.get("DRAWLOOM_SCRATCH")
         if root is None:
             root = tempfile.mkdtemp(prefix="spark-drawloom-")
             os.environ["DRAWLOOM_SCRATCH"] = root
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 

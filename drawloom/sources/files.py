@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawloom import schemas
-from drawloom.operators.validate import check_curated, check_observations
+from drawloom.operators.validate import bonus_ok, check_curated, check_observations, mains_ok
 
 FILE = "_metadata.file_path"
 NUMBERS = [f"n{i}" for i in range(1, 7)]
-OPTIONAL = ("bonus", "jackpot", "currency", "jackpotWinners")
 
 
 def below(path: Column, root: str) -> Column:
@@ -31,45 +30,52 @@ def mark_bad_files(rows: DataFrame, bad: Column, reason: str = "bad_file") -> Da
     return joined.withColumn("reject", F.when(F.col("_file_bad"), reason)).drop("_row_bad", "_file_bad")
 
 
+# Cells of a CSV line: commas outside of double quotes part them.
+_COMMA = r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+
+
 def draw_exports(spark: SparkSession, path: str) -> DataFrame:
-    """CSV draw exports (``date,n1..n6`` and optional columns). Outcome: Won above zero winners, Roll at zero, else null."""
-    header = [c.lstrip("﻿") for c in spark.read.option("header", True).csv(path).columns]
-    absent = {"date", *NUMBERS} - set(header)
-    if absent:
-        raise ValueError(f"Draw export lacks columns {sorted(absent)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_bad")])
-    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    raw = reader.option("columnNameOfCorruptRecord", "_bad").csv(path).select("*", F.col(FILE).alias("file"))
-    for name in OPTIONAL:
-        if name not in header:
-            raw = raw.withColumn(name, F.lit(None).cast("string"))
-    winners = F.col("jackpotWinners").try_cast("int")
-    mains = F.array(*[F.trim(c).try_cast("int") for c in NUMBERS])
-
-    def blank(name):
-        return F.nullif(F.trim(name), F.lit(""))
-
-    day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd"))
-    parsed = raw.select(
+    """CSV draw exports (``date,n1..n6`` and optional columns). Outcome: Won above zero winners, Roll at zero, else null.
+
+    Columns go by the names in the header of their own file, in any order. A bad row (cells unlike the header, an
+    unreadable date, number, amount or winner count, numbers against the observation rules) rejects its file; so do
+    a header without the required names, and a file without rows. Lines hold one record each.
+    """
+    raw = spark.read.text(path).select(F.col(FILE).alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+    cells = F.transform(F.split("value", _COMMA, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    lines = raw.filter(F.trim("value") != "").select("file", cells.alias("cells"))
+    is_header = F.array_contains("cells", "date") & F.array_contains("cells", "n1")
+    headers = lines.filter(is_header).groupBy("file").agg(F.min("cells").alias("header"))  # one small row per file
+    rows = lines.filter(~is_header).join(headers, "file", "full")
+    known = F.coalesce("header", F.array().cast("array<string>"))
+
+    def cell(name):
+        at = F.array_position(known, name)
+        return F.nullif(F.trim(F.when(at > 0, F.get("cells", (at - 1).cast("int")))), F.lit(""))
+
+    day = F.when(cell("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(cell("date"), "yyyy-MM-dd"))
+    winners = cell("jackpotWinners").try_cast("int")
+    jackpot = cell("jackpot").try_cast("decimal(18,2)")
+    parsed = rows.select(
         "file",
-        "_bad",
         day.alias("draw_date"),
-        mains.alias("mains"),
-        blank("bonus").try_cast("int").alias("bonus"),
-        blank("jackpot").try_cast("decimal(18,2)").alias("jackpot"),
-        blank("currency").alias("currency"),
+        F.array(*[cell(c).try_cast("int") for c in NUMBERS]).alias("mains"),
+        cell("bonus").try_cast("int").alias("bonus"),
+        jackpot.alias("jackpot"),
+        cell("currency").alias("currency"),
         F.when(winners > 0, "Won").when(winners == 0, "Roll").alias("outcome"),
-        (blank("jackpotWinners").isNotNull() & F.coalesce(winners < 0, F.lit(True))).alias("_winners_bad"),
-        (blank("bonus").isNotNull() & blank("bonus").try_cast("int").isNull()).alias("_bonus_bad"),
-    )
-    bad = (
-        F.col("_bad").isNotNull()
-        | F.col("draw_date").isNull()
-        | F.exists("mains", lambda n: n.isNull())
-        | F.col("_winners_bad")
-        | F.col("_bonus_bad")
+        F.when(F.size(F.array_intersect(known, F.array(*[F.lit(c) for c in ("date", *NUMBERS)]))) < 7, "bad_header")
+        .when(F.col("cells").isNull(), "empty_file")
+        .when(F.size("cells") != F.size(known), "bad_row")
+        .when(cell("jackpotWinners").isNotNull() & F.coalesce(winners < 0, F.lit(True)), "bad_winners")
+        .when(cell("bonus").isNotNull() & cell("bonus").try_cast("int").isNull(), "bad_bonus")
+        .when(cell("jackpot").isNotNull() & F.coalesce(jackpot < 0, F.lit(True)), "bad_amount")
+        .alias("_why"),
     )
-    return mark_bad_files(parsed, bad).drop("_bad", "_winners_bad", "_bonus_bad")
+    mains = F.col("mains")
+    valid = mains_ok(mains, F.lit(99)) & bonus_ok(mains, F.col("bonus"), F.lit(99)) & F.col("draw_date").isNotNull()
+    bad = F.col("_why").isNotNull() | ~F.coalesce(valid, F.lit(False))
+    return mark_bad_files(parsed, bad).drop("_why")
 
 
 def empty_files(rows: DataFrame, manifest: DataFrame) -> DataFrame:

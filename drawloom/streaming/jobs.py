@@ -42,18 +42,17 @@ def run_append(stream: DataFrame, checkpoint: str, path: str) -> None:
 # --- ingest ------------------------------------------------------------------------------
 
 
-def ingest(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str], payload: list[str], event_time: str, delay: str = "7 days") -> None:
-    """Observation log fed by a stream. Equal replays are dropped in state while they are recent, and by key in the
-    ledger however late they come; a changed payload goes to the ledger's reject side, never over the old row."""
-    marked = stream.withColumn("payload_hash", sinks.payload_hash(payload)).withWatermark(event_time, delay)
-    fresh = marked.dropDuplicatesWithinWatermark([*keys, "payload_hash"]).drop("payload_hash")
+def ingest(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str], payload: list[str]) -> None:
+    """Observation log fed by a stream. A replay adds nothing, by key in the ledger, and a new key is logged however
+    late it comes; a changed payload goes to the ledger's reject side, never over the old row. No state is kept, so
+    nothing depends on a watermark."""
     rejects = ledger + "_rejects"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         refused = sinks.append_keyed(batch, ledger, keys, payload)
         refused.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
-    run_batches(fresh, checkpoint, on_batch)
+    run_batches(stream, checkpoint, on_batch)
 
 
 # --- reconciliation ------------------------------------------------------------------------
