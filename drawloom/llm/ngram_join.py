@@ -8,12 +8,13 @@ component under these links.
 2. A linked set of size n has at most ``n - ceil(n * NUM / DEN)`` shingles that its partner lacks. So a class with more
    shingles that occur in no other class is settled as alone. Uniqueness is tested on a fixed zone of the fingerprint
    space (5/16), which is enough to settle most classes and keeps the shuffle small.
-3. The open classes get one global order of shingles: zone shingles by frequency, then the others by fingerprint. Two
-   linked sets share a shingle among their first ``n - ceil(n * NUM / DEN) + 1`` (the prefix). Unique shingles come first
-   and bring no partner. What can still follow bounds the overlap, and pairs below the bound are dropped.
-4. First each shingle's classes are compared with one of them (the star of the shingle), which ties large groups of
-   near copies together without their pairs. Then only classes of different components that share a prefix shingle
-   are compared: a link inside a component changes nothing.
+3. The open classes get one global order of shingles, by frequency among them. Two linked sets share a shingle among
+   their first ``n - ceil(n * NUM / DEN) + 1`` (the prefix). Unique shingles come first and bring no partner, and may
+   settle more classes. What can still follow bounds the overlap, and pairs below the bound are dropped.
+4. In a few rounds each shingle's classes are compared with one of them (the star of the shingle), which ties large
+   groups of near copies together without their pairs. Then all classes of different components that share a prefix
+   shingle are compared: a link inside a component changes nothing. Parity bitmaps of the sets bound their symmetric
+   difference from below, so most unlike pairs end inside the join.
 5. A comparison takes one set against a block of others held in a prefix tree. The walk shares the overlap of common
    paths and leaves a subtree once the lengths that remain cannot reach the threshold. The overlap is exact.
 
@@ -41,6 +42,9 @@ WORDS = 5
 ZONE = 80
 #: A prefix tree holds at most so many sets and about so many shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+#: 64-bit words of the parity bitmap, and rounds of stars.
+BITMAP, ROUNDS = 8, 2
+_MAPS = [f"m{k}" for k in range(BITMAP)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,15 +88,33 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, digests and the zone's shingles of every document."""
+    """doc_id, set size and digests of every document."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts(batch, "text")]
         d1, d2 = zip(*map(digest, sets), strict=True)
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists([s[in_zone(s)] for s in sets])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "zone"])
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2"])
 
-    return map_batches(docs.select("doc_id", "text"), one, "doc_id long, n long, d1 long, d2 long, zone array<long>")
+    return map_batches(docs.select("doc_id", "text"), one, "doc_id long, n long, d1 long, d2 long")
+
+
+def zone_rows(docs: DataFrame) -> DataFrame:
+    """One row per document and zone shingle: token, d1."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t) for t in texts(batch, "text")]
+        zones = [s[in_zone(s)] for s in sets]
+        keys = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(z) for z in zones])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(zones)), pa.array(keys)], ["token", "d1"])
+
+    return map_batches(docs.filter("doc_id is not null").select("text"), one, "token long, d1 long")
+
+
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Parity of the set's shingles in ``64 * BITMAP`` cells; unequal cells never outnumber the symmetric difference."""
+    odd = np.bincount((x >> 8) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -103,20 +125,21 @@ def class_sets(docs: DataFrame) -> DataFrame:
         keep = [(k, s) for k, s in zip(batch.column("k").to_pylist(), sets, strict=True) if digest(s)[0] == k]
         if not keep:
             return None
-        columns = [pa.array([k for k, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), _lists([s for _, s in keep])]
-        return pa.RecordBatch.from_arrays(columns, ["k", "n", "sh"])
+        maps = np.stack([bitmap(s) for _, s in keep])
+        columns = [pa.array([k for k, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), _lists([s for _, s in keep]), *(pa.array(m) for m in maps.T.copy())]
+        return pa.RecordBatch.from_arrays(columns, ["k", "n", "sh", *_MAPS])
 
-    return map_batches(docs, one, "k long, n long, sh array<long>")
+    return map_batches(docs, one, "k long, n long, sh array<long>, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def prefix_size(n):
     return n - F.ceil(n * NUM / DEN) + 1
 
 
-def open_classes(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def open_classes(summary: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All classes (k, n, rep, members), and those that unique zone shingles do not settle."""
     classes = stored(summary.filter("n > 0 and doc_id is not null").groupBy(F.col("d1").alias("k"), "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    tokens = summary.filter("doc_id is not null").select(F.explode("zone").alias("token"), "d1").groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
+    tokens = zone_rows(docs).groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
     unique = tokens.filter("lo = hi").groupBy(F.col("lo").alias("k")).agg(F.count(F.lit(1)).alias("alone"))
     still = classes.join(unique, "k", "left").filter(F.coalesce("alone", F.lit(0)) < prefix_size(F.col("n")))
     return classes, stored(still.select("k", "n", "rep"))
@@ -124,16 +147,13 @@ def open_classes(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def prefixes(sets: DataFrame) -> DataFrame:
     """One row per class and prefix shingle: token, k, n, and how many shingles at most can be shared from it on."""
-    zone = sets.select("k", "n", F.explode(F.filter("sh", lambda x: F.lit(255).bitwiseAND(x) < ZONE)).alias("token"))
-    often = zone.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = zone.join(often, "token").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    both = sets.join(ranked, "k", "left")
-    common = F.coalesce(F.transform("ranked", lambda r: r["token"]), F.array().cast("array<long>"))
-    outside = F.filter("sh", lambda x: F.lit(255).bitwiseAND(x) >= ZONE)
-    order = both.select("k", "n", F.concat(common, outside).alias("order")).withColumn("shared", F.size("order"))
+    each = sets.select("k", F.explode("sh").alias("token"))
+    often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    shared = each.join(often, "token").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    sized = shared.join(sets.select("k", "n"), "k").withColumn("shared", F.size("order"))
     length = prefix_size(F.col("n")) - (F.col("n") - F.col("shared"))
-    kept = order.select("k", "n", "shared", F.slice("order", F.lit(1), F.greatest(F.lit(0), length).cast("int")).alias("prefix"))
-    return kept.select("k", "n", "shared", F.posexplode("prefix").alias("at", "token")).select("token", "k", "n", (F.col("shared") - F.col("at")).alias("left"))
+    kept = sized.filter(length > 0).select("k", "n", "shared", F.slice("order", F.lit(1), F.greatest(F.lit(0), length).cast("int")).alias("prefix"))
+    return kept.select("k", "n", "shared", F.posexplode("prefix").alias("at", "p")).select("p.token", "k", "n", (F.col("shared") - F.col("at")).alias("left"))
 
 
 def reachable(na, nb, overlap):
@@ -141,24 +161,36 @@ def reachable(na, nb, overlap):
     return (NUM + DEN) * overlap >= NUM * (na + nb)
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each class with the smallest one of each of its prefix shingles."""
-    centres = rows.groupBy("token").agg(F.min(F.struct(F.col("k").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))).alias("c"), F.count(F.lit(1)).alias("size"))
-    pairs = rows.join(stored(centres.filter("size > 1").select("token", "c.*")), "token").filter("k != a")
-    return pairs.filter(reachable(F.col("na"), F.col("n"), F.least("la", "left"))).groupBy("a", F.col("k").alias("b")).agg(F.first("n").alias("nb"))
+def alike(a: str, b: str, na, nb):
+    """The bitmaps leave a symmetric difference that the threshold allows."""
+    apart = sum((F.bit_count(F.col(f"{m}{a}").bitwiseXOR(F.col(f"{m}{b}"))) for m in _MAPS), F.lit(0))
+    return (NUM + DEN) * apart <= (DEN - NUM) * (na + nb)
 
 
-def cross_pairs(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs that share a prefix shingle and are in different components so far."""
-    if labels is not None:
-        rows = rows.join(labels.select(F.col("v").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    else:
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix rows with the component so far, for shingles that lie in several."""
+    if labels is None:
         rows = rows.withColumn("label", F.col("k"))
-    rows = stored(rows)
-    mixed_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    rows = stored(rows.join(stored(mixed_tokens), "token", "left_semi"))
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "left", "label"))) for side in "ab")
-    pairs = a.join(b, "token").filter("label_a < label_b").filter(reachable(F.col("n_a"), F.col("n_b"), F.least("left_a", "left_b")))
+    else:
+        rows = stored(rows.join(labels.select(F.col("v").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k")))
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    return stored(rows.join(stored(several), "token", "left_semi"))
+
+
+def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each class with one class of each of its prefix shingles, another one in each turn."""
+    order = F.xxhash64(F.lit(turn), "k")
+    centres = stored(rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("label").alias("lab"))).alias("c")).select("token", "c.a", "c.na", "c.la", "c.lab"))
+    pairs = rows.join(centres, "token").filter("label != lab").filter(reachable(F.col("na"), F.col("n"), F.least("la", "left")))
+    return pairs.groupBy("a", F.col("k").alias("b")).agg(F.first("n").alias("nb"))
+
+
+def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that share a prefix shingle and are in different components."""
+    rows = stored(rows.join(sets.select("k", *_MAPS), "k"))
+    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "left", "label", *_MAPS))) for side in "ab")
+    bound = reachable(F.col("n_a"), F.col("n_b"), F.least("left_a", "left_b"))
+    pairs = a.join(b, "token").filter("label_a < label_b").filter(bound).filter(alike("_a", "_b", F.col("n_a"), F.col("n_b")))
     return pairs.groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b")).agg(F.first("n_b").alias("nb"))
 
 
@@ -279,17 +311,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and the size of the class of equal sets."""
     docs = docs.select("doc_id", "text")
     summary = stored(summaries(docs))
-    classes, still = open_classes(summary)
+    classes, still = open_classes(summary, docs)
     chosen = still.select(F.col("rep").alias("doc_id"), "k")
     sets = stored(class_sets(docs.join(small_side(chosen), "doc_id").select("k", "text")))
     if sets.count() > still.count():
         sets = stored(sets.dropDuplicates(["k"]))
     rows = stored(prefixes(sets))
-    edges = stored(verified(star_pairs(rows), sets))
-    labels = None if edges.isEmpty() else components(edges)
-    more = stored(verified(cross_pairs(rows, labels), sets))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+    labels, edges = None, None
+    for turn in range(ROUNDS + 1):
+        apart = labelled(rows, labels)
+        more = stored(verified(star_pairs(apart, turn) if turn < ROUNDS else cross_pairs(apart, sets), sets))
+        if not more.isEmpty():
+            edges = more if edges is None else edges.unionByName(more)
+            labels = components(edges)
     known = classes.select("k", "rep", "members")
     if labels is None:
         named = known.filter("members > 1").select("k", "members", F.col("rep").alias("component"))
