@@ -127,38 +127,37 @@ def canonical_structure(lines: Column) -> Column:
     return F.array_sort(relabelled)
 
 
-def subset_masks(numbers: Column) -> Column:
-    """Bit masks of all non-empty subsets of a line (63 for six numbers); pools up to 62."""
-    every = F.aggregate(
-        numbers,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.transform(acc, lambda m: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), n)))),
-    )
-    return F.filter(every, lambda m: m != 0)
+def line_mask(numbers: Column) -> Column:
+    """Numbers as bits of a long; a number outside 1..62 is an error, not a wrong mask."""
+    bit = lambda n: F.when((n >= 1) & (n <= 62), F.call_function("shiftleft", F.lit(1).cast("long"), n)).otherwise(F.raise_error(F.lit("line masks hold numbers from 1 to 62")).cast("long"))
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, n: acc.bitwiseOR(bit(n)))
+
+
+#: Outcomes that one row holds while a structure is scored against them.
+OUTCOME_BLOCK = 4096
 
 
 def portfolio_chance(structures: DataFrame, outcomes: DataFrame) -> DataFrame:
     """For each distinct structure: share of outcomes with a line matching 3+, and moments of the best match.
 
-    Two lines share m numbers exactly when they share a subset of size m and none larger, so portfolio and
-    outcome meet by an equi-join on subset masks: only real matches are produced, never all pairs. Even the
-    most popular mask, a single number, holds a small share of the rows.
+    The structures are a query set against all outcomes: equal outcomes are counted together and packed into blocks
+    of masks, each structure meets each block once, and the best matches of a block are added up inside its row.
     """
     # 128 hash bits stand for the nested array while it is joined and grouped.
-    distinct = structures.select("structure").distinct().withColumn("a", F.xxhash64("structure")).withColumn(
-        "b", F.xxhash64(F.lit("second"), "structure")
+    distinct = cut_lineage(
+        structures.select("structure").distinct().withColumn("a", F.xxhash64("structure")).withColumn("b", F.xxhash64(F.lit("second"), "structure"))
     )
-    # A structure stays in one partition, so when Spark can broadcast the outcomes the best match of each
-    # pair is settled where it arises, without another shuffle.
-    masks = F.array_distinct(F.flatten(F.transform("structure", subset_masks)))
-    subsets = spread(distinct, "a", "b").select("a", "b", F.explode(masks).alias("mask"))
-    drawn = outcomes.select("outcome_id", F.explode(subset_masks(F.col("mains"))).alias("mask"))
-    best = subsets.join(drawn, "mask").groupBy("a", "b", "outcome_id").agg(F.max(F.bit_count("mask")).alias("best"))
-    sums = best.groupBy("a", "b").agg(
-        F.count_if(F.col("best") >= 3).alias("_hits"),
-        F.sum("best").alias("_sum"),
-        F.sum(F.col("best") * F.col("best")).alias("_squares"),
+    counted = cut_lineage(outcomes.groupBy(line_mask(F.col("mains")).alias("mask")).agg(F.count("*").alias("times")))
+    blocks = max(1, -(-counted.count() // OUTCOME_BLOCK))
+    packed = cut_lineage(counted.groupBy(F.pmod(F.xxhash64("mask"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("mask", "times")).alias("drawn")))
+    asked = distinct.select("a", "b", F.transform("structure", line_mask).alias("masks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    best = F.transform("drawn", lambda o: F.struct(F.array_max(F.transform("masks", lambda m: F.bit_count(m.bitwiseAND(o["mask"])))).alias("best"), o["times"].alias("times")))
+    add = lambda acc, o: F.struct(
+        (acc["hits"] + F.when(o["best"] >= 3, o["times"]).otherwise(0)).alias("hits"), (acc["total"] + o["best"] * o["times"]).alias("total"), (acc["squares"] + o["best"] * o["best"] * o["times"]).alias("squares")
     )
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("hits", "total", "squares")])
+    scored = spread(asked, "a", "b", "block").join(packed, "block").select("a", "b", F.aggregate(best, none, add).alias("s"))
+    sums = scored.groupBy("a", "b").agg(F.sum("s.hits").alias("_hits"), F.sum("s.total").alias("_sum"), F.sum("s.squares").alias("_squares"))
     total = outcomes.agg(F.count("*")).scalar()
     n = F.col("outcomes")
     mean = F.coalesce("_sum", F.lit(0)) / n

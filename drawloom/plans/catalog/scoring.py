@@ -285,24 +285,21 @@ def canonical_text(column="structure"):
     return F.array_join(F.transform(column, lambda line: F.array_join(line.cast("array<string>"), " ")), "|")
 
 
-def spread_portfolios(spark, d):
-    """Coverage portfolios (one shared overlap structure per budget) and the top lines."""
-    return portfolios(spark, d, (*lines.MARGINAL_METHODS, *lines.HEURISTICS))
-
-
 RELATIONS["line_structures"] = """
 SELECT game, draw_date, method, list_sort(list(line)) AS lines, array_to_string(list_sort(list(line)), '|') AS structure FROM (
   SELECT game, draw_date, method, line_index, list_sort(list(label)) AS line FROM (
     SELECT u.game, u.draw_date, u.method, u.line_index, CAST(f.label AS INT) AS label FROM
-      (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE method IN ('coverage5', 'coverage10')) u
+      (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE budget > 1) u
       JOIN (SELECT game, draw_date, method, number, row_number() OVER (PARTITION BY game, draw_date, method ORDER BY min(line_index * 100 + number)) AS label
-            FROM (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE method IN ('coverage5', 'coverage10')) v GROUP BY 1, 2, 3, 4) f
+            FROM (SELECT game, draw_date, method, line_index, unnest(mains) AS number FROM study_lines WHERE budget > 1) v GROUP BY 1, 2, 3, 4) f
       USING (game, draw_date, method, number)) x GROUP BY 1, 2, 3, 4) y GROUP BY 1, 2, 3
 """
 RELATIONS["structure_chance"] = """
 SELECT structure, count(*) AS outcomes, avg(CAST(best >= 3 AS INT)) AS chance, avg(best) AS match_mean, var_pop(best) AS match_variance FROM (
-  SELECT s.structure, o.outcome_id, max(len(list_intersect(s.line, o.mains))) AS best FROM
-    (SELECT structure, unnest(lines) AS line FROM (SELECT structure, any_value(lines) AS lines FROM line_structures GROUP BY 1) z) s, given_outcomes o GROUP BY 1, 2) x
+  SELECT s.structure, o.outcome_id, max(bit_count(s.mask & o.mask)) AS best FROM
+    (SELECT structure, list_sum(list_transform(line, lambda n: CAST(1 AS BIGINT) << n))::BIGINT AS mask FROM
+      (SELECT structure, unnest(lines) AS line FROM (SELECT structure, any_value(lines) AS lines FROM line_structures GROUP BY 1) z) y) s,
+    (SELECT outcome_id, list_sum(list_transform(mains, lambda n: CAST(1 AS BIGINT) << n))::BIGINT AS mask FROM given_outcomes) o GROUP BY 1, 2) x
 GROUP BY 1
 """
 
@@ -314,14 +311,14 @@ GROUP BY 1
        (SELECT translate(structure, '[]', '') AS structure, outcomes, chance, match_mean, match_variance FROM structure_chance) t""",
 )
 def portfolio_chance(spark, d):
-    tagged = spread_portfolios(spark, d).withColumn("structure", scoring.canonical_structure(F.col("lines")))
+    tagged = portfolios(spark, d).withColumn("structure", scoring.canonical_structure(F.col("lines")))
     distinct = tagged.filter(F.size("lines") > 1).select("structure").distinct()
     table = scoring.portfolio_chance(distinct, given_outcomes(spark, d))
     return table.withColumn("structure", canonical_text())
 
 
 def outcome_table(spark, d):
-    chanced = scoring.with_chance(spread_portfolios(spark, d), given_outcomes(spark, d))
+    chanced = scoring.with_chance(portfolios(spark, d), given_outcomes(spark, d))
     return scoring.outcome_rows(chanced, rel.draws(spark, d))
 
 
@@ -340,8 +337,7 @@ _P3 = "75249.0 / 3579191.0"  # exact chance that one line of a pool of 47 matche
 @query(
     "D17_study_rates",
     "source:s method:s lines:i draws:i hits_3_plus:i rate:f expected_rate:f lift:f hits_5_plus:i mean_matches:f expected_matches:f match_lift:f",
-    f"""WITH r AS (SELECT l.source, l.method, l.game, l.draw_date, max(l.budget) AS lines, max(l.matched) AS best FROM scored_lines l
-         WHERE l.source <> 'uniform' GROUP BY 1, 2, 3, 4),
+    f"""WITH r AS (SELECT l.source, l.method, l.game, l.draw_date, max(l.budget) AS lines, max(l.matched) AS best FROM scored_lines l GROUP BY 1, 2, 3, 4),
        c AS (SELECT r.*, CASE WHEN r.lines = 1 THEN {_P3} ELSE s.chance END AS chance, CASE WHEN r.lines = 1 THEN 36.0 / 47 ELSE s.match_mean END AS mean
          FROM r LEFT JOIN line_structures t ON t.game = r.game AND t.draw_date = r.draw_date AND t.method = r.method LEFT JOIN structure_chance s ON s.structure = t.structure)
        ;; SELECT source, method, max(lines) AS lines, count(*) AS draws, count(*) FILTER (WHERE best >= 3) AS hits_3_plus,
@@ -355,14 +351,16 @@ def study_rates(spark, d):
 
 @query(
     "D18_yearly_rates",
-    "source:s method:s year:i draws:i hits_3_plus:i rate:f",
-    """SELECT source, method, year(draw_date) AS year, count(*) AS draws, count(*) FILTER (WHERE best >= 3) AS hits_3_plus,
-       count(*) FILTER (WHERE best >= 3) / count(*) AS rate
-       FROM (SELECT source, method, game, draw_date, max(matched) AS best FROM scored_lines GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2, 3""",
+    "source:s method:s year:i draws:i hits_3_plus:i rate:f expected_rate:f",
+    f"""WITH r AS (SELECT l.source, l.method, l.game, l.draw_date, max(l.budget) AS lines, max(l.matched) AS best FROM scored_lines l GROUP BY 1, 2, 3, 4)
+       ;; SELECT r.source, r.method, year(r.draw_date) AS year, count(*) AS draws, count(*) FILTER (WHERE best >= 3) AS hits_3_plus,
+       count(*) FILTER (WHERE best >= 3) / count(*) AS rate, avg(CASE WHEN r.lines = 1 THEN {_P3} ELSE s.chance END) AS expected_rate
+       FROM r LEFT JOIN line_structures t ON t.game = r.game AND t.draw_date = r.draw_date AND t.method = r.method LEFT JOIN structure_chance s ON s.structure = t.structure
+       GROUP BY 1, 2, 3""",
 )
 def yearly(spark, d):
-    rows = scoring.outcome_rows(portfolios(spark, d), rel.draws(spark, d))
-    return scoring.yearly_rates(rows.withColumn("chance", F.lit(None).cast("double")))
+    return scoring.yearly_rates(outcome_table(spark, d))
+
 
 
 @query(
