@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from drawloom.functions.scalars import holiday_array
 
 SERIES = ["game", "rule_code"]
+# Windows, cap and names of the features.
 WINDOWS = (10, 25, 50, 100)
 RECENCY_CAP = 100
 FEATURE_COLUMNS = (
@@ -116,6 +117,7 @@ def next_target_features(draws: DataFrame, targets: DataFrame) -> DataFrame:
 
 # --- draw-level context --------------------------------------------------------
 
+# Names of the context groups and their columns.
 CONTEXT_GROUPS = {
     "jackpot": ("jackpot_log10", "rollovers", "days_since_jackpot_won"),
     "holiday": ("days_to_holiday", "holiday_window"),

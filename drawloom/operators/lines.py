@@ -94,6 +94,7 @@ def explode_lines(portfolios: DataFrame, lines: str = "lines") -> DataFrame:
     return portfolios.select(*keys, F.size(lines).alias("budget"), F.posexplode(lines).alias("line_index", "mains"))
 
 
+# Names of the methods.
 MARGINAL_METHODS = ("top6", "weighted", "coverage5", "coverage10")
 UNIFORM_METHODS = ("random1", "random5", "random10")
 HEURISTICS = ("hot", "cold", "overdue")

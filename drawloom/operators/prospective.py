@@ -14,21 +14,21 @@ LINE = ["game", "draw_date", "arm", "budget", "line_index"]
 def classify_issues(requests: DataFrame, results: DataFrame, deadlines: DataFrame) -> DataFrame:
     """Status of issue requests (game, draw_date, arm, recorded_at).
 
-    A request outside the start date or schedule is refused. A result that exists already is checked first,
-    then the deadline.
+    A request outside the start date or schedule is refused. A result known by the time of the request
+    (``results`` has game, draw_date, known_at) is checked first, then the deadline.
     """
-    known = results.select("game", "draw_date").distinct().withColumn("_result", F.lit(True))
+    known = results.groupBy("game", "draw_date").agg(F.min("known_at").alias("_known_at"))
     joined = requests.join(deadlines, ["game", "draw_date"], "left").join(known, ["game", "draw_date"], "left")
     on_schedule = F.array_contains("schedule", F.weekday("draw_date"))
     refused = F.when(F.col("draw_date") < F.col("start_date"), "refused:before_start").when(
         ~F.coalesce(on_schedule, F.lit(False)), "refused:not_scheduled"
     )
     state = (
-        F.when(F.col("_result").isNotNull(), "missed:result_available")
+        F.when(F.col("_known_at") <= F.col("recorded_at"), "missed:result_available")
         .when(F.col("recorded_at") >= F.col("deadline"), "missed:deadline_passed")
         .otherwise("issued")
     )
-    return joined.withColumn("status", F.coalesce(refused, state)).drop("_result")
+    return joined.withColumn("status", F.coalesce(refused, state)).drop("_known_at")
 
 
 def new_issues(classified: DataFrame, existing: DataFrame) -> DataFrame:

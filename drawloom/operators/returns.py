@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from drawloom.functions.scalars import TIERS, jackpot_share, tier_probability
 
 BIG_PRIZES = ("Match 6", "Match 5 + Bonus")
+# The plans of the grid.
 PLAN_LINES = (1, 2, 5, 10, 20, 50, 100)
 PLAN_DRAWS = (1, 12, 52, 156)
 

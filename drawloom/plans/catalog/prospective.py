@@ -17,11 +17,11 @@ BUDGETS = (1, 5)
 
 # Requests: two arms per weekly target; some come late, some after the result, one arm starts before the protocol.
 RELATIONS["issue_requests"] = f"""
-SELECT game, draw_date, a.arm, CASE {_h(1)} WHEN '0' THEN CAST(draw_date AS TIMESTAMP) + INTERVAL 21 HOUR ELSE CAST(draw_date AS TIMESTAMP) + INTERVAL 10 HOUR END AS recorded_at
+SELECT game, draw_date, a.arm, CASE {_h(1)} WHEN '0' THEN CAST(draw_date AS TIMESTAMP) + INTERVAL 21 HOUR ELSE CAST(draw_date AS TIMESTAMP) + INTERVAL 10 HOUR END - CASE a.arm WHEN 'uniform-b' THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS recorded_at
 FROM week_draws, (VALUES ('uniform-a'), ('uniform-b')) a(arm) WHERE NOT (a.arm = 'uniform-b' AND {_h(2)} = '1')
 """
 RELATIONS["issue_status"] = f"""
-SELECT game, draw_date, arm, CASE WHEN draw_date < DATE '{START}' THEN 'refused:before_start' WHEN arm = 'uniform-a' AND {_h(3)} = '0' THEN 'missed:result_available'
+SELECT game, draw_date, arm, CASE WHEN draw_date < DATE '{START}' THEN 'refused:before_start' WHEN {_h(3)} = '0' AND CASE {_h(1)} WHEN '0' THEN CAST(draw_date AS TIMESTAMP) + INTERVAL 1230 MINUTE ELSE CAST(draw_date AS TIMESTAMP) + INTERVAL 570 MINUTE END <= recorded_at THEN 'missed:result_available'
   WHEN recorded_at >= CAST(draw_date AS TIMESTAMP) + INTERVAL 20 HOUR THEN 'missed:deadline_passed' ELSE 'issued' END AS status FROM issue_requests
 """
 _T = "concat(t.game, ':', CAST(t.draw_date AS VARCHAR))"
@@ -60,10 +60,21 @@ UNION ALL SELECT k.game, k.draw_date, k.arm, k.budget, k.line_index, k.revision,
 """
 
 
+def asked_at():
+    """The first arm asks in the morning, or after the deadline; the second an hour before it."""
+    return F.col("draw_date").cast("timestamp") + F.when(digit(1) == "0", F.expr("interval 21 hours")).otherwise(F.expr("interval 10 hours"))
+
+
 def requests(spark, d):
-    at = F.when(digit(1) == "0", F.expr("interval 21 hours")).otherwise(F.expr("interval 10 hours"))
     arms = F.array_compact(F.array(F.lit("uniform-a"), F.when(digit(2) != "1", "uniform-b")))
-    return rel.draws(spark, d).select("game", "draw_date", (F.col("draw_date").cast("timestamp") + at).alias("recorded_at"), F.explode(arms).alias("arm"))
+    rows = rel.draws(spark, d).select("game", "draw_date", asked_at().alias("first"), F.explode(arms).alias("arm"))
+    earlier = F.when(F.col("arm") == "uniform-b", F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hours"))
+    return rows.select("game", "draw_date", (F.col("first") - earlier).alias("recorded_at"), "arm")
+
+
+def early_results(spark, d):
+    """Some results come half an hour before the first arm asks, so the second has asked already."""
+    return rel.draws(spark, d).filter(digit(3) == "0").select("game", "draw_date", (asked_at() - F.expr("interval 30 minutes")).alias("known_at"))
 
 
 def deadlines(spark, d):
@@ -72,12 +83,7 @@ def deadlines(spark, d):
 
 
 def classified(spark, d):
-    early = rel.draws(spark, d).filter(digit(3) == "0").select("game", "draw_date")
-    rows = prospective.classify_issues(requests(spark, d), early, deadlines(spark, d))
-    # Results of these dates were known to the first arm only: the second asked before they came.
-    second = (F.col("arm") == "uniform-b") & (F.col("status") == "missed:result_available")
-    late = F.when(F.col("recorded_at") >= F.col("deadline"), "missed:deadline_passed").otherwise("issued")
-    return rows.withColumn("status", F.when(second, late).otherwise(F.col("status")))
+    return prospective.classify_issues(requests(spark, d), early_results(spark, d), deadlines(spark, d))
 
 
 def issued(spark, d):

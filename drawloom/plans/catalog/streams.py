@@ -43,13 +43,12 @@ def stream_reconciliation(spark, d):
     return spark.read.parquet(root + "/out")
 
 
-@query("I3_stream_issue_status", "game:s draw_date:s arm:s status:s", "SELECT game, draw_date, arm, status FROM issue_status WHERE arm = 'uniform-a'")
+@query("I3_stream_issue_status", "game:s draw_date:s arm:s status:s", "SELECT game, draw_date, arm, status FROM issue_status")
 def stream_issue_status(spark, d):
     root = scratch(spark, "issues")
-    rows = cat.requests(spark, d).filter("arm = 'uniform-a'")
+    rows = cat.requests(spark, d)
     rows.write.parquet(root + "/in")
-    early = rel.draws(spark, d).filter(digit(3) == "0").select("game", "draw_date")
-    marked = jobs.classify(jobs.file_stream(spark, root + "/in", rows.schema), early, cat.deadlines(spark, d))
+    marked = jobs.classify(jobs.file_stream(spark, root + "/in", rows.schema), cat.early_results(spark, d), cat.deadlines(spark, d))
     jobs.run_append(marked.select("game", "draw_date", "arm", "status"), root + "/checkpoint", root + "/out")
     return spark.read.parquet(root + "/out")
 
