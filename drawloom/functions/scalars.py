@@ -43,7 +43,7 @@ def natural_key(source: Column, url: Column, artifact_sha256: Column, parser_ver
     )
 
 
-# --- published text ----------------------------------------------------------
+# --- published text (fixed values: the patterns of money and labels) ----------
 
 
 def money_amount(text: Column) -> Column:
@@ -148,7 +148,7 @@ def first_monday(year: Column, month: int) -> Column:
 
 
 def holiday_array(year: Column) -> Column:
-    """Public holidays of a year (Irish calendar, Good Friday included; the February one from 2023)."""
+    """Public holidays of a year (Irish calendar, Good Friday included; the February one from 2023). Fixed values."""
     easter = easter_sunday(year)
     october = F.make_date(year, F.lit(10), F.lit(31))
     february = F.make_date(year, F.lit(2), F.lit(1))

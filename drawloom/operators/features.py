@@ -19,8 +19,12 @@ FEATURE_COLUMNS = (
     *(f"freq_{w}" for w in WINDOWS),
     "recency",
     "never_seen",
-    *(f"lag_{k}" for k in (1, 2, 3)),
-    *(f"lag_{k}_valid" for k in (1, 2, 3)),
+    "lag_1",
+    "lag_2",
+    "lag_3",
+    "lag_1_valid",
+    "lag_2_valid",
+    "lag_3_valid",
     "freq_10_minus_100",
     "smoothed_frequency",
     *(f"weekday_{d}" for d in range(7)),

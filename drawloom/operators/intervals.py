@@ -19,26 +19,6 @@ def _bin(day: Column) -> Column:
     return F.greatest(F.lit(FIRST_BIN), F.least(F.lit(LAST_BIN), F.year(day)))
 
 
-def interval_join(facts: DataFrame, intervals: DataFrame, day: str = "draw_date", how: str = "inner") -> DataFrame:
-    """Join rows to the intervals [starts_on, ends_on] of the same game that cover their day.
-
-    An open end is null. Output keeps one row per matching interval, as a theta join would.
-    """
-    last = F.coalesce(_bin(F.col("ends_on")), F.lit(LAST_BIN))
-    first = _bin(F.col("starts_on"))
-    binned = intervals.filter(F.coalesce(F.col("starts_on") <= F.col("ends_on"), F.lit(True))).withColumn(
-        "_bin", F.explode(F.sequence(first, last))
-    )
-    left = facts.withColumn("_bin", _bin(F.col(day)))
-    covers = (F.col("i.starts_on") <= F.col(f"f.{day}")) & (
-        F.col("i.ends_on").isNull() | (F.col(f"f.{day}") <= F.col("i.ends_on"))
-    )
-    on = (F.col("f.game") == F.col("i.game")) & (F.col("f._bin") == F.col("i._bin")) & covers
-    joined = left.alias("f").join(binned.alias("i"), on, how)
-    fact_columns = [F.col(f"f.`{c}`") for c in facts.columns]
-    return joined.select(*fact_columns, *[F.col(f"i.`{c}`") for c in intervals.columns if c != "game"])
-
-
 def attach_rule(facts: DataFrame, rules: DataFrame, day: str = "draw_date") -> DataFrame:
     """Facts plus ``rule_count`` and, when exactly one rule covers the day, its code, pool and schedule.
 

@@ -9,20 +9,13 @@ from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import TIERS, jackpot_share, tier_probability
 
+# The prizes that a jackpot report names.
 BIG_PRIZES = ("Match 6", "Match 5 + Bonus")
 # The plans of the grid.
 PLAN_LINES = (1, 2, 5, 10, 20, 50, 100)
 PLAN_DRAWS = (1, 12, 52, 156)
 
 
-def tier_table(regimes: DataFrame) -> DataFrame:
-    """(game, rule_code, pool, tier, probability) for each regime."""
-    rows = F.array(
-        *[F.struct(F.lit(name).alias("tier"), tier_probability(F.col("pool"), m, b).alias("probability")) for name, m, b in TIERS]
-    )
-    return regimes.select("game", "rule_code", "pool", F.explode(rows).alias("t")).select("game", "rule_code", "pool", "t.*")
-
-
 def market(prizes: DataFrame, jackpots: DataFrame, regimes: DataFrame) -> DataFrame:
     """Per regime: median prize per tier, first and last jackpot, the next one, and lines sold per draw.
 

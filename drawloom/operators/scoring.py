@@ -326,6 +326,3 @@ def tail_band(rates: DataFrame, rate: str, p: str, n: str) -> DataFrame:
     band = 5 * F.sqrt(F.col(p) * (1 - F.col(p)) / F.col(n)) + 1 / F.col(n)
     return rates.withColumn("band", band).withColumn("within_band", F.abs(F.col(rate) - F.col(p)) <= F.col("band"))
 
-
-def match_pmf_columns(pool: Column) -> list[Column]:
-    return [match_probability(pool, k).alias(f"p{k}") for k in range(7)]

@@ -13,10 +13,6 @@ def reasons(**checks: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()])))
 
 
-def is_valid(column: str = "reasons") -> Column:
-    return F.size(column) == 0
-
-
 def _six_distinct(mains: Column) -> Column:
     return (F.size(mains) == 6) & (F.size(F.array_distinct(mains)) == 6)
 
@@ -153,6 +149,7 @@ def check_curated(df: DataFrame) -> DataFrame:
         bad_date = bad_date | (text(name).isNotNull() & iso(name).isNull())
     rule, metric = dataset == "rule_attributes", dataset == "official_period_metrics"
     ticket, event = dataset == "winning_ticket_reports", dataset == "calendar_events"
+    # Places of a ticket report.
     places = ("purchase_county", "online_player_county", "unresolved")
     return df.withColumn(
         "reasons",
@@ -164,7 +161,7 @@ def check_curated(df: DataFrame) -> DataFrame:
             bad_interval=(rule & (iso("effective_from") > iso("effective_to")))
             | (metric & (iso("period_start") > iso("period_end"))),
             bad_value=metric & text("value").try_cast("decimal(38,10)").isNull(),
-            scheduled_not_boolean=event & ~F.coalesce(payload.rlike(r'"scheduled"\s*:\s*(true|false)\b'), F.lit(False)),
+            scheduled_not_boolean=event & ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), "$.scheduled", "variant")) == "BOOLEAN", F.lit(False)),
             private_field=ticket & private_fields(payload),
             bad_channel=ticket & ~text("channel").isin("retail", "online"),
             bad_location=ticket & ~text("location_meaning").isin(*places),

@@ -6,6 +6,8 @@ A bad record never disappears: every source returns rows plus a ``reject`` reaso
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,13 @@ NUMBERS = [f"n{i}" for i in range(1, 7)]
 
 
 def below(path: Column, root: str) -> Column:
-    """Path of a file relative to the folder it was found in (any scheme or mount point before it is dropped)."""
-    return F.substring_index(path, root.rstrip("/").split("/")[-1] + "/", -1)
+    """Path of a file relative to the folder it was found in: what follows the folder's own path, with any scheme.
+
+    Where a mount point has renamed the folder, its last name is looked for instead.
+    """
+    own = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    at = F.instr(path, own)
+    return F.when(at > 0, F.substring(path, at + len(own), F.length(path))).otherwise(F.substring_index(path, own.split("/")[-2] + "/", -1))
 
 
 def mark_bad_files(rows: DataFrame, bad: Column, reason: str = "bad_file") -> DataFrame:

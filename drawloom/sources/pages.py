@@ -19,6 +19,7 @@ from drawloom.functions.scalars import (
 )
 from drawloom.operators.validate import bonus_ok, mains_ok
 
+# Fixed value: texts of refused pages.
 BLOCKED = r"(?i)captcha|access denied|just a moment|not found"
 
 

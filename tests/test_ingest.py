@@ -80,3 +80,17 @@ def test_a_cluster_must_name_the_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_root(Other)
     assert SparkSession.getActiveSession() is None or session.shared_root(SparkSession.getActiveSession())
+
+
+def test_scheduled_is_read_from_the_payload_itself(spark):
+    from drawloom.operators.validate import check_curated
+
+    bodies = ['{"day":"2020-01-01","scheduled":true,"description":"x","game":"F"}', '{"day":"2020-01-01","scheduled":"true","description":"x","game":"F"}', '{"day":"2020-01-01","nested":{"scheduled":true},"description":"x","game":"F"}']
+    rows = spark.createDataFrame([("calendar_events", str(k), None, b) for k, b in enumerate(bodies)], "dataset string, record_key string, published_at string, payload string")
+    got = {r.record_key: "scheduled_not_boolean" in r.reasons for r in check_curated(rows).collect()}
+    assert got == {"0": False, "1": True, "2": True}
+
+
+def test_a_folder_name_may_come_again_below(spark):
+    paths = spark.createDataFrame([("file:/a/bodies/x/bodies/f",), ("hdfs://h:1/a/bodies/g",), ("viewfs://s/in/bodies/h",)], "p string")
+    assert [r.f for r in paths.select(files.below(F.col("p"), "file:///a/bodies").alias("f")).collect()] == ["x/bodies/f", "g", "h"]
