@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import match_tail, unit_uniform
 from drawloom.functions.tails import binomial_tail, clopper_pearson
+from drawloom.operators.scoring import holm
+from drawloom.session import cut_lineage
 
 
 def exact_rates(hits: DataFrame, keys: list[str], hit: str = "hit", pool: str = "pool", matches: int = 3) -> DataFrame:
@@ -100,7 +104,7 @@ def paired_differences(hits: DataFrame, model: str, baseline: str, keys: list[st
     side = F.sum(F.when(F.col("policy") == model, F.col("hit"))) - F.sum(F.when(F.col("policy") == baseline, F.col("hit")))
     paired = (
         hits.filter(F.col("policy").isin(model, baseline))
-        .groupBy(*keys, "game", "draw_date")
+        .groupBy(*dict.fromkeys([*keys, "game", "draw_date"]))
         .agg(side.cast("double").alias("difference"))
         .filter("difference is not null")
     )
@@ -108,6 +112,25 @@ def paired_differences(hits: DataFrame, model: str, baseline: str, keys: list[st
     return paired.withColumn("row_idx", F.row_number().over(order) - 1)
 
 
+def secondary_tests(evaluated: DataFrame, single: str, budgets: dict[int, tuple[str, str]], replicates: int, seed: str) -> DataFrame:
+    """Secondary tests of each game with their Holm adjustment: game, test, trials, p_value, holm_p_value.
+
+    ``evaluated`` has one row per line (method, game, draw_date, pool, matched). ``single`` is the method whose one line
+    meets the exact chance of 5+; ``budgets`` names the model and the uniform method of each number of lines, whose
+    any-line 3+ hits are compared by paired bootstrap.
+    """
+    five = evaluated.filter(F.col("method") == single).withColumn("hit", (F.col("matched") >= 5).cast("int"))
+    exact = exact_tests(exact_rates(five, ["game"], matches=5)).select("game", F.lit("one_line_5_plus").alias("test"), F.col("trials").cast("long").alias("trials"), "p_value")
+    hits = any_line_hits(evaluated, ["method"], 3).withColumnRenamed("method", "policy")
+    parts = [paired_differences(hits, model, uniform, ["game"]).withColumn("test", F.lit(f"budget_{budget}_any_line_3_plus")) for budget, (model, uniform) in budgets.items()]
+    rows = cut_lineage(reduce(DataFrame.unionByName, parts))
+    keys = ["game", "test"]
+    means = bootstrap_means(rows, keys, replicates, seed)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("trials"))
+    resampled = bootstrap_summary(rows, means, keys).join(sizes, keys).select(*keys, "trials", "p_value")
+    return holm(exact.unionByName(resampled), ["game"]).select(*keys, "trials", "p_value", "holm_p_value")
+
+
 def verdict(improvement: Column, excludes_zero: Column, p_value: Column, final: Column, check_passed: Column) -> Column:
     promising = (improvement > 0) & excludes_zero & final & (p_value <= 0.05)
     return (

@@ -107,7 +107,7 @@ def _prize_steps(last):
 @query(
     "R3_prize_tiers",
     "game:s draw_date:s tier:s winners:i amount:f currency:s prize_type:s observation_seq:i",
-    f"WITH {_prize_steps(4)} ;; SELECT game, draw_date, tier, w AS winners, a AS amount, c AS currency, t AS prize_type, since AS observation_seq FROM s4",
+    f"WITH /*MATERIALIZED*/{_prize_steps(4).replace(' AS (', ' AS MATERIALIZED (')} ;; SELECT game, draw_date, tier, w AS winners, a AS amount, c AS currency, t AS prize_type, since AS observation_seq FROM s4",
 )
 def prize_tiers(spark, d):
     return reconcile.reconcile_prizes(rel.prize_sightings(spark, d))[0]

@@ -211,19 +211,35 @@ def findings(spark, d):
     )
 
 
+BUDGETS = (5, 10)
+RELATIONS["secondary_rows"] = """
+SELECT game, test, difference, row_number() OVER (PARTITION BY game, test ORDER BY draw_date) - 1 AS row_idx, count(*) OVER (PARTITION BY game, test) AS n FROM (
+  SELECT h.game, 'budget_' || b.budget || '_any_line_3_plus' AS test, h.draw_date, CAST(sum(CASE WHEN h.method = 'coverage' || b.budget THEN h.hit ELSE -h.hit END) AS DOUBLE) AS difference
+  FROM (SELECT method, game, draw_date, CAST(max(matched) >= 3 AS INT) AS hit FROM scored_lines GROUP BY 1, 2, 3) h
+  JOIN (VALUES (5), (10)) b(budget) ON h.method IN ('coverage' || b.budget, 'random' || b.budget) GROUP BY 1, 2, 3) x
+"""
+_START = uniform("'second'", "s.game", "s.test", "CAST(r.replicate AS VARCHAR)", "CAST(p.row_idx AS VARCHAR)")
+
+
 @query(
     "R25_secondary_tests",
-    "method:s events:i trials:i",
-    """SELECT method, count(*) FILTER (WHERE best >= 3) AS events, count(*) AS trials FROM (
-       SELECT method, game, draw_date, max(matched) AS best FROM scored_lines WHERE method IN ('coverage5', 'coverage10', 'random5', 'random10') GROUP BY 1, 2, 3) x GROUP BY 1""",
+    "game:s test:s trials:i p_value:f holm_p_value:f",
+    f"""WITH five AS (SELECT game, CAST(sum(CAST(matched >= 5 AS INT)) AS DOUBLE) AS events, CAST(count(*) AS DOUBLE) AS trials, 247.0 / 10737573.0 AS p0 FROM single_hits WHERE policy = 'top6' GROUP BY 1),
+       s AS (SELECT DISTINCT game, test, n FROM secondary_rows), r AS (SELECT range AS replicate FROM range(0, {REPLICATES})),
+       picks AS (SELECT s.game, s.test, r.replicate, CAST(floor({_START} * s.n) AS BIGINT) AS at FROM s JOIN secondary_rows p ON p.game = s.game AND p.test = s.test, r),
+       means AS (SELECT k.game, k.test, k.replicate, avg(p.difference) AS mean, max(p.n) AS n FROM picks k JOIN secondary_rows p ON p.game = k.game AND p.test = k.test AND p.row_idx = k.at GROUP BY 1, 2, 3),
+       t AS (SELECT game, 'one_line_5_plus' AS test, trials, {_TAIL.format(p='r.p0', x='r.events')} AS p_value FROM five r
+         UNION ALL SELECT game, test, max(n), (1 + count(*) FILTER (WHERE mean <= 0)) / (count(*) + 1) FROM means GROUP BY 1, 2),
+       h AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY game) - row_number() OVER (PARTITION BY game ORDER BY p_value, test) + 1) * p_value) AS st FROM t)
+       ;; SELECT game, test, trials, p_value, max(st) OVER (PARTITION BY game ORDER BY p_value, test) AS holm_p_value FROM h""",
 )
 def secondary(spark, d):
+    """Exact test of one line at 5+, bootstrap tests of any line at 3+ against uniform lines, and their Holm adjustment."""
     from drawloom.plans.catalog.scoring import study_lines
 
-    wanted = ("coverage5", "coverage10", "random5", "random10")
+    wanted = ("top6", *(f"{m}{b}" for m in ("coverage", "random") for b in BUDGETS))
     rows = scoring.match_lines(study_lines(spark, d, wanted), rel.draws(spark, d))
-    hits = inference.any_line_hits(rows, ["method"], 3)
-    return hits.groupBy("method").agg(F.sum("hit").alias("events"), F.count("*").alias("trials"))
+    return inference.secondary_tests(rows, "top6", {b: (f"coverage{b}", f"random{b}") for b in BUDGETS}, REPLICATES, "second")
 
 
 # --- odds and returns ----------------------------------------------------------------

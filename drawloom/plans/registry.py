@@ -61,8 +61,9 @@ def oracle_text(spec: str, sql: str) -> str:
         return f"array_to_string({name}, ' ') AS {name}"
 
     recursive = "RECURSIVE " if "RECURSIVE" in sql else ""
-    sql = sql.replace("/*RECURSIVE*/", "")
-    head = ",\n".join(f"{name} AS ({RELATIONS[name].strip()})" for name in _used(sql))
+    kept = "MATERIALIZED " if "/*MATERIALIZED*/" in sql else ""
+    sql = sql.replace("/*RECURSIVE*/", "").replace("/*MATERIALIZED*/", "")
+    head = ",\n".join(f"{name} AS {kept}({RELATIONS[name].strip()})" for name in _used(sql))
     own = ""
     match = re.match(r"\s*WITH\s+(.*?)\s*;;\s*(.*)\s*$", sql, re.S)
     if match:  # "WITH own tables ;; SELECT" keeps local tables apart from the final select
