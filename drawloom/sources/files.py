@@ -46,13 +46,18 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
 
     Columns go by the names in the header of their own file, in any order. A bad row (cells unlike the header, an
     unreadable date, number, amount or winner count, numbers against the observation rules) rejects its file; so do
-    a header without the required names, and a file without rows. Lines hold one record each.
+    a header without the required names, and a file without rows. No file with a usable header at all is an error.
+    Lines hold one record each.
     """
     raw = spark.read.text(path).select(F.col(FILE).alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
     cells = F.transform(F.split("value", _COMMA, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
     lines = raw.filter(F.trim("value") != "").select("file", cells.alias("cells"))
     is_header = F.array_contains("cells", "date") & F.array_contains("cells", "n1")
     headers = lines.filter(is_header).groupBy("file").agg(F.min("cells").alias("header"))  # one small row per file
+    needed = F.array(*[F.lit(c) for c in ("date", *NUMBERS)])
+    if headers.filter(F.size(F.array_intersect("header", needed)) == 7).isEmpty():
+        found = headers.first()
+        raise ValueError(f"Draw export lacks columns {sorted({'date', *NUMBERS} - set(found.header if found else ()))}")
     rows = lines.filter(~is_header).join(headers, "file", "full")
     known = F.coalesce("header", F.array().cast("array<string>"))
 
@@ -71,7 +76,7 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
         jackpot.alias("jackpot"),
         cell("currency").alias("currency"),
         F.when(winners > 0, "Won").when(winners == 0, "Roll").alias("outcome"),
-        F.when(F.size(F.array_intersect(known, F.array(*[F.lit(c) for c in ("date", *NUMBERS)]))) < 7, "bad_header")
+        F.when(F.size(F.array_intersect(known, needed)) < 7, "bad_header")
         .when(F.col("cells").isNull(), "empty_file")
         .when(F.size("cells") != F.size(known), "bad_row")
         .when(cell("jackpotWinners").isNotNull() & F.coalesce(winners < 0, F.lit(True)), "bad_winners")
