@@ -23,6 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    # State lives in RocksDB on disk for every job, not on the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -107,7 +109,6 @@ class Reconcile(StatefulProcessor):
 
 def reconcile(stream: DataFrame) -> DataFrame:
     """Outcome of every valid observation; the state of a draw is three fields, whatever the number of observations."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     picked = stream.select("game", "draw_date", "arrival_seq", "mains", "bonus")
     return picked.groupBy("game", "draw_date").transformWithStateInPandas(
         statefulProcessor=Reconcile(), outputStructType=OUTCOME, outputMode="Append", timeMode="None"
