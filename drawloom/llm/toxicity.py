@@ -265,7 +265,8 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = [usable.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
     chosen = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * TRAIN_DOCS ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.char_length("text") <= TRAIN_CHARS)
-    found = sorted({(r.doc_id, r.toxic, r.text) for r in rows.collect()})
+    once = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated rows count once
+    found = sorted((r.doc_id, r.toxic, r.text) for r in once.collect())
     return Model.train(*([t for _, toxic, t in found if toxic == k] for k in (1, 0)))
 
 
