@@ -13,6 +13,8 @@ empty; a text that loses all its chunks becomes empty; other columns are kept as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def is_passage(line: Column) -> Column:
-    return (F.octet_length(line) >= 2 * PASSAGE - 1) & (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) >= PASSAGE - 1)
+    """Words are parted by any white space."""
+    return (F.octet_length(line) >= 2 * PASSAGE - 1) & (F.regexp_count(line, F.lit(r"(?U)\S+")) >= PASSAGE)
 
 
 def chunks(lines: Column) -> Column:
@@ -78,9 +81,14 @@ def bounded(rows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with what repeats cut from ``text``; n_lines, n_removed (lines) and n_chunks (removed) are added."""
+    """The rows of ``docs`` with repeated chunks cut from ``text``; n_lines, n_removed (lines) and n_chunks (removed) are added."""
+    return cut_places(docs, repeated)
+
+
+def cut_places(docs: DataFrame, places: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the places (key, at, count; none overlaps another) that ``places`` finds in its keys and texts."""
     rows = keyed(docs)
-    gone = stored(repeated(rows.select(*_KEY, "text")).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "count")).alias("_gone")))
+    gone = stored(places(rows.select(*_KEY, "text")).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "count")).alias("_gone")))
     joined = rows.join(bounded(gone), _KEY, "left")
     taken = F.flatten(F.transform("_gone", lambda g: F.sequence(g["at"], g["at"] + g["count"] - 1)))
     lines = lines_of(F.col("text"))

@@ -1,0 +1,75 @@
+"""Line dedup by runs of lines. Native columns only.
+
+A line goes if it lies in a run of two or more lines with text that also stands at an earlier place of the table (the
+same bytes), or if it is a passage (``PASSAGE`` words or more) that stands at an earlier place. Places are ordered by
+(doc_id, line); one run may overlap its earlier copy. Every line that goes has a copy that stays. Blank lines between
+two lines are part of the run; those behind a line that goes (and before the first one) go with it.
+
+The lines of such runs are those of pairs of neighbouring lines that stand earlier, so pairs and passages are looked up
+and nothing has to be extended. A 64-bit hash finds what may repeat, SHA-256 decides; no text is shuffled for it. Rows with
+one doc_id and one text are one document and are treated alike. A null doc_id counts as the last one. Null texts
+stay null, empty ones empty; a text that loses all its lines becomes empty; other columns are kept as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from drawloom.llm.common import stored
+from drawloom.llm.line_chunks import _KEY, cut_places, is_passage, lines_of
+from drawloom.llm.winnowing import let
+
+
+def units(lines: Column) -> Column:
+    """Pairs of neighbouring lines with text, and passages, as (at, from, takes, hash, digest): the first line compared
+    (1-based), and the lines that go with the unit, blank ones included."""
+
+    def of(l: Column, full: Column) -> Column:
+        def start(j: Column) -> Column:
+            return F.when(j == 0, F.lit(1)).otherwise(F.element_at(full, j + 1))
+
+        def unit(j: Column, at: Column, last: Column, ahead: Column) -> Column:
+            end = F.coalesce(F.get(full, j + ahead), F.size(l) + 1)
+            count = last - at + 1
+            part = F.slice(l, at, count)
+            digest = F.unhex(F.sha2(F.array_join(part, "\n"), 256))
+            return F.struct(at.alias("at"), start(j).alias("from"), (end - start(j)).alias("takes"), F.xxhash64(part).alias("hash"), digest.alias("digest"))
+
+        pairs = F.transform(full, lambda at, j: F.when(F.get(full, j + 1).isNotNull(), unit(j, at, F.get(full, j + 1), F.lit(2))))
+        alone = F.transform(full, lambda at, j: F.when(is_passage(F.element_at(l, at)), unit(j, at, at, F.lit(1))))
+        return F.filter(F.concat(pairs, alone), lambda u: u.isNotNull())
+
+    def with_text(l: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(l)), lambda i: F.element_at(l, i).rlike(r"(?U)\S"))
+
+    return let(lines, lambda l: let(with_text(l), lambda full: of(l, full)))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The places to remove: key, from, takes. ``docs`` has the key columns and a text."""
+    cut = docs.select(*_KEY, F.explode(units(lines_of(F.col("text")))).alias("u"))
+    places = stored(cut.select(*_KEY, "u.*"))
+    often = stored(places.groupBy("hash").count().filter("count > 1").select("hash"))
+    found = stored(places.join(often, "hash", "left_semi").drop("hash"))
+    first = found.groupBy("digest").agg(F.min(F.struct(*_KEY, "at")).alias("first"), F.max(F.struct(*_KEY, "at")).alias("last")).filter("first < last")
+    first = stored(first.select("digest", "first"))
+    later = found.join(first, "digest").filter(F.struct(*_KEY, "at") != F.col("first"))
+    gone = later.groupBy(*_KEY).agg(F.collect_set(F.struct("from", "takes")).alias("units")).select(*_KEY, F.explode(merged(F.col("units"))).alias("r"))
+    return gone.select(*_KEY, "r.*")
+
+
+def merged(taken: Column) -> Column:
+    """The lines of overlapping or adjoining units as runs (at, count)."""
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform(taken, lambda u: F.sequence(u["from"], u["from"] + u["takes"] - 1)))))
+
+    def runs(l: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: (i == 0) | (F.get(l, i - 1) != F.get(l, i) - 1))
+        return let(starts, lambda s: F.transform(s, lambda i, j: F.struct(F.get(l, i).alias("at"), (F.coalesce(F.get(s, j + 1), F.size(l)) - i).alias("count"))))
+
+    return let(lines, runs)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with what repeats cut from ``text``; n_lines, n_removed (lines) and n_chunks (runs removed) are added."""
+    return cut_places(docs, repeated)
