@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drawloom.llm import html_blocks, line_runs, link_graph, ngram_join, packing, quality, secrets, tokens, toxicity, winnowing
+from drawloom.llm import html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, tokens, toxicity, winnowing
 from drawloom.llm.common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
