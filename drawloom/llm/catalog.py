@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drawloom.llm import html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, tokens, toxicity, winnowing
+from drawloom.llm import html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, source_mix, tokens, toxicity, winnowing
 from drawloom.llm.common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}  # none: see the README
+ORACLES: dict[str, str] = {}  # few: see the README
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,6 +79,12 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.detect(table(spark, sf_dir, "documents"), plant=True)
 
 
+@query
+def op12_source_mix(spark, sf_dir):
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_mix"] = source_mix.MIX_SQL
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
