@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drawloom.llm import html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, source_mix, tokens, toxicity, winnowing
+from drawloom.llm import chat_repair, html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, source_mix, tokens, toxicity, winnowing
 from drawloom.llm.common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,14 @@ def op12_source_mix(spark, sf_dir):
 
 
 ORACLES["op12_source_mix"] = source_mix.MIX_SQL
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return chat_repair.report(table(spark, sf_dir, "conversations"), damage=True)
+
+
+ORACLES["op13_conversation_repair"] = chat_repair.REPAIR_SQL
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

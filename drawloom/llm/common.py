@@ -33,6 +33,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows that are few in bytes but cost much CPU, dealt over the full shuffle width."""
+    return df.repartition(shuffle_width(df.sparkSession), *df.columns[:2])
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only. ``lower`` also changes other letters, so it serves pure ASCII texts alone."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
