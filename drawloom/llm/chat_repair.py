@@ -155,19 +155,25 @@ def conversation_key(conv_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Rows with their key, their number in the order of all conversations, and a code: role initial and first fault."""
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with their key, a row number (salt), the digest of the text and what the text alone says of its fault."""
     text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
     rows = rows.select(conversation_key(F.col("conv_id")).alias("key"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = stored(rows.withColumns({"digest": F.sha2("text", 256), "salt": F.monotonically_increasing_id()}))
-    first = rows.groupBy("key", "role", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("turn", "salt"))["salt"].alias("first"))
-    found = rows.join(first.filter("times > 1").drop("times"), ["key", "role", "digest"], "left")
+    own = F.when(~F.col("text").rlike(_TEXT), BLANK).when(~F.col("text").rlike(_ENDED), CUT).otherwise(SOUND)
+    return stored(rows.withColumns({"digest": F.sha2("text", 256), "salt": F.monotonically_increasing_id(), "own": own}))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Without texts: the place of each row in the order of all conversations, and its code: role initial and first fault."""
+    slim = rows.drop("text")
+    first = slim.groupBy("key", "role", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("turn", "salt"))["salt"].alias("first"))
+    found = slim.join(first.filter("times > 1").drop("times"), ["key", "role", "digest"], "left")
     again = F.col("first").isNotNull() & (F.col("first") != F.col("salt"))
-    fault = F.when(~F.col("text").rlike(_TEXT), BLANK).when(again, DUPLICATE).when(~F.col("text").rlike(_ENDED), CUT).otherwise(SOUND)
+    fault = F.when(again & (F.col("own") != BLANK), DUPLICATE).otherwise(F.col("own"))
     initial = F.substring("role", 1, 1)
     code = F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("x"), fault)
-    found = found.select("key", "turn", "role", "digest", "salt", "text", code.alias("code"))
-    return stored(numbered(found, [F.col(c) for c in ("key", "turn", "role", "digest", "salt")], "place"))
+    found = found.select("key", "turn", "role", "digest", "salt", code.alias("code"))
+    return stored(numbered(found, [F.col(c) for c in ("key", "turn", "role", "digest", "salt")], "place").drop("role", "digest"))
 
 
 def repair(rows: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
@@ -176,14 +182,16 @@ def repair(rows: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     Returns one row per conversation (key, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) and
     the repaired texts by part (key, part, repaired: lines role:text).
     """
-    rows = judged(rows)
+    texts = keyed(rows)
+    rows = judged(texts)
     fault = F.substring("code", 2, 1)
     turns = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
     counts = {"blank": BLANK, "duplicate": DUPLICATE, "truncated": CUT}
     totals = rows.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"), F.coalesce(turns, F.lit(0)).alias("gaps"), *(F.count_if(fault == f).alias(c) for c, f in counts.items()))
     totals = stored(totals)
     at = F.col("place") - F.col("first")
-    placed = rows.join(totals.select("key", "first", "rows"), "key").select("key", F.floor(at / part).alias("part"), F.ceil(F.col("rows") / part).alias("parts"), F.struct(at.alias("at"), "code", "role", "text").alias("line"))
+    placed = rows.join(totals.select("key", "first", "rows"), "key").select("key", "salt", F.floor(at / part).alias("part"), F.ceil(F.col("rows") / part).alias("parts"), at.alias("at"), "code")
+    placed = placed.join(texts.select("salt", "role", "text"), "salt").select("key", "part", "parts", F.struct("at", "code", "role", "text").alias("line"))
     lines = F.array_sort(F.collect_list("line"))
     parts = placed.groupBy("key", "part").agg(F.max("parts").alias("parts"), lines.alias("lines"))
     parts = stored(parts.select("key", "part", "parts", F.array_join("lines.code", "").alias("codes"), F.transform("lines", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("lines")))
@@ -213,7 +221,7 @@ def repair(rows: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     long = stored(_mapped(solved, fold, "key string, illegal long, cost long, audit string, pieces array<struct<part:long,start:int,audit:string>>"))
     pieces = long.select("key", F.explode("pieces").alias("p")).select("key", "p.*").withColumnRenamed("audit", "edits")
     work = parts.filter("parts > 1").select("key", "part", "lines").join(pieces, ["key", "part"])
-    texts = stored(_mapped(work, lambda row: [(row["key"], row["part"], "\n".join(repaired(row["lines"], row["edits"], row["start"])))], "key string, part long, repaired string"))
+    edited = stored(_mapped(work, lambda row: [(row["key"], row["part"], "\n".join(repaired(row["lines"], row["edits"], row["start"])))], "key string, part long, repaired string"))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, digest, first = None, None, True
@@ -229,10 +237,10 @@ def repair(rows: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
         if digest is not None:
             yield pa.RecordBatch.from_pydict({"key": [key], "repaired_sha256": [digest.hexdigest()]})
 
-    digests = texts.repartition("key").sortWithinPartitions("key", "part").select("key", "repaired").mapInArrow(hashed, "key string, repaired_sha256 string")
+    digests = edited.repartition("key").sortWithinPartitions("key", "part").select("key", "repaired").mapInArrow(hashed, "key string, repaired_sha256 string")
     columns = ["key", "illegal", "cost", "audit", "repaired_sha256"]
     all_ = short.select(columns).unionByName(long.join(digests, "key").select(columns))
-    return totals.drop("first", "rows").join(all_, "key"), short.select("key", "part", "repaired").unionByName(texts)
+    return totals.drop("first", "rows").join(all_, "key"), short.select("key", "part", "repaired").unionByName(edited)
 
 
 def report(conversations: DataFrame, damage: bool = False, part: int = PART) -> DataFrame:
