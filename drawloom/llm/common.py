@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,8 @@ from drawloom.session import cut_lineage
 
 #: A list of ids is sent to every task up to so many rows (16 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 500_000
+#: A task turns so much text at a time into Python objects (a longer text is taken alone).
+SLICE_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +59,35 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``limit`` bytes of one text column; a piece has at least one row."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Applies a function from batch to batch on Arrow data."""
+    """Applies a function from batch to batch on Arrow data, in pieces of bounded text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := one(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    if (out := one(part)) is not None:
+                        yield out
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -12,11 +12,12 @@ component under these links.
    their first ``n - ceil(n * NUM / DEN) + 1`` (the prefix). Unique shingles come first and bring no partner, and may
    settle more classes. What can still follow bounds the overlap, and pairs below the bound are dropped.
 4. In a few rounds each shingle's classes are compared with one of them (the star of the shingle), which ties large
-   groups of near copies together without their pairs. Then all classes of different components that share a prefix
-   shingle are compared: a link inside a component changes nothing. Parity bitmaps of the sets bound their symmetric
-   difference from below, so most unlike pairs end inside the join.
-5. A comparison takes one set against a block of others held in a prefix tree. The walk shares the overlap of common
-   paths and leaves a subtree once the lengths that remain cannot reach the threshold. The overlap is exact.
+   groups of near copies together without their pairs. Then the classes of each shingle meet in blocks. Parity bitmaps
+   of the sets bound their symmetric difference from below; classes of different components that may still link form
+   groups, and a group found under many shingles is compared once. No pair leaves a task before it is verified.
+5. A comparison takes one set against others held in a prefix tree. The walk shares the overlap of common paths and
+   leaves a subtree once the lengths that remain cannot reach the threshold. The overlap is exact. In groups a union-find
+   keeps back links inside a component, as they change nothing: a group gives fewer links than it has members.
 
 A star with very many partners is split into blocks of bounded size; tables go to the shared folder between steps.
 
@@ -41,7 +42,7 @@ WORDS = 5
 #: Fingerprints whose low byte is below this are the zone.
 ZONE = 80
 #: A prefix tree holds at most so many sets and about so many shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 #: 64-bit words of the parity bitmap, and rounds of stars.
 BITMAP, ROUNDS = 8, 2
 _MAPS = [f"m{k}" for k in range(BITMAP)]
@@ -161,12 +162,6 @@ def reachable(na, nb, overlap):
     return (NUM + DEN) * overlap >= NUM * (na + nb)
 
 
-def alike(a: str, b: str, na, nb):
-    """The bitmaps leave a symmetric difference that the threshold allows."""
-    apart = sum((F.bit_count(F.col(f"{m}{a}").bitwiseXOR(F.col(f"{m}{b}"))) for m in _MAPS), F.lit(0))
-    return (NUM + DEN) * apart <= (DEN - NUM) * (na + nb)
-
-
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Prefix rows with the component so far, for shingles that lie in several."""
     if labels is None:
@@ -185,23 +180,147 @@ def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy("a", F.col("k").alias("b")).agg(F.first("n").alias("nb"))
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that share a prefix shingle and are in different components."""
-    rows = stored(rows.join(sets.select("k", *_MAPS), "k"))
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "left", "label", *_MAPS))) for side in "ab")
-    bound = reachable(F.col("n_a"), F.col("n_b"), F.least("left_a", "left_b"))
-    pairs = a.join(b, "token").filter("label_a < label_b").filter(bound).filter(alike("_a", "_b", F.col("n_a"), F.col("n_b")))
-    return pairs.groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b")).agg(F.first("n_b").alias("nb"))
+def block_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Classes of different components that may link, as groups (members, labels), each group once.
+
+    The classes of a shingle are dealt to blocks, and each two blocks meet in a task. There the bounds and bitmaps are
+    tested, and classes that hang together by what is left are a group: no pair leaves the task.
+    """
+    sizes = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    own = F.pmod(F.xxhash64("k"), F.col("blocks"))
+    dealt = rows.join(stored(sizes), "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.join(sets.select("k", *_MAPS), "k").select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "k", "n", "left", "label", *_MAPS)
+    spread = dealt.repartition(shuffle_width(rows.sparkSession), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "k")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = np.stack([batch.column(c).to_numpy() for c in ("token", "lo", "hi", "k", "n", "left", "label", *_MAPS)])
+            table = table if rest is None else np.concatenate([rest, table], 1)
+            cuts = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1
+            if len(cuts):
+                yield _groups(table[:, : cuts[-1]])
+                rest = table[:, cuts[-1] :]
+            else:
+                rest = table
+        if rest is not None:
+            yield _groups(rest)
+
+    found = spread.mapInArrow(run, "members array<long>, labels array<long>")
+    return found.groupBy("members").agg(F.first("labels").alias("labels"))
+
+
+def _groups(table: np.ndarray) -> pa.RecordBatch:
+    """Groups of the blocks in ``table`` (rows token, lo, hi, k, n, left, label and the bitmaps)."""
+    cuts = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1
+    starts, ends = np.append(0, cuts), np.append(cuts, table.shape[1])
+    members, labels = [], []
+    # Blocks of equal size are compared together.
+    for size in np.unique(ends - starts):
+        if size < 2:
+            continue
+        of_size = starts[ends - starts == size]
+        step = max(1, (1 << 18) // int(size) ** 2)
+        for at in range(0, len(of_size), step):
+            chosen = of_size[at : at + step, None] + np.arange(size)
+            k, n, left, label = (table[r][chosen] for r in (3, 4, 5, 6))
+            total = n[:, :, None] + n[:, None, :]
+            near = (label[:, :, None] != label[:, None, :]) & ((NUM + DEN) * np.minimum(left[:, :, None], left[:, None, :]) >= NUM * total)
+            apart = np.zeros(near.shape, np.int64)
+            for m in range(7, 7 + BITMAP):
+                bits = table[m][chosen].view(np.uint64)
+                apart += np.bitwise_count(bits[:, :, None] ^ bits[:, None, :])
+            near &= (NUM + DEN) * apart <= (DEN - NUM) * total
+            for b in np.flatnonzero(near.any((1, 2))):
+                for part in hanging(near[b]):
+                    members.append(k[b][part])
+                    labels.append(label[b][part])
+    return pa.RecordBatch.from_arrays([_lists(members), _lists(labels)], ["members", "labels"])
+
+
+def hanging(near: np.ndarray) -> list[np.ndarray]:
+    """Connected parts of two or more in a square of marks."""
+    left, parts = near.any(1), []
+    while left.any():
+        seen = np.zeros(len(near), bool)
+        todo = seen.copy()
+        todo[np.argmax(left)] = True
+        while todo.any():
+            seen |= todo
+            todo = near[todo].any(0) & ~seen
+        parts.append(np.flatnonzero(seen))
+        left &= ~seen
+    return parts
+
+
+def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that tie components: each set of a group walks the group's prefix tree.
+
+    The group's shingles are ordered by how many of its sets hold them, so near copies share long paths. A union-find
+    over the components lets only links out that tie two of them: fewer than the group has members.
+    """
+    groups = stored(groups.withColumn("id", F.sha2(F.array_join("members", ","), 256)))
+    each = groups.select("id", F.explode(F.arrays_zip("members", "labels")).alias("m")).select("id", F.col("m.members").alias("k"), F.col("m.labels").alias("label"))
+    rows = each.join(sets.select("k", "sh"), "k").repartition(shuffle_width(groups.sparkSession), "id").sortWithinPartitions("id", "k")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            column = batch.column("sh")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            heads = (batch.column(c).to_pylist() for c in ("id", "k", "label"))
+            for row, (name, k, label) in enumerate(zip(*heads, strict=True)):
+                if name != group:
+                    if held:
+                        yield _pairs(tied(held))
+                    group, held = name, []
+                held.append((k, label, np.array(values[offsets[row] : offsets[row + 1]])))
+        if held:
+            yield _pairs(tied(held))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+
+def tied(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links among sets (key, component, shingles) that tie two components not tied before."""
+    vocabulary, inverse, counts = np.unique(np.concatenate([s for _, _, s in held]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))
+    ordered = np.split(rank[inverse], np.cumsum([len(s) for _, _, s in held])[:-1])
+    ordered = [np.sort(s) for s in ordered]
+    tree = PrefixTree([(i, s) for i, s in enumerate(ordered)])
+    parent = {label: label for _, label, _ in held}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, left = [], len(parent) - 1
+    for (k, label, _), s in zip(held, ordered, strict=True):
+        if not left:
+            break
+        for i in tree.links(s):
+            a, b = root(label), root(held[i][1])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((k, held[i][0]))
+                left -= 1
+    return out
 
 
 class PrefixTree:
     """Ordered sets in a tree with whole stretches on its edges; a node knows the set lengths below it."""
 
     def __init__(self, sets: list[tuple[int, np.ndarray]]) -> None:
-        big_endian = [((s.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes(), key, s) for key, s in sets]
-        big_endian.sort(key=lambda x: x[0])
-        self.keys = [key for _, key, _ in big_endian]
-        self.sets = [s for _, _, s in big_endian]
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][1].view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes())
+        self.keys = [sets[i][0] for i in order]
+        self.sets = [sets[i][1] for i in order]
         self.root = self._node(0, len(self.sets), 0)
 
     def _node(self, low: int, high: int, depth: int) -> tuple[np.ndarray, int, list[int], list, int, int]:
@@ -320,7 +439,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels, edges = None, None
     for turn in range(ROUNDS + 1):
         apart = labelled(rows, labels)
-        more = stored(verified(star_pairs(apart, turn) if turn < ROUNDS else cross_pairs(apart, sets), sets))
+        more = stored(verified(star_pairs(apart, turn), sets) if turn < ROUNDS else block_links(block_groups(apart, sets), sets))
         if not more.isEmpty():
             edges = more if edges is None else edges.unionByName(more)
             labels = components(edges)

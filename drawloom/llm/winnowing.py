@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import lower_ascii, small_side, stored
+from drawloom.llm.common import fresh, lower_ascii, small_side, stored
 
 WINDOW = 13
 GRAM = 6
@@ -41,13 +41,27 @@ def windows(items: Column, size: int, body) -> Column:
     return F.transform(F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), body)
 
 
+def least_of(values: Column, width: int) -> Column:
+    """Minimum of every ``width`` consecutive elements: minima of doubled width, the last step overlapping."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values = let(values, lambda v, step=step: windows(v, step + 1, lambda i: F.least(F.element_at(v, i), F.element_at(v, i + step))))
+        span += step
+    return values
+
+
 def marks(hashes: Column, length: int) -> Column:
     """Fingerprint of each window of ``length`` words, from the hashes of the words."""
     if length < WINDOW:
-        return windows(hashes, length, lambda i: F.xxhash64(F.slice(hashes, i, length), F.lit(length)))
-    grams = windows(hashes, GRAM, lambda i: F.xxhash64(F.slice(hashes, i, GRAM)))
-    inside = length - GRAM + 1
-    return let(grams, lambda g: windows(g, inside, lambda i: F.array_min(F.slice(g, i, inside))))
+        return windows(hashes, length, lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(length)), F.lit(length)))
+    grams = windows(hashes, GRAM, lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(GRAM))))
+    return least_of(grams, length - GRAM + 1)
+
+
+def short_mark(hashes: Column, size: Column) -> Column:
+    """The fingerprint of an item of ``size`` words, fewer than a window."""
+    return F.coalesce(*(F.when(size == n, F.element_at(marks(hashes, n), 1)) for n in range(1, WINDOW)))
 
 
 def word_hashes(tokens: Column) -> Column:
@@ -60,7 +74,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     base = stored(base.select(F.col("item_id").cast("string").alias("item_id"), "w", F.least(F.size("w"), F.lit(WINDOW)).alias("length")))
     size = F.col("length")
     starts = base.select("item_id", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("part"))
-    hashed = let(word_hashes(F.col("part")), lambda h: F.when(size == WINDOW, F.element_at(marks(h, WINDOW), 1)).otherwise(F.xxhash64(h, size)))
+    hashed = let(word_hashes(F.col("part")), lambda h: F.when(size == WINDOW, F.element_at(marks(h, WINDOW), 1)).otherwise(short_mark(h, size)))
     return starts.select("item_id", "length", hashed.alias("mark"), F.array_join("part", " ").alias("window"))
 
 
@@ -94,9 +108,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = stored(compared(docs, items).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    one, two = (fresh(docs, c) for c in ("_k1", "_k2"))
+    bad = stored(compared(docs.select("doc_id", "text"), items).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct())
     k1, k2 = text_keys(F.col("text"))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(small_side(bad), ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return docs.withColumns({one: k1, two: k2}).join(small_side(bad), [one, two], "left_anti").select(docs.columns)
 
 
 def extended(docs: DataFrame, hits: DataFrame, marked: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
@@ -119,8 +134,9 @@ def extended(docs: DataFrame, hits: DataFrame, marked: DataFrame, known: DataFra
         return F.struct(F.greatest(acc["end"], stop).alias("end"), (acc["total"] + F.greatest(F.lit(0), stop - F.greatest(acc["end"], s["at"]))).alias("total"))
 
     words_hit = exact.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("spans")).select("k1", "k2", F.aggregate("spans", start, add)["total"].alias("n_hit"))
-    owners = exact.select("k1", "k2", "length", "window").distinct().join(known.select("item_id", "length", "window").distinct(), ["length", "window"])
-    listed = owners.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    owners = known.groupBy("length", "window").agg(F.collect_set("item_id").alias("owners"))
+    held = exact.select("k1", "k2", "length", "window").distinct().join(owners, ["length", "window"])
+    listed = held.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
     return words_hit.join(listed, ["k1", "k2"])
 
 
