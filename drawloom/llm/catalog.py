@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drawloom.llm import chat_repair, html_blocks, line_runs, link_graph, ngram_join, packing, periodic_runs, quality, secrets, source_mix, tokens, toxicity, winnowing
+from drawloom.llm import chat_repair, html_blocks, line_chunks, link_graph, ngram_join, packing, periodic_runs, quality, secrets, source_mix, tokens, toxicity, winnowing
 from drawloom.llm.common import public_tokenizer, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +56,7 @@ def op6_html_extraction(spark, sf_dir):
 @query
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_runs.dedup_runs(docs).select("doc_id", "n_lines", "n_removed", "n_chunks", "text")
+    return line_chunks.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_chunks", "text")
 
 
 @query

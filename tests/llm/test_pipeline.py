@@ -29,7 +29,7 @@ def test_stages(spark):
         if name == "quality_rules":
             truth = {d: t for d, t in listed if quality.measure(t)[-1] & quality.POLICIES["v2_default"] == 0}
         elif name == "line_dedup":
-            truth = {d: t for d, t, old in brute_lines(spark, listed) if t or not old}
+            truth = {d: t for d, t, gone in brute_lines(listed) if t or not gone}
         elif name == "ngram_jaccard_join":
             truth = {d: before[d] for d, _, c in brute_join(listed) if c == d}
         else:
