@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawloom.llm import line_runs, ngram_join, packing, quality, winnowing
+from drawloom.llm import line_chunks, ngram_join, packing, quality, winnowing
 from drawloom.llm.common import public_tokenizer, small_side, stored, table
 
 
@@ -20,14 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines are cut from the texts; a text of which nothing is left goes, and n_chars follows."""
-    rows = line_runs.dedup_runs(docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c in ("n_lines", "n_removed", "n_chunks")}))
-    left = rows.filter("n_removed = 0 or text is null or text != ''")
-    out = left.select(*(F.col(f"_doc_{c}" if f"_doc_{c}" in rows.columns else c).alias(c) for c in docs.columns))
+    rows, added = line_chunks.cut(docs)
+    out = rows.filter((F.col(added["n_removed"]) == 0) | F.col("text").isNull() | (F.col("text") != "")).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; of rows with one id and words, one."""
+    """The document with the smallest id of each component stays; of rows with one id and words,
+    the one whose text has the least hash."""
     found = stored(ngram_join.jaccard_components(docs))
     others = stored(found.filter("component_id != doc_id").select("doc_id").distinct())
     kept = docs.join(small_side(others), "doc_id", "left_anti").select(docs.columns)
@@ -35,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     again = small_side(again)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = F.struct(F.xxhash64("text"), F.sha2("text", 256))
+    least = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), order).alias("_least"))
+    once = least.select("_least.*")
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
