@@ -1,5 +1,6 @@
 """Walk-forward models over weekly draws."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drawloom.operators import features, learn, lines, scoring
@@ -42,50 +43,61 @@ def leaked_targets(spark, d):
     return learn.leaked_targets(walked(spark, d))
 
 
-@query("R13_model_families", "game:s family:s targets:i brier:f log_loss:f")
+@query("R13_model_families", "game:s rule_code:s family:s setting:s blocks:i targets:i brier:f log_loss:f converged:i refused:i")
 def model_families(spark, d):
-    """One setting of each MLlib family on the last block that all series have."""
-    rows = stored_features(spark, d)
-    end = rows.groupBy(*features.SERIES).agg(F.max("draw_idx").alias("last")).agg(F.min("last")).first()[0] + 1
-    options = {
-        "logistic": {"C": 1.0},
-        "boosting": {"max_leaf_nodes": 3, "learning_rate": 0.1, "trees": 20},
-        "forest": {"max_depth": 4, "min_samples_leaf": 50},
-        "mlp": {"hidden": 8, "alpha": 0.1},
-    }
-    out = None
-    for family, params in options.items():
-        scored = learn.walk_forward(rows, family, params, end - BLOCK, end).withColumn("family", F.lit(family))
-        part = scored.select("family", "game", "draw_date", "probability", F.col("hit").alias("drawn"))
-        out = part if out is None else out.unionByName(part)
-    per_target = out.groupBy("family", "game", "draw_date").agg(
-        F.avg(scoring.brier(F.col("probability"), F.col("drawn"))).alias("b"), F.avg(scoring.log_loss(F.col("probability"), F.col("drawn"))).alias("l")
+    """The whole grid of every family over all evaluation blocks."""
+    scored = learn.walk_forward_families(stored_features(spark, d), "evaluation_start", block=BLOCK)
+    keys = [*features.SERIES, "family", "setting"]
+    drawn = F.col("hit")
+    per_target = scored.groupBy(*keys, "block_start", "draw_date").agg(
+        F.avg(scoring.brier(F.col("probability"), drawn)).alias("b"),
+        F.avg(scoring.log_loss(F.col("probability"), drawn)).alias("l"),
+        F.bool_and(F.coalesce("converged", F.lit(False))).alias("c"),
+        F.bool_or(F.col("refused").isNotNull()).alias("r"),
+    )
+    return per_target.groupBy(*keys).agg(
+        F.count_distinct("block_start").alias("blocks"), F.count("*").alias("targets"), F.avg("b").alias("brier"), F.avg("l").alias("log_loss"), F.bool_and("c").alias("converged"), F.bool_or("r").alias("refused")
     )
-    return per_target.groupBy("game", "family").agg(F.count("*").alias("targets"), F.avg("b").alias("brier"), F.avg("l").alias("log_loss"))
+
+
+@query("R13_leaked_targets", "game:s family:s leak:s targets:i", """SELECT game, family, 'block_after_target' AS leak, count(*) AS targets
+       FROM (SELECT game, rule_code, draw_idx FROM week_features WHERE number = 1) f
+       JOIN (SELECT game, rule_code, max(draw_idx) AS last FROM week_features GROUP BY 1, 2) m USING (game, rule_code), (VALUES ('boosting'), ('forest'), ('mlp')) v(family)
+       WHERE draw_idx = last GROUP BY 1, 2""")
+def family_leaks(spark, d):
+    """The leak check over all predictions of the grid, with one leak put in: last targets, moved before their block."""
+    scored = learn.walk_forward_families(stored_features(spark, d), "evaluation_start", block=BLOCK, families=("boosting", "forest", "mlp"))
+    last = F.max("draw_idx").over(Window.partitionBy(*features.SERIES, "family", "setting"))
+    hurt = scored.withColumn("block_start", F.when(F.col("draw_idx") == last, F.col("draw_idx") + 1).otherwise(F.col("block_start")))
+    found = learn.leaked_targets(hurt).withColumn("leak", F.when(F.col("block_start") > F.col("draw_idx"), "block_after_target").otherwise("input_after_target"))
+    return found.groupBy("game", "family", "leak").agg(F.count_distinct("rule_code", "draw_date").alias("targets"))
 
 
 def tuned(spark, rows):
-    """The whole logistic grid on the tuning blocks, all fits together; one row per series and setting."""
-    costs = learn.SEARCH_SPACE["logistic"]["C"]
-    predicted = learn.walk_forward_logistic(rows, F.col("tuning_start"), BLOCK, F.col("evaluation_start"), costs=costs)
-    named = predicted.withColumn("setting", F.concat(F.lit("logistic-C"), F.col("C").cast("string")))
-    checked = named.groupBy(*features.SERIES, "setting", "C").agg(F.bool_and(F.coalesce("converged", F.lit(False))).alias("converged"))
-    scores = learn.validation_scores(named, [*features.SERIES, "setting"]).join(checked, [*features.SERIES, "setting"])
-    return learn.choose_settings(scores, list(features.SERIES))
+    """The whole grid of every family on the tuning blocks; one row per series and setting, the best of each family marked."""
+    predicted = learn.walk_forward_families(rows, "tuning_start", "evaluation_start", BLOCK).filter("refused is null")
+    keys = [*features.SERIES, "family", "setting"]
+    checked = predicted.groupBy(*keys).agg(F.bool_and(F.coalesce("converged", F.lit(False))).alias("converged"))
+    scores = learn.validation_scores(predicted, keys).join(checked, keys)
+    return learn.choose_settings(scores, [*features.SERIES, "family"])
 
 
-@query("R14_tuning", "game:s rule_code:s setting:s validation_targets:i log_loss:f hit_3_plus_rate:f converged:i selected:i")
+@query("R14_tuning", "game:s rule_code:s family:s setting:s validation_targets:i log_loss:f hit_3_plus_rate:f converged:i selected:i")
 def tuning(spark, d):
     return tuned(spark, stored_features(spark, d))
 
 
 @query("R16_model_evaluation", "source:s method:s draws:i lines:i mean_matches:f any_3_plus:i")
 def model_evaluation(spark, d):
-    """Lines of the model with the tuned setting next to the frequency and rule-based lines, on the same targets."""
+    """Lines of every family with its tuned setting next to the frequency and rule-based lines, on the same targets."""
     rows = stored_features(spark, d)
-    chosen = cut_lineage(tuned(spark, rows).filter("selected").select(*features.SERIES, "C"))
-    predicted = learn.walk_forward_logistic(rows, F.col("evaluation_start"), BLOCK, costs=chosen).filter("probability is not null")
-    scored = lines.heuristic_scores(predicted, {"logistic": "probability"})
+    points = spark.createDataFrame([(learn.ensembles.setting_id(f, p), {k: float(v) for k, v in p.items()}) for f, p in learn.grid()], "setting string, params map<string,double>")
+    chosen = cut_lineage(tuned(spark, rows).filter("selected").select(*features.SERIES, "family", "setting").join(points, "setting"))
+    fitted = learn.walk_forward_families(rows, "evaluation_start", block=BLOCK, chosen=chosen).filter("probability is not null")
+    at = [*features.SERIES, "draw_date", "number"]
+    wide = fitted.groupBy(*at).agg(*(F.max(F.when(F.col("family") == f, F.col("probability"))).alias(f"p_{f}") for f in learn.SEARCH_SPACE))
+    predicted = rows.join(wide, at).filter(" and ".join(f"p_{f} is not null" for f in learn.SEARCH_SPACE))
+    scored = lines.heuristic_scores(predicted, {f: f"p_{f}" for f in learn.SEARCH_SPACE})
     portfolios = lines.study_portfolios(scored, DIGEST)
     issued = lines.explode_lines(portfolios.select("game", "draw_date", "source", "method", "lines"))
     return scoring.match_summary(scoring.match_lines(issued, rel.draws(spark, d)), ["source", "method"])

@@ -66,10 +66,10 @@ def test_models_that_may_not_be_fitted_are_refused(spark):
     assert {r.m: r.probability is None for r in learn.predict_logistic(df, models, ["m"], ["x"]).collect()} == {"both": False, "one": True, "nan": True}
 
 
-def test_grid_of_settings(spark):
-    got = learn.setting_table(spark).collect()
-    assert len(got) == 4 + 6 + 4 + 4 and {r.family for r in got} == set(learn.SEARCH_SPACE)
-    assert {(r.params["max_leaf_nodes"], r.params["learning_rate"]) for r in got if r.family == "boosting"} == {(a, b) for a in (3, 7, 15) for b in (0.03, 0.1)}
+def test_grid_of_settings():
+    got = learn.grid()
+    assert len(got) == 4 + 6 + 4 + 4 and {f for f, _ in got} == set(learn.SEARCH_SPACE)
+    assert {(p["max_leaf_nodes"], p["learning_rate"]) for f, p in got if f == "boosting"} == {(a, b) for a in (3, 7, 15) for b in (0.03, 0.1)}
 
 
 def test_a_cluster_must_name_the_shared_folder():
