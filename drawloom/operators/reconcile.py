@@ -99,8 +99,8 @@ def number_states(staged: DataFrame, resolutions: DataFrame | None = None) -> tu
     return valid, states.withColumn("status", F.when(F.col("conflict_seq").isNull(), "accepted").otherwise("quarantined"))
 
 
-def observation_outcomes(staged: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
-    """One outcome per observation: staged, accepted, corroborated, quarantined, or superseded by a resolution."""
+def _judged(staged: DataFrame, resolutions: DataFrame | None) -> DataFrame:
+    """Valid observations with their epoch, ``then`` (the outcome on arrival), the outcome on replay, and a conflict flag."""
     valid, states = number_states(staged, resolutions)
     s = states.select(
         *KEY,
@@ -130,9 +130,13 @@ def observation_outcomes(staged: DataFrame, resolutions: DataFrame | None = None
     overruled = (F.col("mains") != F.col("_now_mains")) | F.coalesce(F.col("bonus") != F.col("_now_bonus"), F.lit(False))
     involved = conflict | (F.col("arrival_seq") == F.col("accepted_seq"))
     replayed = F.when((F.col("epoch") < F.col("_last_epoch")) & overruled & involved, "superseded")
-    judged = judged.withColumn("outcome", F.coalesce(replayed, outcome)).withColumn(
-        "conflicted", conflict & (F.col("arrival_seq") != F.col("accepted_seq"))
-    )
+    judged = judged.withColumn("then", outcome).withColumn("outcome", F.coalesce(replayed, outcome))
+    return judged.withColumn("conflicted", conflict & (F.col("arrival_seq") != F.col("accepted_seq")))
+
+
+def observation_outcomes(staged: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """One outcome per observation: staged, accepted, corroborated, quarantined, or superseded by a resolution."""
+    judged = _judged(staged, resolutions)
     kept = staged.columns
     waiting = staged.filter("issue is not null").withColumn("outcome", F.lit("staged")).withColumn("conflicted", F.lit(False))
     return judged.select(*kept, "outcome", "conflicted").unionByName(waiting.select(*kept, "outcome", "conflicted"))
@@ -226,40 +230,85 @@ PRIZE_KEY = ["game", "draw_date", "tier"]
 PRIZE_FIELDS = ["winners", "amount", "currency"]
 
 
-def reconcile_prizes(prizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stored tier rows, issues). Prizes must come from observations that were accepted or corroborated."""
-    history = climb(prizes, PRIZE_KEY, PRIZE_FIELDS, typed=True)
+def enriching(rows: DataFrame, staged: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """Prize or context rows (game, draw_date, arrival_seq, ...) that may be read, with their ``epoch``.
+
+    An observation that was quarantined or staged when it came enriches nothing. A resolution's own rows open its epoch.
+    """
+    taken = _judged(staged, resolutions).filter("then in ('accepted', 'corroborated')").select(*KEY, "arrival_seq", "epoch")
+    if resolutions is not None:
+        seq = F.col("resolution_seq")
+        taken = taken.unionByName(resolutions.select(*KEY, seq.cast(taken.schema["arrival_seq"].dataType).alias("arrival_seq"), seq.cast("long").alias("epoch")))
+    return rows.join(taken, [*KEY, "arrival_seq"])
+
+
+def _current(history: DataFrame, resolutions: DataFrame | None) -> DataFrame:
+    """The states that are stored now: the last one of each key, in the last epoch of its draw.
+
+    A resolution clears what was stored before it, also where nothing has come since.
+    """
     stored = history.filter("until_seq is null").drop("until_seq").withColumnRenamed("since_seq", "observation_seq")
+    if resolutions is None:
+        return stored
+    last = resolutions.groupBy(*KEY).agg(F.max("resolution_seq").cast("long").alias("_last"))
+    return stored.join(last, KEY, "left").filter(F.col("epoch") == F.coalesce("_last", F.lit(0))).drop("_last")
+
+
+def reconcile_prizes(prizes: DataFrame, resolutions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stored tier rows, issues). Prizes must come from observations that were accepted or corroborated.
+
+    With an ``epoch`` column (see ``enriching``) each epoch climbs anew, and only the last one of a draw is stored.
+    """
+    keys = [*PRIZE_KEY, *(["epoch"] if "epoch" in prizes.columns else [])]
+    history = climb(prizes, keys, PRIZE_FIELDS, typed=True)
     clash = _clash(PRIZE_FIELDS) | _type_clash()
     replaces = _covers(PRIZE_FIELDS) & (_adds(PRIZE_FIELDS) | _type_gain())
     equal = reduce(lambda a, b: a & b, [F.col(f"n.{f}").eqNullSafe(F.col(f"s.{f}")) for f in PRIZE_FIELDS])
     kind = F.when(clash, "prize_conflict").when(replaces, None).when(~equal, "partial_prize")
-    issues = _judge(prizes, history, PRIZE_KEY).select(
-        *[F.col(f"n.{k}").alias(k) for k in PRIZE_KEY], F.col("n.arrival_seq").alias("arrival_seq"), kind.alias("kind")
+    issues = _judge(prizes, history, keys).select(
+        *[F.col(f"n.{k}").alias(k) for k in keys], F.col("n.arrival_seq").alias("arrival_seq"), kind.alias("kind")
     )
-    return stored, issues.filter("kind is not null")
+    return _current(history, resolutions), issues.filter("kind is not null")
 
 
 CONTEXT_FIELDS = ["jackpot", "currency", "outcome"]
 
 
-def reconcile_context(context: DataFrame) -> DataFrame:
-    """Stored jackpot, currency and outcome per draw, with a sticky ``disputed`` flag."""
+def _context_history(context: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(distinct tuples with their first and last arrival, history of stored states, keys)."""
+    keys = [*KEY, *(["epoch"] if "epoch" in context.columns else [])]
     rows = context.filter("jackpot is not null or outcome is not null")
     # Equal tuples collapse to their first and last arrival: a tuple that cannot replace a state can
     # never replace a later one, and a contradiction, once true, stays true.
-    claims = rows.groupBy(*KEY, *CONTEXT_FIELDS).agg(
+    claims = rows.groupBy(*keys, *CONTEXT_FIELDS).agg(
         F.min("arrival_seq").alias("arrival_seq"), F.max("arrival_seq").alias("last_seq")
     )
-    history = climb(claims, KEY, CONTEXT_FIELDS, typed=False)
-    on = [F.col(f"n.{k}") == F.col(f"s.{k}") for k in KEY]
+    return claims, climb(claims, keys, CONTEXT_FIELDS, typed=False), keys
+
+
+def reconcile_context(context: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """Stored jackpot, currency and outcome per draw, with a sticky ``disputed`` flag.
+
+    With an ``epoch`` column (see ``enriching``) a resolution clears the context and its dispute.
+    """
+    claims, history, keys = _context_history(context)
+    on = [F.col(f"n.{k}") == F.col(f"s.{k}") for k in keys]
     disputed = (
         claims.alias("n")
         .join(history.alias("s"), on)
         .filter((F.col("n.last_seq") > F.col("s.since_seq")) & _clash(CONTEXT_FIELDS))
-        .select(*[F.col(f"n.{k}").alias(k) for k in KEY])
+        .select(*[F.col(f"n.{k}").alias(k) for k in keys])
         .distinct()
         .withColumn("_disputed", F.lit(True))
     )
-    stored = history.filter("until_seq is null").drop("until_seq").withColumnRenamed("since_seq", "observation_seq")
-    return stored.join(disputed, KEY, "left").withColumn("disputed", F.coalesce("_disputed", F.lit(False))).drop("_disputed")
+    stored = _current(history, resolutions)
+    return stored.join(disputed, keys, "left").withColumn("disputed", F.coalesce("_disputed", F.lit(False))).drop("_disputed")
+
+
+def context_conflicts(context: DataFrame) -> DataFrame:
+    """One issue per row that contradicts the context stored when it came: (keys, arrival_seq, kind, previous_seq)."""
+    _, history, keys = _context_history(context)
+    rows = context.filter("jackpot is not null or outcome is not null")
+    return _judge(rows, history, keys).filter(_clash(CONTEXT_FIELDS)).select(
+        *[F.col(f"n.{k}").alias(k) for k in keys], F.col("n.arrival_seq").alias("arrival_seq"), F.lit("context_conflict").alias("kind"), F.col("s.since_seq").alias("previous_seq")
+    )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from drawloom.operators import intervals, reconcile
 from drawloom.plans import relations as rel
 from drawloom.plans.registry import query
+from drawloom.session import cut_lineage
 
 
 def staged(spark, d):
@@ -146,3 +147,113 @@ def _context_steps():
 )
 def draw_context(spark, d):
     return reconcile.reconcile_context(rel.context_sightings(spark, d))
+
+
+# --- enrichment after a resolution ---------------------------------------------------------
+
+
+def replayed_log(spark, d):
+    """(observations, resolutions): draws that were resolved are published by all sources once more, ten places later."""
+    first = staged(spark, d)
+    fixes = resolutions(spark, d)
+    again = first.join(fixes.select("game", "draw_date"), ["game", "draw_date"], "left_semi").withColumn("arrival_seq", F.col("arrival_seq") + 10)
+    return first.unionByName(again.select(first.columns)), fixes
+
+
+def rebuilt(spark, d, rows):
+    """Prize or context rows, those of resolved draws published again, as far as their observation allows; and resolutions."""
+    log, fixes = replayed_log(spark, d)
+    again = rows.join(fixes.select("game", "draw_date"), ["game", "draw_date"], "left_semi").withColumn("arrival_seq", F.col("arrival_seq") + 10)
+    return cut_lineage(reconcile.enriching(rows.unionByName(again.select(rows.columns)), log, fixes)), fixes
+
+
+def _gate(table):
+    """SQL twin of the gate: rows of accepted and corroborated observations by epoch, numbered within their key."""
+    key = "game, draw_date, tier, epoch" if table == "prize_sightings" else "game, draw_date, epoch"
+    known = "TRUE" if table == "prize_sightings" else "(p.jackpot IS NOT NULL OR p.outcome IS NOT NULL)"
+    bad = [f"(m{n} IS NOT NULL AND (m{n} <> wm OR coalesce(b{n} <> wb, FALSE)))" for n in range(1, 5)]
+    late = " UNION ALL ".join(f"SELECT game, draw_date, q{n}, 10 FROM solved WHERE m{n} IS NOT NULL AND NOT ({' OR '.join(bad[:n])})" for n in range(1, 5))
+    return f"""solved AS (SELECT f.*, w.mains AS wm, w.bonus AS wb FROM fold_4 f JOIN week_draws w USING (game, draw_date)
+         WHERE f.d4 AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 2, 1) = '0' AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 4, 1) < '8'),
+       allowed AS (SELECT game, draw_date, q1 AS seq, 0 AS epoch FROM fold_4 UNION ALL SELECT game, draw_date, q2, 0 FROM fold_4 WHERE m2 IS NOT NULL AND NOT c2
+         UNION ALL SELECT game, draw_date, q3, 0 FROM fold_4 WHERE m3 IS NOT NULL AND NOT d3 UNION ALL SELECT game, draw_date, q4, 0 FROM fold_4 WHERE m4 IS NOT NULL AND NOT d4
+         UNION ALL {late}),
+       gate AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY arrival_seq) AS rn FROM (
+         SELECT p.* REPLACE (p.arrival_seq + a.epoch AS arrival_seq), a.epoch FROM {table} p
+         JOIN allowed a ON a.game = p.game AND a.draw_date = p.draw_date AND a.seq = p.arrival_seq WHERE {known}) g),
+       last AS (SELECT game, draw_date, CASE WHEN (game, draw_date) IN (SELECT (game, draw_date) FROM solved) THEN 10 ELSE 0 END AS epoch FROM fold_4)"""
+
+
+def _climbed_prizes():
+    text = _gate("prize_sightings") + """,
+      s1 AS (SELECT game, draw_date, tier, epoch, winners AS w, amount AS a, currency AS c, prize_type AS t, arrival_seq AS since, CAST(NULL AS VARCHAR) AS kind, arrival_seq AS seq FROM gate WHERE rn = 1)"""
+    for n in range(2, 5):
+        text += f""",
+        j{n} AS (SELECT s.*, n.winners AS nw, n.amount AS na, n.currency AS nc, n.prize_type AS nt, n.arrival_seq AS nseq,
+          coalesce(s.w <> n.winners, FALSE) OR coalesce(s.a <> n.amount, FALSE) OR coalesce(s.c <> n.currency, FALSE)
+            OR coalesce(s.t <> 'unresolved' AND n.prize_type <> 'unresolved' AND s.t <> n.prize_type, FALSE) AS clash,
+          n.arrival_seq IS NOT NULL AND (n.winners IS NOT NULL OR s.w IS NULL) AND (n.amount IS NOT NULL OR s.a IS NULL) AND (n.currency IS NOT NULL OR s.c IS NULL)
+            AND ((s.w IS NULL AND n.winners IS NOT NULL) OR (s.a IS NULL AND n.amount IS NOT NULL) OR (s.c IS NULL AND n.currency IS NOT NULL)
+              OR (s.t = 'unresolved' AND n.prize_type <> 'unresolved')) AS better
+          FROM s{n - 1} s LEFT JOIN (SELECT * FROM gate WHERE rn = {n}) n USING (game, draw_date, tier, epoch)),
+        s{n} AS (SELECT game, draw_date, tier, epoch, CASE WHEN better AND NOT clash THEN nw ELSE w END AS w, CASE WHEN better AND NOT clash THEN na ELSE a END AS a,
+          CASE WHEN better AND NOT clash THEN nc ELSE c END AS c, CASE WHEN better AND NOT clash THEN nt ELSE t END AS t, CASE WHEN better AND NOT clash THEN nseq ELSE since END AS since,
+          CASE WHEN nseq IS NULL THEN NULL WHEN clash THEN 'prize_conflict' WHEN better THEN NULL
+               WHEN w IS DISTINCT FROM nw OR a IS DISTINCT FROM na OR c IS DISTINCT FROM nc THEN 'partial_prize' END AS kind, nseq AS seq FROM j{n})"""
+    return text.replace(" AS (", " AS MATERIALIZED (")
+
+
+def _climbed_context():
+    text = _gate("context_sightings") + """,
+      t1 AS (SELECT game, draw_date, epoch, jackpot AS j, currency AS c, outcome AS o, FALSE AS disputed, arrival_seq AS since, FALSE AS clash, arrival_seq AS seq, arrival_seq AS previous FROM gate WHERE rn = 1)"""
+    for n in (2, 3):
+        text += f""",
+      u{n} AS (SELECT t.game, t.draw_date, t.epoch, j, c, o, disputed, since, n.jackpot AS nj, n.currency AS nc, n.outcome AS no, n.arrival_seq AS nseq,
+         coalesce(t.j <> n.jackpot, FALSE) OR coalesce(t.c <> n.currency, FALSE) OR coalesce(t.o <> n.outcome, FALSE) AS clash,
+         n.arrival_seq IS NOT NULL AND (n.jackpot IS NOT NULL OR t.j IS NULL) AND (n.currency IS NOT NULL OR t.c IS NULL) AND (n.outcome IS NOT NULL OR t.o IS NULL)
+           AND ((t.j IS NULL AND n.jackpot IS NOT NULL) OR (t.c IS NULL AND n.currency IS NOT NULL) OR (t.o IS NULL AND n.outcome IS NOT NULL)) AS better
+         FROM t{n - 1} t LEFT JOIN (SELECT * FROM gate WHERE rn = {n}) n USING (game, draw_date, epoch)),
+      t{n} AS (SELECT game, draw_date, epoch, CASE WHEN better AND NOT clash THEN nj ELSE j END AS j, CASE WHEN better AND NOT clash THEN nc ELSE c END AS c,
+         CASE WHEN better AND NOT clash THEN no ELSE o END AS o, disputed OR clash AS disputed, CASE WHEN better AND NOT clash THEN nseq ELSE since END AS since, clash, nseq AS seq, since AS previous FROM u{n})"""
+    return text.replace(" AS (", " AS MATERIALIZED (")
+
+
+@query(
+    "R2_rebuilt_prizes",
+    "game:s draw_date:s tier:s epoch:i winners:i amount:f currency:s prize_type:s observation_seq:i",
+    f"WITH /*MATERIALIZED*/{_climbed_prizes()} ;; SELECT game, draw_date, tier, epoch, w AS winners, a AS amount, c AS currency, t AS prize_type, since AS observation_seq FROM s4 JOIN last USING (game, draw_date, epoch)",
+)
+def rebuilt_prizes(spark, d):
+    """Prize tiers read from accepted and corroborated observations only, rebuilt after a resolution."""
+    rows, fixes = rebuilt(spark, d, rel.prize_sightings(spark, d))
+    return reconcile.reconcile_prizes(rows, fixes)[0]
+
+
+@query(
+    "R3_accepted_prize_issues",
+    "game:s draw_date:s tier:s epoch:i arrival_seq:i kind:s",
+    f"WITH /*MATERIALIZED*/{_climbed_prizes()} ;; SELECT game, draw_date, tier, epoch, seq AS arrival_seq, kind FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) x WHERE kind IS NOT NULL",
+)
+def accepted_prize_issues(spark, d):
+    rows, fixes = rebuilt(spark, d, rel.prize_sightings(spark, d))
+    return reconcile.reconcile_prizes(rows, fixes)[1]
+
+
+@query(
+    "R2_rebuilt_context",
+    "game:s draw_date:s epoch:i jackpot:f currency:s outcome:s disputed:i observation_seq:i",
+    f"WITH /*MATERIALIZED*/{_climbed_context()} ;; SELECT game, draw_date, epoch, j AS jackpot, c AS currency, o AS outcome, disputed, since AS observation_seq FROM t3 JOIN last USING (game, draw_date, epoch)",
+)
+def rebuilt_context(spark, d):
+    """Draw context read from accepted and corroborated observations only; a resolution clears it and its dispute."""
+    rows, fixes = rebuilt(spark, d, rel.context_sightings(spark, d))
+    return reconcile.reconcile_context(rows, fixes)
+
+
+@query(
+    "R4_context_conflicts",
+    "game:s draw_date:s epoch:i arrival_seq:i kind:s previous_seq:i",
+    f"WITH /*MATERIALIZED*/{_climbed_context()} ;; SELECT game, draw_date, epoch, seq AS arrival_seq, 'context_conflict' AS kind, previous AS previous_seq FROM (SELECT * FROM t2 UNION ALL SELECT * FROM t3) x WHERE clash",
+)
+def context_conflicts(spark, d):
+    return reconcile.context_conflicts(rebuilt(spark, d, rel.context_sightings(spark, d))[0])
