@@ -167,14 +167,19 @@ def rebuilt(spark, d, rows):
     return cut_lineage(reconcile.enriching(rows.unionByName(again.select(rows.columns)), log, fixes)), fixes
 
 
+def solved_draws():
+    """SQL twin of the resolved draws with their decided numbers."""
+    return """solved AS (SELECT f.*, w.mains AS wm, w.bonus AS wb FROM fold_4 f JOIN week_draws w USING (game, draw_date)
+         WHERE f.d4 AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 2, 1) = '0' AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 4, 1) < '8')"""
+
+
 def _gate(table):
     """SQL twin of the gate: rows of accepted and corroborated observations by epoch, numbered within their key."""
     key = "game, draw_date, tier, epoch" if table == "prize_sightings" else "game, draw_date, epoch"
     known = "TRUE" if table == "prize_sightings" else "(p.jackpot IS NOT NULL OR p.outcome IS NOT NULL)"
     bad = [f"(m{n} IS NOT NULL AND (m{n} <> wm OR coalesce(b{n} <> wb, FALSE)))" for n in range(1, 5)]
     late = " UNION ALL ".join(f"SELECT game, draw_date, q{n}, 10 FROM solved WHERE m{n} IS NOT NULL AND NOT ({' OR '.join(bad[:n])})" for n in range(1, 5))
-    return f"""solved AS (SELECT f.*, w.mains AS wm, w.bonus AS wb FROM fold_4 f JOIN week_draws w USING (game, draw_date)
-         WHERE f.d4 AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 2, 1) = '0' AND substr(md5(concat(f.game, '|', CAST(f.draw_date AS VARCHAR))), 4, 1) < '8'),
+    return f"""{solved_draws()},
        allowed AS (SELECT game, draw_date, q1 AS seq, 0 AS epoch FROM fold_4 UNION ALL SELECT game, draw_date, q2, 0 FROM fold_4 WHERE m2 IS NOT NULL AND NOT c2
          UNION ALL SELECT game, draw_date, q3, 0 FROM fold_4 WHERE m3 IS NOT NULL AND NOT d3 UNION ALL SELECT game, draw_date, q4, 0 FROM fold_4 WHERE m4 IS NOT NULL AND NOT d4
          UNION ALL {late}),

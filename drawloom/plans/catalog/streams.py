@@ -6,9 +6,9 @@ from drawloom.operators import prospective
 from drawloom.plans import relations as rel
 from drawloom.plans.catalog import prospective as cat
 from drawloom.plans.catalog.audit import _h, digit
-from drawloom.plans.catalog.canonical import staged
+from drawloom.plans.catalog.canonical import replayed_log, solved_draws, staged
 from drawloom.plans.registry import query
-from drawloom.session import scratch
+from drawloom.session import cut_lineage, scratch
 from drawloom.streaming import jobs
 
 
@@ -43,6 +43,38 @@ def stream_reconciliation(spark, d):
     return spark.read.parquet(root + "/out")
 
 
+@query(
+    "I2_stream_resolutions",
+    "game:s draw_date:s arrival_seq:i outcome:s",
+    f"""WITH {solved_draws()},
+       x AS (SELECT *, {", ".join(f"(m{n} IS NOT NULL AND (m{n} <> wm OR coalesce(b{n} <> wb, FALSE))) AS e{n}" for n in range(1, 5))} FROM solved),
+       said AS (SELECT game, draw_date, q1 AS arrival_seq, 'accepted' AS outcome FROM fold_4
+         UNION ALL SELECT game, draw_date, q2, CASE WHEN c2 THEN 'quarantined' ELSE 'corroborated' END FROM fold_4 WHERE m2 IS NOT NULL
+         UNION ALL SELECT game, draw_date, q3, CASE WHEN d3 THEN 'quarantined' ELSE 'corroborated' END FROM fold_4 WHERE m3 IS NOT NULL
+         UNION ALL SELECT game, draw_date, q4, CASE WHEN d4 THEN 'quarantined' ELSE 'corroborated' END FROM fold_4 WHERE m4 IS NOT NULL),
+       over AS (SELECT game, draw_date, q1 AS arrival_seq FROM x WHERE e1 UNION ALL SELECT game, draw_date, q2 FROM x WHERE c2 AND e2
+         UNION ALL SELECT game, draw_date, q3 FROM x WHERE c3 AND e3 UNION ALL SELECT game, draw_date, q4 FROM x WHERE c4 AND e4)
+       ;; SELECT s.game, s.draw_date, s.arrival_seq, CASE WHEN o.arrival_seq IS NULL THEN s.outcome ELSE 'superseded' END AS outcome
+       FROM said s LEFT JOIN over o USING (game, draw_date, arrival_seq)
+       UNION ALL SELECT game, draw_date, 10, 'resolved' FROM x
+       {" ".join(f"UNION ALL SELECT game, draw_date, q{n} + 10, CASE WHEN {' OR '.join(f'e{k}' for k in range(1, n + 1))} THEN 'quarantined' ELSE 'corroborated' END FROM x WHERE m{n} IS NOT NULL" for n in range(1, 5))}""",
+)
+def stream_resolutions(spark, d):
+    """Observations, resolutions and what is published after them in one stream over three runs; the last outcomes."""
+    root = scratch(spark, "resolve")
+    log, fixes = replayed_log(spark, d)
+    columns = ["game", "draw_date", "arrival_seq", "mains", "bonus"]
+    seen = log.filter("issue is null").select(*columns, F.lit(False).alias("resolves"))
+    events = seen.unionByName(fixes.withColumnRenamed("resolution_seq", "arrival_seq").select(*columns, F.lit(True).alias("resolves")))
+    events = cut_lineage(events)
+    for part in ("arrival_seq <= 2", "arrival_seq > 2 and arrival_seq <= 11", "arrival_seq > 11"):
+        events.filter(part).write.mode("append").parquet(root + "/in")
+        outcomes = jobs.reconcile(jobs.file_stream(spark, root + "/in", events.schema))
+        jobs.run_append(outcomes, root + "/checkpoint", root + "/out")
+    latest = F.max_by("outcome", "revision").alias("outcome")
+    return spark.read.parquet(root + "/out").groupBy("game", "draw_date", "arrival_seq").agg(latest)
+
+
 @query("I3_stream_issue_status", "game:s draw_date:s arm:s status:s", "SELECT game, draw_date, arm, status FROM issue_status")
 def stream_issue_status(spark, d):
     root = scratch(spark, "issues")

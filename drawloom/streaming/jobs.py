@@ -59,57 +59,93 @@ def ingest(stream: DataFrame, ledger: str, checkpoint: str, keys: list[str], pay
 
 # --- reconciliation ------------------------------------------------------------------------
 
-_STATE = T.StructType(
-    [
-        T.StructField("mains", T.ArrayType(T.IntegerType())),
-        T.StructField("bonus", T.IntegerType()),
-        T.StructField("disputed", T.BooleanType()),
-    ]
-)
+_MAINS, _BONUS = T.StructField("mains", T.ArrayType(T.IntegerType())), T.StructField("bonus", T.IntegerType())
+_NOW = T.StructType([_MAINS, _BONUS, T.StructField("disputed", T.BooleanType()), T.StructField("epoch", T.IntegerType()), T.StructField("revision", T.IntegerType())])
+_CLAIM = T.StructType([_MAINS, _BONUS, T.StructField("epoch", T.IntegerType()), T.StructField("arrival_seq", T.IntegerType()), T.StructField("then", T.StringType()), T.StructField("said", T.StringType())])
 OUTCOME = T.StructType(
     [
         T.StructField("game", T.StringType()),
         T.StructField("draw_date", T.DateType()),
         T.StructField("arrival_seq", T.IntegerType()),
         T.StructField("outcome", T.StringType()),
+        T.StructField("revision", T.IntegerType()),
     ]
 )
 
 
+def _differs(mains: list[int], bonus: int | None, now: list[int], now_bonus: int | None) -> bool:
+    return mains != now or (bonus is not None and now_bonus is not None and bonus != now_bonus)
+
+
 class Reconcile(StatefulProcessor):
-    """Accepted numbers of one draw, kept as one state row; observations of a trigger are taken in arrival order."""
+    """Numbers of one draw under observations and operator resolutions; a trigger's events are taken in arrival order.
+
+    Two states: what is stored now, and the list of claims that a resolution may overrule (accepted ones and those that
+    contradicted). The list is read only when a resolution comes, or when its epoch learns the bonus.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._accepted = handle.getValueState("accepted", _STATE)
+        self._now = handle.getValueState("now", _NOW)
+        self._claims = handle.getListState("claims", _CLAIM)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("arrival_seq")
-        state = None
-        if self._accepted.exists():
-            mains, bonus, disputed = self._accepted.get()
-            state = (list(mains), bonus, disputed)
-        outcomes = []
-        for seq, numbers, extra in zip(arrived["arrival_seq"], arrived["mains"], arrived["bonus"]):
-            numbers, extra = [int(n) for n in numbers], None if pd.isna(extra) else int(extra)
-            if state is None:
-                state, outcome = (numbers, extra, False), "accepted"
+        events = []
+        for part in rows:  # slim tuples, not frames; a trigger's rows of one draw at most
+            events += [(int(seq), [int(n) for n in m], None if pd.isna(b) else int(b), bool(r)) for seq, m, b, r in zip(part["arrival_seq"], part["mains"], part["bonus"], part["resolves"])]
+        mains, bonus, disputed, epoch, revision = self._now.get() if self._now.exists() else (None, None, False, 0, 0)
+        mains, out, fresh = None if mains is None else list(mains), [], []
+        for seq, numbers, extra, resolves in sorted(events, key=lambda e: e[0]):
+            review = False
+            if resolves and not disputed:
+                outcome = "premature"
+            elif resolves:
+                mains, bonus, disputed, epoch, review, outcome = numbers, extra, False, epoch + 1, True, "resolved"
+            elif mains is None:
+                mains, bonus, outcome = numbers, extra, "accepted"
+                fresh.append((numbers, extra, epoch, seq, outcome, outcome))
             else:
-                mains, bonus, disputed = state
-                clash = numbers != mains or (bonus is not None and extra is not None and bonus != extra)
+                clash = _differs(numbers, extra, mains, bonus)
                 outcome = "quarantined" if clash or disputed else "corroborated"
-                filled = extra if bonus is None and outcome == "corroborated" else bonus
-                state = (mains, filled, disputed or clash)
-            outcomes.append((key[0], key[1], int(seq), outcome))
-        self._accepted.update(state)
-        yield pd.DataFrame(outcomes, columns=[f.name for f in OUTCOME])
+                if clash:
+                    fresh.append((numbers, extra, epoch, seq, outcome, outcome))
+                elif outcome == "corroborated" and bonus is None and extra is not None:
+                    bonus, review = extra, epoch > 0
+                disputed = disputed or clash
+            out.append((seq, outcome))
+            if review:
+                self._claims.appendList(fresh) if fresh else None
+                fresh = []
+                out += self._reviewed(mains, bonus, epoch)
+        if fresh:
+            self._claims.appendList(fresh)
+        self._now.update((mains, bonus, disputed, epoch, revision + len(out)))
+        yield pd.DataFrame([(key[0], key[1], seq, outcome, revision + k) for k, (seq, outcome) in enumerate(out)], columns=[f.name for f in OUTCOME])
+
+    def _reviewed(self, mains: list[int], bonus: int | None, epoch: int) -> list[tuple[int, str]]:
+        """Claims of earlier epochs whose outcome is another one under the resolved numbers."""
+        held, changed = [], []
+        for claimed, extra, since, seq, then, said in self._claims.get():
+            want = said
+            if since < epoch:
+                want = "superseded" if _differs(list(claimed), extra, mains, bonus) else then
+            if want != said:
+                changed.append((int(seq), want))
+            held.append((list(claimed), extra, since, seq, then, want))
+        if changed:
+            self._claims.put(held)
+        return changed
 
     def close(self) -> None:
         pass
 
 
 def reconcile(stream: DataFrame) -> DataFrame:
-    """Outcome of every valid observation; the state of a draw is three fields, whatever the number of observations."""
-    picked = stream.select("game", "draw_date", "arrival_seq", "mains", "bonus")
+    """Outcomes of valid observations and of resolutions (rows with ``resolves``), numbered by ``revision`` within a draw.
+
+    An observation that a resolution overrules comes once more, as superseded; its greatest revision counts.
+    """
+    resolves = F.col("resolves") if "resolves" in stream.columns else F.lit(False)
+    picked = stream.select("game", "draw_date", "arrival_seq", "mains", "bonus", resolves.alias("resolves"))
     return picked.groupBy("game", "draw_date").transformWithStateInPandas(
         statefulProcessor=Reconcile(), outputStructType=OUTCOME, outputMode="Append", timeMode="None"
     )

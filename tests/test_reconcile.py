@@ -87,6 +87,56 @@ def test_stream_equals_batch(spark):
     assert stream_rows.exceptAll(batch_rows).isEmpty() and batch_rows.exceptAll(stream_rows).isEmpty()
 
 
+def test_stream_equals_batch_with_resolutions(spark):
+    """Resolutions of quarantined draws, some twice, in a stream of four runs; overruled observations come again."""
+    rng = random.Random(8)
+    rows, fixes = [], []
+    for game, group in by_game(random_log(6, games=40)).items():
+        rows += group
+        if fold(group)[2]:
+            fixes.append((game, DAY, 10, SETS[rng.random() < 0.5], rng.choice([None, 10, 11])))
+            later = [(game, DAY, 11 + k, SETS[rng.random() < 0.4], rng.choice([None, 10, 11]), None) for k in range(rng.randint(0, 4))]
+            rows += later
+            start = [(game, DAY, 10, *fixes[-1][3:], None)]
+            if fold(start + later)[2]:
+                fixes.append((game, DAY, 20, SETS[0], 10))
+                rows.append((game, DAY, 21, SETS[0], 10, None))
+    assert len(fixes) > 15 and any(f[2] == 20 for f in fixes)
+    staged = spark.createDataFrame(rows, STAGED)
+    resolved = spark.createDataFrame(fixes, "game string, draw_date date, resolution_seq int, mains array<int>, bonus int")
+    columns = ["game", "draw_date", "arrival_seq", "mains", "bonus"]
+    events = staged.select(*columns, F.lit(False).alias("resolves")).unionByName(resolved.withColumnRenamed("resolution_seq", "arrival_seq").select(*columns, F.lit(True).alias("resolves")))
+    root = scratch(spark, "test")
+    for part in ("arrival_seq <= 2", "arrival_seq between 3 and 10", "arrival_seq between 11 and 12", "arrival_seq > 12"):
+        events.filter(part).repartition(2).write.mode("append").parquet(root + "/in")
+        jobs.run_append(jobs.reconcile(jobs.file_stream(spark, root + "/in", events.schema)), root + "/checkpoint", root + "/out")
+    out = spark.read.parquet(root + "/out")
+    assert out.groupBy("game", "revision").count().filter("count > 1").isEmpty() and out.filter("outcome = 'premature'").isEmpty()
+    latest = {(r.game, r.arrival_seq): r.outcome for r in out.groupBy("game", "arrival_seq").agg(F.max_by("outcome", "revision").alias("outcome")).collect()}
+    truth = {(r.game, r.arrival_seq): r.outcome for r in reconcile.observation_outcomes(staged, resolved).collect()}
+    assert {k: v for k, v in latest.items() if v != "resolved"} == truth and "superseded" in truth.values()
+
+
+def test_enrichment_is_gated_and_rebuilt(spark):
+    """A conflicting observation's prizes are not read; a resolution clears prizes and context, and later rows climb again."""
+    rows = [("g", DAY, 1, SETS[0], 9, None), ("g", DAY, 2, SETS[1], 9, None), ("g", DAY, 3, SETS[0], 9, None), ("g", DAY, 6, SETS[1], 9, None), ("h", DAY, 1, SETS[0], 9, None)]
+    fixes = spark.createDataFrame([("g", DAY, 5, SETS[1], 9)], "game string, draw_date date, resolution_seq int, mains array<int>, bonus int")
+    staged = spark.createDataFrame(rows, STAGED)
+    five = Decimal("5.00")
+    prizes = spark.createDataFrame([(g, DAY, "T", n, n, five, "EUR", "cash") for g, n in (("g", 1), ("g", 2), ("g", 3), ("g", 6), ("h", 1))] + [("g", DAY, "U", 1, 1, five, "EUR", "cash")], PRIZE)
+    before, _ = reconcile.reconcile_prizes(reconcile.enriching(prizes, staged))
+    assert {(r.game, r.tier): r.winners for r in before.collect()} == {("g", "T"): 1, ("g", "U"): 1, ("h", "T"): 1}
+    after, issues = reconcile.reconcile_prizes(reconcile.enriching(prizes, staged, fixes), fixes)
+    assert {(r.game, r.tier): r.winners for r in after.collect()} == {("g", "T"): 6, ("h", "T"): 1} and issues.isEmpty()
+    seven, eight = Decimal("7.00"), Decimal("8.00")
+    context = spark.createDataFrame([("g", DAY, 1, seven, "EUR", None), ("g", DAY, 3, eight, "EUR", None), ("g", DAY, 5, eight, None, None), ("g", DAY, 6, eight, "EUR", "Won")], "game string, draw_date date, arrival_seq int, jackpot decimal(18,2), currency string, outcome string")
+    gated = reconcile.enriching(context, staged, fixes)
+    assert [(r.jackpot, r.outcome, r.disputed) for r in reconcile.reconcile_context(gated, fixes).collect()] == [(eight, "Won", False)]
+    assert reconcile.context_conflicts(gated).isEmpty()  # the third observation was quarantined, so its context was not read
+    found = reconcile.context_conflicts(context).collect()
+    assert sorted((r.arrival_seq, r.kind, r.previous_seq) for r in found) == [(3, "context_conflict", 1), (5, "context_conflict", 1), (6, "context_conflict", 1)]
+
+
 PRIZE = "game string, draw_date date, tier string, arrival_seq int, winners int, amount decimal(18,2), currency string, prize_type string"
 
 
