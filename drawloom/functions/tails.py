@@ -89,25 +89,3 @@ def binomial_tail(events: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Seri
 def normal_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0))).astype(float)
-
-
-def bernoulli_sum_tail(p: np.ndarray, counts: np.ndarray, observed: int) -> float:
-    """P(sum of independent Bernoulli(p_i) >= observed); equal p are folded into one binomial factor."""
-    pmf = np.ones(1)
-    for value, n in zip(p.astype(float), counts.astype(int)):
-        if value <= 0.0 or n == 0:
-            continue
-        k = np.arange(n + 1, dtype=float)
-        if value >= 1.0:
-            factor = (k == n).astype(float)
-        else:
-            log_choose = math.lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1)
-            factor = np.exp(log_choose + k * math.log(value) + (n - k) * math.log1p(-value))
-        pmf = np.convolve(pmf, factor)
-    return float(min(1.0, pmf[max(int(observed), 0):].sum()))
-
-
-@F.pandas_udf(T.DoubleType())
-def poisson_binomial_tail(p: pd.Series, counts: pd.Series, hits: pd.Series) -> float:
-    """Grouped aggregate over (probability, trials, hits) rows already collapsed by Spark."""
-    return bernoulli_sum_tail(p.to_numpy(), counts.to_numpy(), int(hits.sum()))

@@ -13,6 +13,10 @@ from drawloom.operators.scoring import holm
 from drawloom.session import cut_lineage
 
 
+#: Fixed value: replicates of the study's bootstrap tests.
+REPLICATES = 10_000
+
+
 def exact_rates(hits: DataFrame, keys: list[str], hit: str = "hit", pool: str = "pool", matches: int = 3) -> DataFrame:
     """Rate of a 0/1 column with its exact 95% interval, against the exact one-line chance."""
     grouped = hits.groupBy(*keys).agg(F.sum(hit).alias("events"), F.count("*").alias("trials"), F.max(pool).alias("pool"))
@@ -47,30 +51,32 @@ def monte_carlo_p(nulls: DataFrame, keys: list[str], statistic: str, observed: s
     )
 
 
-def bootstrap_means(differences: DataFrame, keys: list[str], replicates: int, seed: str, block: int = 1, chunk: int = 256) -> DataFrame:
+def bootstrap_means(differences: DataFrame, keys: list[str], replicates: int = REPLICATES, seed: str = "", block: int = 1, chunk: int = 64) -> DataFrame:
     """Resampled means of paired differences: one row per series and replicate.
 
     ``differences`` has keys, ``row_idx`` (0..n-1) and ``difference``. Position j of replicate r takes the
     row ``(start + j % block) % n`` with a hash-derived start per block, so any subset of replicates can be
-    recomputed alone. Rows meet by an equi-join on (series, row_idx); means are combined map-side.
+    recomputed alone. A series has one difference a day at most, so it travels as one array to chunks of replicates
+    that are dealt over all tasks; each replicate is summed inside its row, and no resampled row is ever shuffled.
     """
-    sizes = differences.groupBy(*keys).agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("row_idx", "difference")))
+    series = differences.groupBy(*keys).agg(F.transform(ordered, lambda x: x["difference"]).alias("_values"))
     parts = -(-replicates // chunk)
-    spread = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = series.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.repartition(int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_part")
     last = F.least(F.lit(replicates - 1), (F.col("_part") + 1) * chunk - 1)
-    reps = spread.repartition(*keys, "_part").withColumn("replicate", F.explode(F.sequence(F.col("_part") * chunk, last)))
-    blocks = reps.withColumn("_block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    series = [F.col(k).cast("string") for k in keys]
-    start = F.floor(unit_uniform(seed, *series, F.col("replicate"), F.col("_block")) * F.col("n"))
-    placed = blocks.withColumn("_start", start)
-    offset = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
-    picks = (
-        placed.withColumn("_offset", offset)
-        .filter(F.col("_block") * block + F.col("_offset") < F.col("n"))
-        .select(*keys, "replicate", F.pmod(F.col("_start") + F.col("_offset"), F.col("n")).cast("long").alias("row_idx"))
-    )
-    values = differences.select(*keys, F.col("row_idx").cast("long").alias("row_idx"), "difference")
-    return picks.join(values, [*keys, "row_idx"]).groupBy(*keys, "replicate").agg(F.avg("difference").alias("mean"))
+    reps = dealt.withColumn("replicate", F.explode(F.sequence(F.col("_part") * chunk, last)))
+    names = [F.col(k).cast("string") for k in keys]
+    n = F.size("_values")
+
+    def drawn(at: Column) -> Column:
+        """Sum of the block number ``at`` of the replicate."""
+        start = F.floor(unit_uniform(seed, *names, F.col("replicate"), at) * n)
+        inside = F.least(F.lit(block), n - at * block)
+        return F.aggregate(F.sequence(F.lit(0), inside - 1), F.lit(0.0), lambda acc, k: acc + F.get("_values", F.pmod(start + k, n).cast("int")))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), F.lit(0.0), lambda acc, at: acc + drawn(at))
+    return reps.select(*keys, "replicate", (total / n).alias("mean"))
 
 
 def bootstrap_summary(differences: DataFrame, means: DataFrame, keys: list[str], block: int = 1) -> DataFrame:

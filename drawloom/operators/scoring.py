@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import match_probability, match_tail, overlap
-from drawloom.functions.tails import clopper_pearson, normal_tail, poisson_binomial_tail
+from drawloom.functions.tails import clopper_pearson, normal_tail
 from drawloom.session import cut_lineage, spread
 
 EPSILON = 1e-15
@@ -233,7 +234,32 @@ def event_tail(rows: DataFrame, keys: list[str], hit: Column) -> DataFrame:
     Rows collapse to distinct chances first; that table is small, because equal portfolio structures share one.
     """
     folded = rows.groupBy(*keys, "chance").agg(F.count("*").alias("_n"), F.count_if(hit).alias("_hits"))
-    return folded.groupBy(*keys).agg(poisson_binomial_tail("chance", "_n", "_hits").alias("p_value"))
+    return tail_of_sums(folded, keys)
+
+
+def tail_of_sums(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p_value) of rows (keys, chance, _n, _hits): the chance that independent events of ``_n`` trials each with
+    ``chance`` come to the group's hits or more.
+
+    The characteristic function at each frequency is a product over trials, so its logarithm and angle are sums, which
+    combine on the map side; the tail is one more sum over frequencies (the inverse transform, summed over the counts).
+    A group's frequencies, half as many as its trials, are rows of their own: nothing of a group lies in one task.
+    """
+    totals = folded.groupBy(*keys).agg(F.sum("_n").alias("_trials"), F.sum("_hits").alias("_seen"))
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    on = reduce(lambda a, b: a & b, same)
+    rows = folded.alias("f").join(totals.alias("t"), on).select(*[F.col(f"f.{k}").alias(k) for k in keys], F.col("f.chance").cast("double").alias("_p"), "f._n", "t._trials", "t._seen")
+    size = F.col("_trials") + 1
+    at = rows.withColumn("_j", F.explode_outer(F.when(F.col("_trials") >= 1, F.sequence(F.lit(1).cast("long"), F.floor(size / 2)))))
+    w = F.col("_j") * (2 * math.pi) / size
+    p, real = F.col("_p"), 1 - F.col("_p") + F.col("_p") * F.cos(w)
+    square = F.greatest(1 - 2 * p * (1 - p) * (1 - F.cos(w)), F.lit(1e-300))
+    waves = at.groupBy(*keys, "_trials", "_seen", "_j").agg(F.sum(F.col("_n") * F.log(square) / 2).alias("_log"), F.sum(F.col("_n") * F.atan2(p * F.sin(w), real)).alias("_angle"))
+    twice = F.when(2 * F.col("_j") == size, 1.0).otherwise(2.0)  # j and size - j have one real part
+    term = twice * F.exp("_log") * F.cos(F.col("_angle") - w * (F.col("_seen") - 1) / 2) * F.sin(w * F.col("_seen") / 2) / F.sin(w / 2)
+    summed = waves.groupBy(*keys, "_trials", "_seen").agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("_sum"))
+    tail = (F.col("_trials") - F.col("_seen") + 1 - F.col("_sum")) / size
+    return summed.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)).alias("p_value"))
 
 
 def study_summary(rows: DataFrame, significance: float = 0.05) -> DataFrame:
@@ -259,7 +285,7 @@ def study_summary(rows: DataFrame, significance: float = 0.05) -> DataFrame:
         F.sum(F.col("match_mean") * n).alias("_null_mean"),
         F.sum(F.col("match_variance") * n).alias("_null_var"),
     )
-    tails = folded.groupBy(*keys).agg(poisson_binomial_tail("chance", "_n", "_hits").alias("p_value"))
+    tails = tail_of_sums(folded, keys)
     interval = clopper_pearson(F.col("hits_3_plus"), F.col("draws"))
     full = (
         base.join(tails, keys)

@@ -142,7 +142,7 @@ def monte_carlo_p(spark, d):
     return inference.monte_carlo_p(nulls.join(observed, "game"), ["game"], "statistic", "observed")
 
 
-REPLICATES = 400
+REPLICATES = inference.REPLICATES
 RELATIONS["paired_rows"] = """
 SELECT game, draw_date, d AS difference, row_number() OVER (PARTITION BY game ORDER BY draw_date) - 1 AS row_idx, count(*) OVER (PARTITION BY game) AS n
 FROM (SELECT game, draw_date, CAST(sum(CASE policy WHEN 'top6' THEN near WHEN 'cold' THEN -near ELSE 0 END) AS DOUBLE) AS d FROM single_hits GROUP BY 1, 2) x

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drawloom.functions.tails import bernoulli_sum_tail, beta_cdf, exact_interval
+from drawloom.functions.tails import beta_cdf, exact_interval
 from drawloom.operators import features, learn, scoring
 
 RNG = np.random.default_rng(5)
@@ -22,13 +22,44 @@ def test_binomial_tail_and_interval():
     assert upper == pytest.approx([0.308497, 0.812914, 1.0], abs=1e-5)
 
 
-def test_event_tail_against_convolution():
-    p, n = np.array([0.02, 0.1, 0.5, 0.0, 1.0]), np.array([30, 12, 3, 4, 1])
-    pmf = np.ones(1)
-    for value in np.repeat(p, n):
-        pmf = np.convolve(pmf, [1 - value, value])
-    for seen in (0, 1, 4, 9):
-        assert bernoulli_sum_tail(p, n, seen) == pytest.approx(min(1.0, pmf[seen:].sum()))
+def test_event_tail_against_convolution(spark):
+    groups = {
+        "mixed": ([0.02, 0.1, 0.5, 0.0, 1.0], [30, 12, 3, 4, 1]),
+        "even": ([0.5], [8]),
+        "long": ([0.021, 0.2, 0.0213], [900, 40, 700]),
+        "never": ([0.0], [5]),
+        "one": ([0.3], [1]),
+    }
+    rows, truth = [], {}
+    for name, (p, n) in groups.items():
+        pmf = np.ones(1)
+        for value in np.repeat(p, n):
+            pmf = np.convolve(pmf, [1 - value, value])
+        for seen in (0, 1, 4, 9, 60):
+            if seen <= sum(n):
+                rows += [(f"{name}{seen}", None if name == "one" else "k", value, int(m), seen if k == 0 else 0) for k, (value, m) in enumerate(zip(p, n, strict=True))]
+                truth[f"{name}{seen}"] = min(1.0, pmf[seen:].sum())
+    folded = spark.createDataFrame(rows, "name string, other string, chance double, _n long, _hits long")
+    got = {r["name"]: r["p_value"] for r in scoring.tail_of_sums(folded, ["name", "other"]).collect()}
+    assert got == pytest.approx(truth, abs=1e-9) and len(truth) > 15
+
+
+def test_bootstrap_takes_hashed_blocks(spark):
+    """Each replicate's mean equals the mean of the rows its hashes name; the chunks change nothing."""
+    from drawloom.functions.scalars import unit_uniform
+    from drawloom.operators import inference
+
+    values = [float(x) for x in RNG.integers(-3, 4, 37)]
+    rows = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)], "game string, row_idx int, difference double")
+    for block in (1, 5):
+        means = {r["replicate"]: r["mean"] for r in inference.bootstrap_means(rows, ["game"], 50, "s", block, chunk=7).collect()}
+        assert means == {r["replicate"]: r["mean"] for r in inference.bootstrap_means(rows, ["game"], 50, "s", block).collect()}
+        for r in (0, 13, 49):
+            blocks = -(-37 // block)
+            u = [x["u"] for x in spark.range(blocks).select(unit_uniform("s", F.lit("g"), F.lit(r), F.col("id")).alias("u")).collect()]
+            picks = [values[(int(u[b] * 37) + k) % 37] for b in range(blocks) for k in range(block) if b * block + k < 37]
+            assert means[r] == pytest.approx(np.mean(picks))
+    assert inference.bootstrap_means(rows, ["game"], seed="s").count() == 10_000
 
 
 def test_portfolio_chance_against_all_pairs(spark):
