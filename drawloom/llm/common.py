@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -78,6 +79,14 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
+def release_memory() -> None:
+    """Gives back what a task's objects and Arrow batches have left free in a Python worker, which outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Applies a function from batch to batch on Arrow data, in pieces of bounded text."""
 
@@ -88,6 +97,6 @@ def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch |
                     if (out := one(part)) is not None:
                         yield out
         finally:
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return df.mapInArrow(run, schema)

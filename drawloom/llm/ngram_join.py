@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import map_batches, shuffle_width, small_side, stored, texts
+from drawloom.llm.common import map_batches, release_memory, shuffle_width, small_side, stored, texts
 
 NUM, DEN = 3, 4
 WORDS = 5
@@ -277,6 +277,7 @@ def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
                 held.append((k, label, np.array(values[offsets[row] : offsets[row + 1]])))
         if held:
             yield _pairs(tied(held))
+        release_memory()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -408,6 +409,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         walk()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        release_memory()
 
     return rows.mapInArrow(run, "a long, b long")
 

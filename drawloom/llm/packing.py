@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from drawloom.llm.common import release_memory
+
 TIERS = (2048, 1024, 512, 256)
 BLOCK_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 14
-MEMO = 300_000
+MEMO = 200_000
 BATCH_CHARS = 1 << 17
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -213,6 +215,13 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, end_id: int = 1, tiers: t
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from packed(batches)
+        finally:  # the vocabularies and the memo are not kept by an idle worker
+            _ENCODERS.clear()
+            release_memory()
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(vocabulary, ranks), Packer(TaskContext.get().partitionId(), tiers)
         held: dict[int, tuple[int | None, np.ndarray]] = {}
         number = fresh = 0
