@@ -69,14 +69,23 @@ def weighted_line(weights: Column, *seed) -> Column:
 def distinct_lines(line_of_attempt, budget: int, attempts: int | None = None, first: Column | None = None) -> Column:
     """The first ``budget`` distinct lines over numbered attempts; ``first`` is put in front when given.
 
-    Repeats are rare in pools of 30 or more (four spare attempts); pass more ``attempts`` for a small pool.
-    A portfolio that still falls short shows up in ``validate.portfolio_check``.
+    Repeats are rare in pools of 30 or more, so four spare attempts are drawn at first. A portfolio that falls short
+    of them draws up to ``attempts`` (1,000 and 100 a line by default); one that is short even then is an error.
     """
-    tries = attempts or budget + 4
-    lines = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), line_of_attempt)
-    if first is not None:
-        lines = F.concat(F.array(first), lines)
-    return F.slice(F.array_distinct(lines), 1, budget)
+    limit = attempts or max(1000, 100 * budget)
+
+    def drawn(tries):
+        lines = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), line_of_attempt)
+        if first is not None:
+            lines = F.concat(F.array(first), lines)
+        return F.slice(F.array_distinct(lines), 1, budget)
+
+    def full(lines, otherwise):
+        # One lambda variable holds the lines, so that they are drawn once.
+        return F.element_at(F.transform(F.array(lines), lambda x: F.when(F.size(x) == budget, x).otherwise(otherwise)), 1)
+
+    short = F.raise_error(F.lit(f"no {budget} distinct lines in {limit} attempts")).cast("array<array<int>>")
+    return full(drawn(min(limit, budget + 4)), full(drawn(limit), short))
 
 
 def uniform_portfolio(pool: Column, budget: int, *seed, attempts: int | None = None) -> Column:

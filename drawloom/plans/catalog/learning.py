@@ -107,8 +107,7 @@ def model_evaluation(spark, d):
     "R17_baselines",
     "source:s method:s role:s lines:i line_3_plus:i",
     """WITH s AS (SELECT game, draw_date, CASE WHEN draw_idx >= n - CAST(ceil(n / 5.0) AS INT) THEN 'holdout' ELSE 'development' END AS role FROM (SELECT *, count(*) OVER (PARTITION BY game) AS n FROM week_pop) x)
-       ;; SELECT l.source, l.method, s.role, count(*) AS lines, count(*) FILTER (WHERE matched >= 3) AS line_3_plus FROM scored_lines l JOIN s USING (game, draw_date)
-       WHERE l.method IN ('top6', 'random1', 'random5') GROUP BY 1, 2, 3""",
+       ;; SELECT l.source, l.method, s.role, count(*) AS lines, count(*) FILTER (WHERE matched >= 3) AS line_3_plus FROM scored_lines l JOIN s USING (game, draw_date) GROUP BY 1, 2, 3""",
 )
 def baselines(spark, d):
     from drawloom.plans.catalog.scoring import study_lines
@@ -116,7 +115,7 @@ def baselines(spark, d):
     roles = features.protocol_splits(rel.population(spark, d)).select(
         "game", "draw_date", F.when(F.col("role") == "holdout", "holdout").otherwise("development").alias("role")
     )
-    matched = scoring.match_lines(study_lines(spark, d, ("top6", "random1", "random5")), rel.draws(spark, d))
+    matched = scoring.match_lines(study_lines(spark, d), rel.draws(spark, d))
     joined = matched.join(roles, ["game", "draw_date"])
     return joined.groupBy("source", "method", "role").agg(F.count("*").alias("lines"), F.count_if(F.col("matched") >= 3).alias("line_3_plus"))
 

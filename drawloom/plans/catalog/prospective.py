@@ -286,22 +286,38 @@ def fingerprint(spark, d):
     return sinks.fingerprint(rel.draws(spark, d, "day"), keys=["game"], columns=["bonus", "draw_date", "game", "mains"])
 
 
-def published(spark, d):
-    """A snapshot of the daily population, its missing days and its enrichment."""
+def snapshot_tables(spark, d):
+    """The daily population, its missing days, its enrichment, and the rules, observations and evidence it rests on."""
     from drawloom.operators import intervals
 
-    root = scratch(spark, "snapshots")
     draws = rel.draws(spark, d, "day")
     cal = intervals.mark_observed(intervals.calendar(rel.date_ranges(draws), rel.rules(spark, range(7))), draws)
     prizes = rel.prize_facts(spark, d).select(F.lit("prize").alias("kind"), "game", "draw_date", "tier", "winners", "amount")
     context = rel.context_rows(spark, d).select(
         F.lit("context").alias("kind"), "game", "draw_date", F.lit("jackpot").alias("tier"), F.lit(None).cast("int").alias("winners"), F.col("jackpot").alias("amount")
     )
-    tables = {
-        "draws": rel.population(spark, d, "day").drop("gap_before"),
+    page = F.sha2(F.concat_ws("|", "game", F.year("draw_date").cast("string")), 256)
+    rules = rel.rules(spark, range(7)).select(
+        "game", "code", "starts_on", "ends_on", "pool", F.lit(True).alias("verified"), F.sha2(F.concat_ws("|", F.lit("rule"), "game", "code"), 256).alias("artifact_sha256")
+    )
+    lineage = draws.select(day_key().alias("observation_key"), "draw_date", "mains", page.alias("artifact_sha256"))
+    return {
+        "draws": rel.population(spark, d, "day").drop("gap_before").withColumn("observation_key", day_key()),
         "missing_days": cal.filter("scheduled and not observed").select("game", "day"),
         "enrichment": prizes.unionByName(context),
+        "rules": rules,
+        "lineage": lineage,
+        "evidence": lineage.select("artifact_sha256").unionByName(rules.select("artifact_sha256")).distinct(),
     }
+
+
+def day_key():
+    return F.sha2(F.concat_ws("|", "game", F.col("draw_date").cast("string")), 256)
+
+
+def published(spark, d):
+    root = scratch(spark, "snapshots")
+    tables = snapshot_tables(spark, d)
     return root, sinks.write_snapshot(spark, root, tables), tables
 
 
@@ -330,17 +346,55 @@ def snapshot_context(spark, d):
     )
 
 
+RELATIONS["day_missing"] = """
+SELECT s.game, s.day FROM (SELECT game, CAST(unnest(generate_series(min(draw_date), max(draw_date), INTERVAL 1 DAY)) AS DATE) AS day FROM day_draws GROUP BY game) s
+JOIN rule_rows r ON r.game = s.game AND s.day >= r.starts_on AND (r.ends_on IS NULL OR s.day <= r.ends_on)
+WHERE NOT EXISTS (SELECT 1 FROM day_draws w WHERE w.game = s.game AND w.draw_date = s.day)
+"""
+
+
 @query(
     "C15_snapshot_verification",
-    "part:s rows:i intact:i",
-    """SELECT 'draws' AS part, count(*) AS rows, 1 AS intact FROM day_pop UNION ALL SELECT 'enrichment', (SELECT count(*) FROM prize_facts) + (SELECT count(*) FROM context_rows), 1""",
+    "part:s rows:i faults:i",
+    """SELECT 'draws' AS part, count(*) AS rows, 0 AS faults FROM day_pop UNION ALL SELECT 'enrichment', (SELECT count(*) FROM prize_facts) + (SELECT count(*) FROM context_rows), 0
+       UNION ALL SELECT 'missing_days', count(*), 0 FROM day_missing UNION ALL SELECT 'rules', count(*), 0 FROM rule_rows UNION ALL SELECT 'lineage', count(*), 0 FROM day_draws
+       UNION ALL SELECT 'evidence', (SELECT count(*) FROM (SELECT DISTINCT game, year(draw_date) FROM day_draws) x) + (SELECT count(*) FROM rule_rows), 0""",
 )
 def snapshot_verification(spark, d):
     root, digest, _ = published(spark, d)
-    broken = sinks.verify_snapshot(spark, root, digest).withColumn("intact", F.lit(0))
-    listed = spark.read.parquet(f"{root}/{digest}/manifest").filter("table <> 'missing_days'")
-    joined = listed.join(broken, "table", "left").withColumn("intact", F.coalesce("intact", F.lit(1)))
-    return joined.withColumnRenamed("table", "part")
+    found = snapshot.violations(spark, root, digest).groupBy("part").agg(F.count("*").alias("faults"))
+    listed = spark.read.parquet(f"{root}/{digest}/manifest").select(F.col("table").alias("part"), "rows")
+    return listed.join(found, "part", "full").withColumn("faults", F.coalesce("faults", F.lit(0))).filter("part <> 'files' or faults > 0")
+
+
+@query(
+    "C15_snapshot_faults",
+    "item:s reason:s",
+    f"""WITH p AS (SELECT *, {_h(1)} AS a, game || ':' || CAST(draw_date AS VARCHAR) AS item FROM day_pop),
+       t AS (SELECT game, min(year(draw_date)) AS y FROM day_draws GROUP BY 1)
+       ;; SELECT item, 'no_covering_rule' AS reason FROM p WHERE a IN ('0', '1') UNION ALL SELECT item, 'unverified_rule' FROM p WHERE a = '0' OR (a <> '1' AND game = 'O' AND rule_code = 'R2') OR (a = '1' AND game = 'O' AND rule_code = 'R1')
+       UNION ALL SELECT item, 'invalid_numbers' FROM p WHERE a = '2' UNION ALL SELECT item, 'observation_differs' FROM p WHERE a IN ('2', '4')
+       UNION ALL SELECT item, 'no_observation' FROM p WHERE a = '3' UNION ALL SELECT item, 'repeated_date' FROM p, (VALUES (1), (2)) two(i) WHERE a = '5'
+       UNION ALL SELECT item, 'unverified_rule' FROM p WHERE a = '5' AND game = 'O' AND rule_code = 'R2'
+       UNION ALL SELECT item, 'no_evidence' FROM p JOIN t USING (game), (VALUES (1), (2)) two(i) WHERE year(draw_date) = y AND a <> '3' AND (a = '5' OR i = 1)""",
+)
+def snapshot_faults(spark, d):
+    """A snapshot whose tables carry faults: draws of unknown or other rules, changed numbers, lost or changed
+    observations, repeated dates, a rule without evidence, and the first year's page of each game not kept."""
+    tables = dict(snapshot_tables(spark, d))
+    h, m = digit(1), F.col("mains")
+    other = F.when(F.col("rule_code") == "R1", "R2").otherwise("R1")
+    draws = tables["draws"].withColumn("rule_code", F.when(h == "0", "R9").when(h == "1", other).otherwise(F.col("rule_code")))
+    draws = draws.withColumn("mains", F.when(h == "2", F.concat(F.slice(m, 1, 5), F.array(m[0]))).otherwise(m))
+    tables["draws"] = draws.unionByName(draws.filter(h == "5"))
+    keyed = rel.draws(spark, d, "day").select(day_key().alias("observation_key"), h.alias("h"))
+    seen = tables["lineage"].join(keyed, "observation_key")
+    tables["lineage"] = seen.filter("h <> '3'").withColumn("draw_date", F.when(F.col("h") == "4", F.date_add("draw_date", 1)).otherwise(F.col("draw_date"))).drop("h")
+    first = rel.draws(spark, d, "day").groupBy("game").agg(F.sha2(F.concat_ws("|", "game", F.min(F.year("draw_date")).cast("string")), 256).alias("artifact_sha256"))
+    lost = first.select("artifact_sha256").unionByName(tables["rules"].filter("game = 'O' and code = 'R2'").select("artifact_sha256"))
+    tables["evidence"] = tables["evidence"].join(lost, "artifact_sha256", "left_anti")
+    root = scratch(spark, "faulty")
+    return snapshot.violations(spark, root, sinks.write_snapshot(spark, root, tables))
 
 
 @query(

@@ -1,12 +1,15 @@
 """File and page sources. Spark first writes files from the given tables, then the source reads them back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import line_text
 from drawloom.plans import relations as rel
 from drawloom.plans.catalog.audit import _h, digit
 from drawloom.plans.registry import query
-from drawloom.session import scratch
+from drawloom.session import cut_lineage, scratch
 from drawloom.sources import files, pages, sinks
 
 
@@ -123,7 +126,8 @@ def archive_records(spark, d):
 
 
 def detail_pages(spark, d):
-    """One page per weekly draw with its prize table; some publish another date than their address, some have no list."""
+    """One page per weekly draw with its prize table, game F at one publisher and the others at another; some publish
+    another date than their address, some have no list."""
     tiers = rel.tier_rows(spark, d).select("game", "draw_date", "tier", "winners", "amount")
     cell = F.concat(
         F.lit("<tr><td>"), F.replace("tier", F.lit("Match 6"), F.lit("Jackpot")), F.lit("</td><td>€"), F.format_number("amount", 2), F.lit("</td><td>"),
@@ -135,18 +139,19 @@ def detail_pages(spark, d):
     heading = F.concat(F.lit("Irish Lotto Results for "), F.dayofmonth(shown).cast("string"), suffix, F.lit(" "), F.date_format(shown, "MMMM yyyy"))
     balls = F.array_join(F.transform(F.concat("mains", F.array("bonus")), lambda n: F.format_string("<li>%d</li>", n)), "")
     ball_list = F.when(digit(2) == "0", "").otherwise(F.concat(F.lit('<ul class="balls">'), balls, F.lit("</ul>")))
-    url = F.concat(F.lit("https://www.irishlottery.com/results/irish-lotto-result-"), F.date_format("draw_date", "dd-MM-yyyy"))
+    place = F.when(F.col("game") == "F", "https://www.irishlottery.com/results/irish-lotto-result-").otherwise("https://irish.national-lottery.com/irish-lotto/results-")
+    url = F.concat(place, F.date_format("draw_date", "dd-MM-yyyy"))
     html = F.concat(
         F.lit("<html><head><title>Result</title></head><body><h1>"), heading, F.lit("</h1>"), ball_list, F.lit('<table class="prizeTable">'), "prizes", F.lit("</table></body></html>")
     )
-    return rel.draws(spark, d).filter("game = 'F'").join(tables, ["game", "draw_date"]).select(url.alias("url"), html.alias("html"))
+    return rel.draws(spark, d).join(tables, ["game", "draw_date"]).select(url.alias("url"), html.alias("html"))
 
 
 @query(
     "A3_detail_records",
     "url:s draw_date:s line:s bonus:i prizes:i reject_reason:s",
-    f"""WITH p AS (SELECT w.*, {_h(1, 'w.')} AS a, {_h(2, 'w.')} AS b, (SELECT count(*) FROM tier_rows t WHERE t.game = w.game AND t.draw_date = w.draw_date) AS n FROM week_draws w WHERE game = 'F')
-        ;; SELECT 'https://www.irishlottery.com/results/irish-lotto-result-' || strftime(draw_date, '%d-%m-%Y') AS url, draw_date, CASE WHEN b <> '0' THEN array_to_string(mains, ' ') ELSE '' END AS line,
+    f"""WITH p AS (SELECT w.*, {_h(1, 'w.')} AS a, {_h(2, 'w.')} AS b, (SELECT count(*) FROM tier_rows t WHERE t.game = w.game AND t.draw_date = w.draw_date) AS n FROM week_draws w)
+        ;; SELECT CASE WHEN game = 'F' THEN 'https://www.irishlottery.com/results/irish-lotto-result-' ELSE 'https://irish.national-lottery.com/irish-lotto/results-' END || strftime(draw_date, '%d-%m-%Y') AS url, draw_date, CASE WHEN b <> '0' THEN array_to_string(mains, ' ') ELSE '' END AS line,
         CASE WHEN b <> '0' THEN bonus END AS bonus, n AS prizes, CASE WHEN a = '0' THEN 'date_mismatch' WHEN b = '0' THEN 'ambiguous_numbers' END AS reject_reason FROM p""",
 )
 def detail_records(spark, d):
@@ -157,7 +162,7 @@ def detail_records(spark, d):
 @query(
     "A3_detail_prizes",
     "draw_date:s tier:s winners:i amount:f currency:s prize_type:s",
-    f"SELECT draw_date, tier, winners, amount, 'EUR' AS currency, 'unresolved' AS prize_type FROM tier_rows WHERE game = 'F' AND {_h(1)} <> '0' AND {_h(2)} <> '0' AND (game, draw_date) IN (SELECT game, draw_date FROM week_draws)",
+    f"SELECT draw_date, tier, winners, amount, 'EUR' AS currency, 'unresolved' AS prize_type FROM tier_rows WHERE {_h(1)} <> '0' AND {_h(2)} <> '0' AND (game, draw_date) IN (SELECT game, draw_date FROM week_draws)",
 )
 def detail_prizes(spark, d):
     return pages.detail_prizes(pages.detail_records(detail_pages(spark, d)))
@@ -166,7 +171,7 @@ def detail_prizes(spark, d):
 @query(
     "A4_adapter_routing",
     "adapter:s pages:i",
-    "SELECT adapter, n AS pages FROM (SELECT 'archive' AS adapter, count(*) AS n FROM (SELECT DISTINCT game, year(draw_date) FROM week_draws) UNION ALL SELECT 'detail', count(*) FROM week_draws WHERE game = 'F' UNION ALL SELECT NULL, count(*) FROM pages) x",
+    "SELECT adapter, n AS pages FROM (SELECT 'archive' AS adapter, count(*) AS n FROM (SELECT DISTINCT game, year(draw_date) FROM week_draws) UNION ALL SELECT 'detail', count(*) FROM week_draws UNION ALL SELECT NULL, count(*) FROM pages) x",
 )
 def adapter_routing(spark, d):
     every = archive_pages(spark, d).select("url").unionByName(detail_pages(spark, d).select("url")).unionByName(rel.table(spark, d, "pages").select("url"))
@@ -397,38 +402,69 @@ def line_candidates(spark, d):
 
 @query(
     "A20_curated_insert",
-    "dataset:s appended:i rejected:i",
-    """SELECT CASE c WHEN 1 THEN 'calendar_events' ELSE 'official_period_metrics' END AS dataset, count(*) FILTER (WHERE k % 2 = 1) AS appended, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS rejected
-       FROM curated_rows WHERE c IN (1, 6) GROUP BY 1""",
+    "dataset:s stored:i appended:i rejected:i",
+    """SELECT CASE WHEN c = 0 THEN 'rule_attributes' WHEN c IN (1, 2) THEN 'calendar_events' WHEN c IN (3, 4) THEN 'winning_ticket_reports' ELSE 'official_period_metrics' END AS dataset,
+       count(*) AS stored, count(*) FILTER (WHERE k % 2 = 1) AS appended, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS rejected FROM curated_rows GROUP BY 1""",
 )
 def curated_insert(spark, d):
-    """Even keys are stored already; those divisible by three come back with another payload and are refused."""
+    """Even keys are stored first; those divisible by three come back with another payload and are refused, odd ones are new."""
     from drawloom.plans.catalog.validation import curated_rows
 
-    rows = curated_rows(spark, d).filter("k % 7 in (1, 6)").withColumn("artifact", F.lit("a1"))
+    path = scratch(spark, "curated")
+    rows = curated_rows(spark, d).withColumn("artifact", F.lit("a1"))
     keys, payload = ["record_key", "artifact"], ["dataset", "payload"]
-    old = rows.filter("k % 2 = 0").withColumn("payload_hash", sinks.payload_hash(payload))
+    sinks.append_keyed(rows.filter("k % 2 = 0"), path, keys, payload)
+    first = spark.read.parquet(path).select("record_key").withColumn("first", F.lit(True))  # the files of the first append
     changed = F.when((F.col("k") % 2 == 0) & (F.col("k") % 3 == 0), F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
-    fresh, rejects = sinks.plan_append(rows.withColumn("payload", changed), old, keys, payload)
-    named = rejects.join(rows.select("record_key", "dataset"), "record_key")
-    a = fresh.groupBy("dataset").agg(F.count("*").alias("appended"))
-    b = named.groupBy("dataset").agg(F.count("*").alias("rejected"))
-    return a.join(b, "dataset", "full").na.fill(0)
+    rejects = sinks.append_keyed(rows.withColumn("payload", changed), path, keys, payload).select("record_key", F.lit(True).alias("refused"))
+    ledger = spark.read.parquet(path).join(first, "record_key", "left").join(rejects, "record_key", "left")
+    return ledger.groupBy("dataset").agg(
+        F.count("*").alias("stored"), F.count_if(F.col("first").isNull()).alias("appended"), F.count_if("refused").alias("rejected")
+    )
+
+
+_EXPORT_SUM = "SELECT source, method, {year} AS y, count(*) FILTER (WHERE best >= 3) AS any_3_plus FROM (SELECT source, method, game, draw_date, max(matched) AS best FROM scored_lines GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2, 3"
 
 
 @query(
     "A23_result_export",
-    "source:s method:s draws:i any_3_plus:i",
-    "SELECT source, method, count(*) AS draws, count(*) FILTER (WHERE best >= 3) AS any_3_plus FROM (SELECT source, method, game, draw_date, max(matched) AS best FROM scored_lines GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2",
+    "part:s rows:i total:f",
+    f"""SELECT 'predictions' AS part, count(*) AS rows, sum(list_sum(mains)) AS total FROM study_lines
+       UNION ALL SELECT 'evaluation', count(*), sum(matched) FROM scored_lines
+       UNION ALL SELECT 'summary', count(*), sum(any_3_plus) FROM ({_EXPORT_SUM.format(year="0")}) a
+       UNION ALL SELECT 'yearly', count(*), sum(any_3_plus) FROM ({_EXPORT_SUM.format(year="year(draw_date)")}) b
+       UNION ALL SELECT 'calibration', (SELECT 10 * count(DISTINCT source) FROM probability_rows), count(*) FROM probability_rows
+       UNION ALL SELECT 'comparison', count(*), sum(brier + log_loss) FROM probability_scores
+       UNION ALL SELECT 'probabilities', count(*), sum(probability) FROM probability_rows""",
 )
 def result_export(spark, d):
-    """Summary table written as CSV and read back with its schema."""
+    """The seven result tables written as CSV, lines as text; rows and sums come from the files read back."""
     from drawloom.operators import scoring
-    from drawloom.plans.catalog.scoring import matched
-
-    path = scratch(spark, "export")
-    scoring.match_summary(matched(spark, d), ["source", "method"]).select("source", "method", "draws", "any_3_plus").write.option("header", True).csv(path)
-    return spark.read.schema("source string, method string, draws bigint, any_3_plus bigint").option("header", True).csv(path)
+    from drawloom.plans.catalog.scoring import matched, probabilities
+
+    root = scratch(spark, "export")
+    scored = cut_lineage(matched(spark, d).withColumn("line", line_text(F.col("mains"))))
+    guesses = cut_lineage(probabilities(spark, d))
+    line = ["game", "draw_date", "source", "method", "line_index"]
+    measures = ["draws", "lines", "any_3_plus", "mean_matches"]
+    tables = {
+        "predictions": (scored.select(*line, "line"), F.aggregate(F.split("line", " "), F.lit(0), lambda a, x: a + x.cast("int"))),
+        "evaluation": (scored.select(*line, "matched"), F.col("matched")),
+        "summary": (scoring.match_summary(scored, ["source", "method"]).select("source", "method", *measures), F.col("any_3_plus")),
+        "yearly": (
+            scoring.match_summary(scored.withColumn("year", F.year("draw_date")), ["source", "method", "year"]).select("source", "method", "year", *measures),
+            F.col("any_3_plus"),
+        ),
+        "calibration": (scoring.calibration_bins(guesses, ["source"], "probability", "drawn"), F.col("count")),
+        "comparison": (scoring.probability_scores(guesses, ["source"]), F.col("brier") + F.col("log_loss")),
+        "probabilities": (guesses, F.col("probability")),
+    }
+    back = sinks.export_tables(spark, root, {name: rows for name, (rows, _) in tables.items()})
+    parts = [
+        back[name].agg(F.lit(name).alias("part"), F.count("*").alias("rows"), F.sum(measure.cast("double")).alias("total"))
+        for name, (_, measure) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -47,7 +47,7 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
     Columns go by the names in the header of their own file, in any order. A bad row (cells unlike the header, an
     unreadable date, number, amount or winner count, numbers against the observation rules) rejects its file; so do
     a header without the required names, and a file without rows. No file with a usable header at all is an error.
-    Lines hold one record each.
+    Lines hold one record each. A file of zero bytes yields one rejected row too.
     """
     raw = spark.read.text(path).select(F.col(FILE).alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
     cells = F.transform(F.split("value", _COMMA, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
@@ -58,7 +58,11 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
     if headers.filter(F.size(F.array_intersect("header", needed)) == 7).isEmpty():
         found = headers.first()
         raise ValueError(f"Draw export lacks columns {sorted({'date', *NUMBERS} - set(found.header if found else ()))}")
-    rows = lines.filter(~is_header).join(headers, "file", "full")
+    # Headers are few and small, so the lines of a big file stay where they were read; files without a line come apart.
+    records = lines.filter(~is_header)
+    bare = headers.join(records.select("file").distinct(), "file", "left_anti")
+    empty = spark.createDataFrame([(f,) for f in zero_byte_files(spark, path)], "file string")
+    rows = records.join(headers, "file", "left").unionByName(bare, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
     known = F.coalesce("header", F.array().cast("array<string>"))
 
     def cell(name):
@@ -90,6 +94,16 @@ def draw_exports(spark: SparkSession, path: str) -> DataFrame:
     return mark_bad_files(parsed, bad).drop("_why")
 
 
+def zero_byte_files(spark: SparkSession, path: str) -> list[str]:
+    """Addresses of the files without a byte that a path or pattern names; Spark's own listing leaves them out."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(pattern) or [])
+    listed = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    empty = [f.getPath() for f in listed if f.isFile() and f.getLen() == 0]
+    return [re.sub("^file:/(?!/)", "file:///", p.toUri().toString()) for p in empty if not p.getName().startswith(("_", "."))]
+
+
 def empty_files(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files of a manifest (``file``) without a single record; must be empty."""
     return manifest.join(rows.select("file").distinct(), "file", "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import canonical_json
 from drawloom.session import cut_lineage
+from drawloom.sources.files import below
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -118,20 +119,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+# Rows of a written file, at most: verification hashes a file as one value, so this bounds what a task holds.
+FILE_ROWS = 500_000
+
+
+# Folders of a snapshot that hold no table.
+OWN_PARTS = ("files", "manifest")
+
+
+def file_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(file, size, sha256) of the Parquet files of a snapshot's tables, by their path from its folder, hashed where they are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    hashed = found.select(below(F.col("path"), root).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return hashed.filter(~F.substring_index("file", "/", 1).isin(*OWN_PARTS))
+
+
+def tree_digest(hashes: DataFrame) -> DataFrame:
+    """Root of the hash tree over files: files fold into 4,096 groups by the hash of their path, groups into the root.
+
+    A group holds a 4,096th of the file names, never the content.
+    """
+    leaf = F.concat_ws(":", "file", F.col("size").cast("string"), "sha256")
+    groups = hashes.groupBy(F.substring(F.sha2("file", 256), 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), "\n"), 256).alias("h"))
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "g", "h")))
+    return groups.agg(F.count("*").alias("groups"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+
+
 def write_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], blocking: list[str] = ()) -> str:
     """Publishes tables under ``root/<digest>``. Identical content is reused; blocking conditions refuse.
 
     Tables are written once to a staging folder and digested from the written files, so no input is
-    computed twice; the folder then takes the name of its digest. The manifest is written last.
+    computed twice; the folder then takes the name of its digest. ``files`` lists hash and size of each file, and
+    ``manifest`` the digest of each table and, as ``files``, the root of the hash tree; it is written last.
     """
     if blocking:
         raise ValueError("Audit has blocking conditions: " + ", ".join(sorted(blocking)))
-    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    if not set(tables).isdisjoint(OWN_PARTS):
+        raise ValueError(f"Tables of a snapshot may not be named {', '.join(OWN_PARTS)}")
+    staging = f"{root}/staging-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
+        df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{staging}/{name}")
     digests = table_digests({name: spark.read.parquet(f"{staging}/{name}") for name in tables})
-    digests.coalesce(1).write.parquet(f"{staging}/manifest")
-    digest = combined_digest(spark.read.parquet(f"{staging}/manifest")).first()["digest"]
+    file_hashes(spark, staging).write.parquet(f"{staging}/files")
+    tree = tree_digest(spark.read.parquet(f"{staging}/files")).select(F.lit("files").alias("table"), F.col("groups").alias("rows"), "digest")
+    digests.select("table", "rows", "digest").unionByName(tree).coalesce(1).write.parquet(f"{staging}/manifest")
+    content = spark.read.parquet(f"{staging}/manifest").filter("table <> 'files'")  # equal rows, however they lie in files
+    digest = combined_digest(content).first()["digest"]
     target, fs = _files(spark, f"{root}/{digest}")
     source, _ = _files(spark, staging)
     if fs.exists(target) or not fs.rename(source, target):
@@ -139,13 +172,31 @@ def write_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     return digest
 
 
+def verify_files(spark: SparkSession, root: str, digest: str) -> DataFrame:
+    """(part, item, reason) of files that are missing, added or changed, and of a file list that is not the published one."""
+    home = f"{root}/{digest}"
+    listed = spark.read.parquet(f"{home}/files")
+    now = file_hashes(spark, home).select("file", F.col("size").alias("_size"), F.col("sha256").alias("_sha256"))
+    reason = (
+        F.when(F.col("_sha256").isNull(), "missing_file")
+        .when(F.col("sha256").isNull(), "unlisted_file")
+        .when(F.col("size") != F.col("_size"), "size_differs")
+        .when(F.col("sha256") != F.col("_sha256"), "hash_differs")
+    )
+    damaged = listed.join(now, "file", "full").select(F.substring_index("file", "/", 1).alias("part"), F.col("file").alias("item"), reason.alias("reason"))
+    roots = tree_digest(listed).select("digest").unionByName(spark.read.parquet(f"{home}/manifest").filter("table = 'files'").select("digest"))
+    forged = roots.agg(F.count("*").alias("n"), F.countDistinct("digest").alias("d")).filter("n <> 2 or d <> 1")
+    return damaged.filter("reason is not null").unionByName(forged.select(F.lit("files").alias("part"), F.lit("files").alias("item"), F.lit("list_differs").alias("reason")))
+
+
 def verify_snapshot(spark: SparkSession, root: str, digest: str) -> DataFrame:
     """Tables whose recomputed digest or row count differs from the manifest; empty when the snapshot is intact."""
-    listed = spark.read.parquet(f"{root}/{digest}/manifest")
+    listed = spark.read.parquet(f"{root}/{digest}/manifest").filter("table <> 'files'")
     names = [r["table"] for r in listed.select("table").collect()]  # a handful of table names
     actual = table_digests({n: spark.read.parquet(f"{root}/{digest}/{n}") for n in names})
     joined = listed.alias("l").join(actual.alias("a"), "table", "full")
-    return joined.filter(~F.col("l.digest").eqNullSafe(F.col("a.digest"))).select("table")
+    same = F.col("l.digest").eqNullSafe(F.col("a.digest")) & F.col("l.rows").eqNullSafe(F.col("a.rows"))
+    return joined.filter(~same).select("table")
 
 
 def write_once(df: DataFrame, path: str) -> str:
@@ -160,6 +211,15 @@ def write_once(df: DataFrame, path: str) -> str:
     return "unchanged"
 
 
+def export_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Writes each table as CSV files with a header below ``root`` and returns what those files hold, by the tables' own schemas."""
+    back = {}
+    for name, df in tables.items():
+        df.write.option("header", True).csv(f"{root}/{name}")
+        back[name] = spark.read.schema(df.schema).option("header", True).option("enforceSchema", False).csv(f"{root}/{name}")
+    return back
+
+
 def draw_layout(draws: DataFrame) -> DataFrame:
     """Canonical export columns, sorted by game and date."""
     mains = F.array_sort("mains")

@@ -164,3 +164,14 @@ def test_break_even_is_the_root(spark):
     market = spark.createDataFrame(row, "game string, rule_code string, pool int, draws int, last_draw date, next_jackpot double, starting_jackpot double, prizes map<string,double>, lines_sold double")
     at = one(returns.break_even(market, 2.0))["break_even_jackpot"]
     assert one(returns.line_value(market, jackpot=F.lit(at)))["expected_return"] == pytest.approx(2.0)
+
+
+def test_small_pools_are_drawn_until_full_or_refused(spark):
+    def portfolio(pool, budget):
+        made = lines.uniform_portfolio(F.lit(pool), budget, "p", F.col("id").cast("string"))
+        return [r["l"] for r in spark.range(3).select(made.alias("l")).collect()]
+
+    for got in portfolio(7, 7):
+        assert len({tuple(line) for line in got}) == 7
+    with pytest.raises(Exception, match="no 8 distinct lines"):
+        portfolio(7, 8)

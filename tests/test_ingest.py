@@ -33,6 +33,11 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert (b.mains, b.bonus, str(b.jackpot), b.outcome, b.reject) == ([1, 2, 3, 4, 5, 6], 25, "9.00", None, None)
 
 
+def test_a_file_of_zero_bytes_is_rejected(spark, tmp_path):
+    got = exports(spark, tmp_path, good=HEADER + "2020-01-06,1,2,3,4,5,6,7,1,EUR,0\n", zero="")
+    assert {k: [r.reject for r in v] for k, v in got.items()} == {"good": [None], "zero": ["bad_file"]}
+
+
 def test_a_bad_row_rejects_its_file(spark, tmp_path):
     good = "2020-01-06,1,2,3,4,5,6,7,1,EUR,0\n"
     got = exports(

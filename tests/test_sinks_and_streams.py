@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drawloom.operators import prospective
 from drawloom.session import scratch
-from drawloom.sources import files, pages, sinks
+from drawloom.sources import files, pages, sinks, snapshot
 from drawloom.streaming import jobs
 
 DAY = date(2020, 1, 6)
@@ -45,6 +45,72 @@ def test_snapshot_is_reused_verified_and_refused(spark):
         sinks.write_snapshot(spark, root, tables, ["overlapping_rules"])
 
 
+def intact_tables(spark):
+    draw = (DAY, [1, 2, 3, 4, 5, 6])
+    return {
+        "draws": spark.createDataFrame(
+            [("g", "R1", DAY, draw[1], 7, "k1"), ("g", "R1", date(2020, 1, 8), [2, 3, 4, 5, 6, 7], None, "k2")],
+            "game string, rule_code string, draw_date date, mains array<int>, bonus int, observation_key string",
+        ),
+        "missing_days": spark.createDataFrame([("g", date(2020, 1, 7))], "game string, day date"),
+        "rules": spark.createDataFrame(
+            [("g", "R1", date(2019, 1, 1), None, 47, True, "a0")],
+            "game string, code string, starts_on date, ends_on date, pool int, verified boolean, artifact_sha256 string",
+        ),
+        "lineage": spark.createDataFrame(
+            [("k1", *draw, "a1"), ("k2", date(2020, 1, 8), [7, 6, 5, 4, 3, 2], "a1")],
+            "observation_key string, draw_date date, mains array<int>, artifact_sha256 string",
+        ),
+        "evidence": spark.createDataFrame([("a0",), ("a1",)], "artifact_sha256 string"),
+    }
+
+
+def test_damaged_files_are_found_and_refused(spark, tmp_path):
+    root = str(tmp_path / "s")
+    digest = sinks.write_snapshot(spark, root, intact_tables(spark))
+    assert snapshot.violations(spark, root, digest).isEmpty()
+    assert [r["gap_before"] for r in snapshot.load_population(spark, root, digest, "R1").orderBy("draw_date").collect()] == [False, True]
+    home = tmp_path / "s" / digest
+    (victim,) = list((home / "rules").glob("*.parquet"))[:1]
+    body = victim.read_bytes()
+    (home / "rules" / f".{victim.name}.crc").unlink(missing_ok=True)
+    victim.write_bytes(body[:40] + bytes([body[40] ^ 1]) + body[41:])
+    extra = home / "evidence" / "extra.parquet"
+    extra.write_bytes(body)
+    lost = next(p for p in (home / "lineage").glob("*.parquet"))
+    lost.unlink()
+    found = {(r["item"], r["reason"]) for r in sinks.verify_files(spark, root, digest).collect()}
+    assert found == {(f"rules/{victim.name}", "hash_differs"), ("evidence/extra.parquet", "unlisted_file"), (f"lineage/{lost.name}", "missing_file")}
+    with pytest.raises(ValueError, match="damaged"):
+        snapshot.load_population(spark, root, digest, "R1")
+    # A list rewritten to match the damage no longer has the published root.
+    sinks.file_hashes(spark, str(home)).write.parquet(str(tmp_path / "forged"))
+    spark.read.parquet(str(tmp_path / "forged")).write.mode("overwrite").parquet(str(home / "files"))
+    assert [r["reason"] for r in sinks.verify_files(spark, root, digest).collect()] == ["list_differs"]
+
+
+def test_draws_need_rule_lineage_and_evidence(spark):
+    fine = intact_tables(spark)
+    parts = [fine[t] for t in ("draws", "rules", "lineage", "evidence")]
+
+    def faults(**changed):
+        rows = snapshot.draw_violations(*[changed.get(t, fine[t]) for t in ("draws", "rules", "lineage", "evidence")]).collect()
+        return sorted((r["item"][-2:], r["reason"]) for r in rows)
+
+    assert snapshot.draw_violations(*parts).isEmpty()
+    draws, rules, seen = parts[:3]
+    assert faults(rules=rules.withColumn("verified", F.lit(None).cast("boolean"))) == [("06", "unverified_rule"), ("08", "unverified_rule")]
+    assert faults(rules=rules.withColumn("starts_on", F.lit(date(2020, 1, 7)))) == [("06", "no_covering_rule")]
+    assert faults(rules=rules.withColumn("pool", F.lit(6))) == [("06", "invalid_numbers"), ("08", "invalid_numbers")]
+    assert faults(rules=rules.unionByName(rules)) == []
+    assert faults(lineage=seen.filter("observation_key = 'k1'")) == [("08", "no_observation")]
+    assert faults(lineage=seen.unionByName(seen.withColumn("draw_date", F.lit(DAY)))) == [("08", "observation_differs")]
+    assert faults(evidence=fine["evidence"].filter("artifact_sha256 = 'a0'")) == [("06", "no_evidence"), ("08", "no_evidence")]
+    assert faults(draws=draws.unionByName(draws.limit(1))) == [("06", "repeated_date"), ("06", "repeated_date")]
+    assert faults(draws=draws.withColumn("observation_key", F.lit(None).cast("string"))) == [("06", "no_observation"), ("08", "no_observation")]
+    assert faults(draws=draws.limit(0)) == []
+
+
 def test_write_once(spark):
     path = scratch(spark, "t")
     assert sinks.write_once(spark.range(3), path) == "written"
