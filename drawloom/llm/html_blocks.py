@@ -37,9 +37,9 @@ from drawloom.llm.common import texts
 
 TRAIN_PAGES, TRAIN_CHARS = 150, 100_000
 HIDDEN, PATH_DIM, WORD_DIM, NUMBERS = 12, 12, 6, 8
-PATH_BUCKETS, WORD_BUCKETS, MAX_WORDS = 1 << 11, 1 << 12, 24
+PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 12
 EPOCHS, COPIES = 8, 8
-BATCH_BLOCKS = 20_000
+BATCH_BLOCKS, BATCH_CHARS = 20_000, 2_000_000
 
 #: Elements by HTML's rules (fixed values).
 RAW = "script|style|textarea"
@@ -178,8 +178,7 @@ def features(sequence: list[Block]) -> tuple[list[list[int]], list[int], list[li
         own = text.split()
         paths.append([_bucket(p, PATH_BUCKETS) for p in path] or [0])
         leaves.append(_bucket(path[-1] if path else "", PATH_BUCKETS))
-        spread = own if len(own) <= MAX_WORDS else own[:: len(own) // MAX_WORDS + 1]
-        words.append([_bucket(w.lower().strip(".,;:!?"), WORD_BUCKETS) for w in spread])
+        words.append([_bucket(w.lower().strip(".,;:!?"), WORD_BUCKETS) for w in own])
         stops = sum(text.count(c) for c in ".,;!?")
         numbers.append([np.log1p(len(text)) / 6, np.log1p(len(own)) / 4, links, min(1.0, stops / max(1, len(own)) * 4), float(text[-1] in ".!?"), k / last, min(1.0, len(path) / 8), float("©" in text)])
     return paths, leaves, words, np.array(numbers, np.float32).reshape(-1, NUMBERS)
@@ -320,10 +319,11 @@ def label_pages(w: nets.Weights, pages: list[list[Block]]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     while order:
-        longest, group = 0, []
-        while order and (not group or max(longest, len(pages[order[0]])) * (len(group) + 1) <= BATCH_BLOCKS):
+        longest, chars, group = 0, 0, []
+        while order and (not group or (max(longest, len(pages[order[0]])) * (len(group) + 1) <= BATCH_BLOCKS and chars <= BATCH_CHARS)):
             group.append(order.pop(0))
             longest = len(pages[group[-1]])
+            chars += sum(len(text) for _, text, _ in pages[group[-1]])
         x, places, _ = _inputs(w, [features(pages[k]) for k in group])
         states, _, _ = _states(w, x, places)
         p = nets.sigmoid(states @ w["out_w"] + w["out_b"])

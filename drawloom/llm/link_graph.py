@@ -9,7 +9,9 @@ background rank (the same walk started at all pages alike).
 
 What a host without outgoing links would pass on is left out instead of sent back to the seeds: this scales all values
 of a vector alike, and only shares are used. Each step is one join on hosts and one pre-aggregated sum; every
-``CUT`` steps the vectors are written to the shared folder.
+``CUT`` steps the vectors are written to the shared folder and compared with those ``CUT`` steps before. The walk ends
+when no vector can be further than ``TOLERANCE`` (sum of all hosts) from its limit: a step shrinks differences by the
+damping at least, so the change of a round bounds all that would follow.
 
 A null url and one without ``://`` have an empty host and path, no rule and no part in the graph, and are allowed;
 a null html has no links; repeated rows count again; an empty table gives no rows; other columns are not read.
@@ -17,6 +19,7 @@ a null html has no links; repeated rows count again; an empty table gives no row
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from drawloom.llm.common import lower_ascii, small_side, stored
 
-DAMPING, STEPS, CUT, LIFT = 0.85, 12, 4, 1.5
+DAMPING, CUT, LIFT, TOLERANCE = 0.85, 4, 1.5, 1e-9
 _TARGET = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -63,7 +66,7 @@ def links(pages: DataFrame) -> DataFrame:
     return found.filter("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
-def ranked(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def ranked(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host with trust, distrust and background. ``seeds`` has host and the three start shares; ``edges`` a, b, w."""
     columns = ("trust", "distrust", "background")
     if edges.isEmpty():
@@ -76,13 +79,18 @@ def ranked(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps:
     moves = stored(along.unionByName(against))
     every = edges.select(F.col("a").alias("host")).unionByName(edges.select(F.col("b").alias("host"))).distinct()
     base = stored(seeds.join(every, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(f"s_{c}") for c in columns)))
-    state = base.select("host", *(F.col(f"s_{c}").alias(c) for c in columns))
-    for step in range(1, steps + 1):
+    state = before = base.select("host", *(F.col(f"s_{c}").alias(c) for c in columns))
+    rest = damping**CUT / (1 - damping**CUT)
+    for step in count(1):
         sent = moves.join(state, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("f") * F.col("trust")).alias("trust"), F.sum(F.col("r") * F.col("distrust")).alias("distrust"), F.sum(F.col("f") * F.col("background")).alias("background"))
         state = base.join(sent, "host", "left").select("host", *((F.lit(1 - damping) * F.col(f"s_{c}") + damping * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns))
-        if step % CUT == 0 or step == steps:
+        if step % CUT == 0:
             state = stored(state)
-    return state
+            old = before.select("host", *(F.col(c).alias(f"o_{c}") for c in columns))
+            change = state.join(old, "host").agg(*(F.sum(F.abs(F.col(c) - F.col(f"o_{c}"))) for c in columns)).first()
+            if max(change) * rest <= tolerance:
+                return state
+            before = state
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
