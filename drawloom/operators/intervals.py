@@ -52,13 +52,21 @@ def attach_rule(facts: DataFrame, rules: DataFrame, day: str = "draw_date") -> D
 
 
 def overlapping_rules(rules: DataFrame) -> DataFrame:
-    """Pairs of rules of one game whose intervals overlap, each pair once."""
+    """Pairs of rules of one game whose intervals overlap, each pair once.
+
+    A rule is laid into the years it touches, open ends up to the game's last start, and a pair is taken in the year of
+    its later start: an equi-join on game and year instead of all pairs of a game. A rule without a start meets nothing.
+    """
     far = F.lit("9999-12-31").cast("date")
-    a, b = rules.alias("a"), rules.alias("b")
-    meets = (F.col("a.starts_on") <= F.coalesce("b.ends_on", far)) & (
-        F.col("b.starts_on") <= F.coalesce("a.ends_on", far)
-    )
-    return a.join(b, (F.col("a.game") == F.col("b.game")) & (F.col("a.code") < F.col("b.code")) & meets).select(
+    last = rules.groupBy("game").agg(F.max("starts_on").alias("_last"))
+    start = F.year("starts_on")
+    years = F.sequence(start, F.greatest(start, F.year(F.least(F.coalesce("ends_on", "_last"), "_last"))))
+    spread = rules.join(last, "game").select("game", "code", "starts_on", F.coalesce("ends_on", far).alias("ends_on"), F.explode(years).alias("_year"))
+    a, b = spread.alias("a"), spread.alias("b")
+    later = F.greatest("a.starts_on", "b.starts_on")
+    meets = (F.col("a.starts_on") <= F.col("b.ends_on")) & (F.col("b.starts_on") <= F.col("a.ends_on"))
+    once = (F.col("a.code") < F.col("b.code")) & (F.year(later) == F.col("a._year"))
+    return a.join(b, (F.col("a.game") == F.col("b.game")) & (F.col("a._year") == F.col("b._year")) & once & meets).select(
         F.col("a.game").alias("game"), F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b")
     )
 
@@ -116,6 +124,18 @@ def schedule_summary(observed_calendar: DataFrame) -> DataFrame:
     )
 
 
+def schedule_dates(observed_calendar: DataFrame) -> DataFrame:
+    """(game, day, kind) of the days behind the counts: ``missing``, ``unexpected``, and days under ``overlapping_rules``.
+
+    Days of unknown schedule are never missing. One row per day and kind, so a long list is never gathered.
+    """
+    scheduled, observed = F.col("scheduled"), F.col("observed")
+    kinds = F.array_compact(F.array(
+        F.when(scheduled & ~observed, "missing"), F.when(~scheduled & observed, "unexpected"), F.when(F.col("rule_count") > 1, "overlapping_rules")
+    ))
+    return observed_calendar.select("game", "day", F.explode(kinds).alias("kind"))
+
+
 def mark_gaps(draws: DataFrame, missing_days: DataFrame) -> DataFrame:
     """``gap_before``: a missing scheduled day lies strictly between a draw and its predecessor.
 

@@ -257,6 +257,20 @@ def schedule_coverage(spark, d):
     return intervals.schedule_summary(week_calendar(spark, d))
 
 
+@query(
+    "D10_schedule_dates",
+    "game:s day:s kind:s",
+    """WITH s AS (SELECT game, CAST(unnest(generate_series(min(draw_date), max(draw_date), INTERVAL 1 DAY)) AS DATE) AS day FROM day_draws GROUP BY game)
+       ;; SELECT s.game, s.day, CASE WHEN isodow(s.day) = 1 THEN 'missing' ELSE 'unexpected' END AS kind FROM s
+       JOIN rule_rows r ON r.game = s.game AND s.day >= r.starts_on AND (r.ends_on IS NULL OR s.day <= r.ends_on)
+       LEFT JOIN day_draws w ON w.game = s.game AND w.draw_date = s.day WHERE (isodow(s.day) = 1) <> (w.draw_date IS NOT NULL)""",
+)
+def schedule_dates(spark, d):
+    """Daily draws against a weekly schedule: Mondays without a draw, and draws on other days."""
+    draws = rel.draws(spark, d, "day")
+    return intervals.schedule_dates(intervals.mark_observed(intervals.calendar(rel.date_ranges(draws), rel.rules(spark)), draws))
+
+
 @query(
     "R7_full_audit",
     "game:s canonical_candidates:i included:i excluded:i expected:i eligible_observed:i missing:i unexpected:i unknown_schedule_days:i enrichment_included:i "

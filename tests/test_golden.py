@@ -1,6 +1,7 @@
 """Values known by hand."""
 
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,29 @@ def test_small_pools_are_drawn_until_full_or_refused(spark):
         assert len({tuple(line) for line in got}) == 7
     with pytest.raises(Exception, match="no 8 distinct lines"):
         portfolio(7, 8)
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(5)
+    day = date(1990, 1, 1)
+    rows = []
+    for k in range(120):
+        start = day + timedelta(days=rng.randrange(4000))
+        end = rng.choice([None, start, start + timedelta(days=rng.randrange(-40, 1500)), start + timedelta(days=rng.randrange(60))])
+        rows.append((f"g{k % 3}", f"c{k:03}", rng.choice([start, start, start, start, None]), end))
+    far = date(9999, 12, 31)
+    truth = {
+        (a[0], a[1], b[1]) for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and a[2] and b[2] and a[2] <= (b[3] or far) and b[2] <= (a[3] or far)
+    }
+    rules = spark.createDataFrame(rows, "game string, code string, starts_on date, ends_on date")
+    got = [tuple(r) for r in intervals.overlapping_rules(rules).collect()]
+    assert len(got) == len(set(got)) and set(got) == truth
+    assert intervals.overlapping_rules(rules.limit(0)).isEmpty()
+
+
+def test_schedule_dates(spark):
+    days = [(date(2020, 1, d), s, o, n) for d, s, o, n in ((6, True, False, 1), (7, False, True, 1), (8, None, True, 0), (9, True, True, 2), (10, False, True, 2), (11, False, False, 1))]
+    cal = spark.createDataFrame([("g", *x) for x in days], "game string, day date, scheduled boolean, observed boolean, rule_count long")
+    got = sorted((r["day"].day, r["kind"]) for r in intervals.schedule_dates(cal).collect())
+    assert got == [(6, "missing"), (7, "unexpected"), (9, "overlapping_rules"), (10, "overlapping_rules"), (10, "unexpected")]
