@@ -91,10 +91,26 @@ def probability_scores(probabilities: DataFrame, keys: list[str], p: str = "prob
     )
 
 
-def rank_candidates(scores: DataFrame, *order: Column, partition: list[str] | None = None) -> DataFrame:
-    """Deterministic ranking under a full tie-break order. One row per candidate, so the list is short."""
-    w = Window.partitionBy(*(partition or [F.lit(1)])).orderBy(*order)
-    return scores.withColumn("rank", F.row_number().over(w))
+def rank_candidates(scores: DataFrame, *order: Column) -> DataFrame:
+    """Ranks from 1 under a full tie-break order, over any number of rows.
+
+    Rows are sorted into ranges and written with their place in the range; the sizes of the ranges give each range its
+    offset, so no task sees more than its range. Rows equal in the whole order get neighbouring ranks.
+    """
+    placed = cut_lineage(scores.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("_range", "n"))).alias("s"))  # one entry a range
+    before = F.transform(
+        "s", lambda x, i: F.struct(x["_range"].alias("_range"), F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("_before"))
+    )
+    offsets = listed.select(F.inline(before))
+    return placed.join(offsets, "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_at", "_range", "_place", "_before")
+
+
+def top_candidates(scores: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows with their ranks: each task keeps its first ``n``, and only those meet."""
+    return scores.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def calibration_bins(probabilities: DataFrame, keys: list[str], p: str, y: str, bins: int = 10) -> DataFrame:

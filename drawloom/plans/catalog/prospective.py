@@ -8,8 +8,9 @@ from drawloom.plans import relations as rel
 from drawloom.plans.catalog.audit import _h, digit
 from drawloom.plans.registry import query
 from drawloom.plans.relations_sql import RELATIONS, uniform
-from drawloom.session import scratch
+from drawloom.session import cut_lineage, scratch
 from drawloom.sources import sinks, snapshot
+from drawloom.sources.ledger import Ledger
 
 PROTOCOL = "protocol-1"
 START = "1996-01-01"
@@ -210,14 +211,13 @@ def lines_with_evaluations(spark, d):
 def observation_log(spark, d):
     """A log of sources a and b receives a replay of a (no-op), a changed b (rejected), and c and d (appended)."""
     rows = rel.sightings(spark, d)
-    keys, payload = ["source", "game", "draw_date"], ["mains", "bonus"]
-    path = scratch(spark, "log")
-    sinks.append_keyed(rows.filter("source in ('a', 'b')"), path, keys, payload)
+    log = Ledger(spark, scratch(spark, "log"), ["source", "game", "draw_date"], ["mains", "bonus"], F.year("draw_date"))
+    log.append(rows.filter("source in ('a', 'b')"))
     changed = rows.withColumn("mains", F.when(F.col("source") == "b", F.reverse("mains")).otherwise(F.col("mains")))
-    rejects = sinks.append_keyed(changed, path, keys, payload)
-    log = spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("logged"))
+    rejects = log.append(changed)
+    logged = log.rows(rows).groupBy("source").agg(F.count("*").alias("logged"))
     refused = rejects.groupBy("source").agg(F.count("*").alias("rejected"))
-    joined = log.join(refused, "source", "left").na.fill(0)
+    joined = logged.join(refused, "source", "left").na.fill(0)
     return joined.withColumn("appended", F.when(F.col("source").isin("c", "d"), F.col("logged")).otherwise(0))
 
 
@@ -269,6 +269,58 @@ def evaluation_ledger(spark, d):
     return both.agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
+_FIRST = f"({_h(1)} >= '4' OR budget = 1)"
+
+
+@query(
+    "A21_portfolio_ledger",
+    "arm:s budget:i first:i later:i refused:i",
+    f"""SELECT arm, budget, count(*) FILTER (WHERE {_FIRST}) AS first, count(*) FILTER (WHERE NOT {_FIRST}) AS later,
+       count(*) FILTER (WHERE {_FIRST} AND {_h(2)} = '7') AS refused FROM issued_lines GROUP BY 1, 2""",
+)
+def portfolio_ledger(spark, d):
+    """Torn portfolios stay out of the first append and come whole with the second, where stored lines are no-ops and
+    stored lines with other numbers are refused."""
+    lines = cut_lineage(issued(spark, d))
+    ledger = Ledger(spark, scratch(spark, "portfolios"), prospective.LINE, ["mains"], F.year("draw_date"))
+    book = ["game", "draw_date", "arm"]
+    ledger.append(sinks.whole_portfolios(lines.filter((digit(1) >= "4") | (F.col("line_index") != 2)), book))
+    first = ledger.rows(lines).select(*prospective.LINE, F.lit(1).alias("first"))
+    stored = (digit(1) >= "4") | (F.col("budget") == 1)
+    other = F.when(stored & (digit(2) == "7"), F.reverse("mains")).otherwise(F.col("mains"))
+    refused = ledger.append(sinks.whole_portfolios(lines.withColumn("mains", other), book)).select(*prospective.LINE, F.lit(1).alias("refused"))
+    rows = ledger.rows(lines).join(first, prospective.LINE, "left").join(refused, prospective.LINE, "left")
+    return rows.groupBy("arm", "budget").agg(
+        F.count("first").alias("first"), F.count_if(F.col("first").isNull()).alias("later"), F.count("refused").alias("refused")
+    )
+
+
+@query(
+    "A22_evaluation_inserts",
+    "arm:s revision:i stored:i kept:i refused:i",
+    f"""SELECT arm, CASE WHEN {_h(2)} < '8' THEN 1 ELSE 2 END AS revision, count(*) FILTER (WHERE {_h(1)} <> '3') AS stored,
+       count(*) FILTER (WHERE {_h(1)} <> '3' AND {_h(2)} < '8') AS kept, count(*) FILTER (WHERE {_h(1)} = '3') AS refused FROM issued_lines GROUP BY 1, 2""",
+)
+def evaluation_inserts(spark, d):
+    """Evaluations go into the ledger once: the first revision stays when a second comes, and an evaluation of numbers
+    that were not issued is refused."""
+    lines = cut_lineage(issued(spark, d))
+    claimed = lines.withColumn("mains", F.when(digit(1) == "3", F.slice("mains", 1, 5)).otherwise(F.col("mains")))
+    fine, refused = sinks.match_evaluations(claimed, lines, prospective.LINE)
+    ledger = Ledger(spark, scratch(spark, "evaluations"), prospective.LINE, ["mains", "revision"], F.year("draw_date"))
+    ledger.insert_once(fine.filter(digit(2) < "8").withColumn("revision", F.lit(1)), F.col("revision"))
+    again = ledger.insert_once(fine.withColumn("revision", F.lit(2)), F.col("revision"))
+    kept = again.select(*prospective.LINE, (~F.col("inserted")).alias("kept"))
+    stored = ledger.rows(fine.withColumn("revision", F.lit(2))).join(kept, prospective.LINE, "left")
+    revision = F.when(digit(2) < "8", 1).otherwise(2)
+    both = stored.select("arm", "revision", "kept", F.lit(False).alias("no")).unionByName(
+        refused.select("arm", revision.alias("revision"), F.lit(None).cast("boolean").alias("kept"), F.lit(True).alias("no"))
+    )
+    return both.groupBy("arm", "revision").agg(
+        F.count_if(~F.col("no")).alias("stored"), F.count_if("kept").alias("kept"), F.count_if("no").alias("refused")
+    )
+
+
 # --- snapshots --------------------------------------------------------------------------
 
 _SUMS = ", ".join(

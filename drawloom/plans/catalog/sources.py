@@ -11,6 +11,7 @@ from drawloom.plans.catalog.audit import _h, digit
 from drawloom.plans.registry import query
 from drawloom.session import cut_lineage, scratch
 from drawloom.sources import files, pages, sinks
+from drawloom.sources.ledger import Ledger
 
 
 def export_rows(spark, d):
@@ -393,11 +394,10 @@ def study_comparison(spark, d):
        row_number() OVER (ORDER BY rate DESC, round(mean_matches, 9) DESC, study, source, method) AS rank FROM k) x WHERE rank <= 10""",
 )
 def line_candidates(spark, d):
-    from drawloom.operators.scoring import rank_candidates
+    from drawloom.operators.scoring import top_candidates
 
     rows = study_results(spark, d).filter("lines = draws").withColumn("rate", F.col("any_3_plus") / F.col("draws"))
-    ranked = rank_candidates(rows, F.desc("rate"), F.desc(F.round("mean_matches", 9)), F.col("study"), F.col("source"), F.col("method"))
-    return ranked.filter("rank <= 10")
+    return top_candidates(rows, 10, F.desc("rate"), F.desc(F.round("mean_matches", 9)), F.col("study"), F.col("source"), F.col("method"))
 
 
 @query(
@@ -497,6 +497,28 @@ def snapshot_registry(spark, d):
     return first.unionByName(again).groupBy("game").agg(F.count("*").alias("digests"), F.min("created").alias("created"))
 
 
+@query(
+    "A25_registry_ledger",
+    "game:s created:i digests:i",
+    "SELECT game, CASE WHEN m % 2 = 1 THEN 1 ELSE 2 END AS created, count(*) AS digests FROM (SELECT DISTINCT game, year(draw_date) AS y, month(draw_date) AS m FROM week_draws) x GROUP BY 1, 2",
+)
+def registry_ledger(spark, d):
+    """A stored registry of the digests of each month, in parts by the digest's first digit. Odd months are registered at
+    time 1, all months at times 5 and 2 of one batch, and all once more at time 3: the first creation stays."""
+    draws = rel.draws(spark, d).withColumn("year", F.year("draw_date")).withColumn("month", F.month("draw_date"))
+    prints = cut_lineage(sinks.fingerprint(draws, keys=["game", "year", "month"]))
+    registry = Ledger(spark, scratch(spark, "registry"), ["digest"], ["game", "year", "month"], F.substring("digest", 1, 1))
+
+    def at(*times, rows=prints):
+        batch = rows.withColumn("created", F.explode(F.array(*[F.lit(t) for t in times])))
+        return registry.insert_once(batch, F.col("created"))
+
+    at(1, rows=prints.filter("month % 2 = 1"))
+    at(5, 2)
+    at(3)
+    return registry.rows(prints.withColumn("created", F.lit(1))).groupBy("game", "created").agg(F.count("*").alias("digests"))
+
+
 @query(
     "A27_batch_digest",
     "same:i changed:i rows:i",

@@ -143,3 +143,15 @@ def test_training_windows(spark):
     blocks = spark.createDataFrame([("g", "r", 20), ("g", "r", 25)], "game string, rule_code string, block_start int")
     got = features.training_windows(rows, blocks, warmup=5, window=10).groupBy("block_start").agg(F.min("draw_idx"), F.max("draw_idx"), F.count("*"))
     assert {tuple(r) for r in got.collect()} == {(20, 10, 19, 200), (25, 15, 24, 200)}
+
+
+def test_ranks_over_ranges_equal_a_plain_sort(spark):
+    from drawloom.operators import scoring
+
+    rows = spark.range(5000, numPartitions=7).select("id", F.pmod(F.xxhash64("id"), F.lit(40)).alias("v"))
+    ranked = scoring.rank_candidates(rows, F.desc("v"), F.col("id"))
+    want = {r["id"]: i + 1 for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r["v"], r["id"])))}
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == want
+    top = scoring.top_candidates(rows, 10, F.desc("v"), F.col("id"))
+    assert {r["id"]: r["rank"] for r in top.collect()} == {k: n for k, n in want.items() if n <= 10}
+    assert scoring.rank_candidates(rows.limit(0), F.col("id")).isEmpty()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drawloom.operators import prospective
 from drawloom.session import scratch
 from drawloom.sources import files, pages, sinks, snapshot
+from drawloom.sources.ledger import Ledger
 from drawloom.streaming import jobs
 
 DAY = date(2020, 1, 6)
@@ -172,3 +173,72 @@ def test_csv_needs_its_columns(spark):
 def test_metric_table_drift_is_refused(spark):
     with pytest.raises(ValueError, match="changed"):
         files.wide_metrics(spark.createDataFrame([("2020", "1")], "Year string, Other string"), {"Sales": ("s", "count")})
+
+
+def month_ledger(spark, path):
+    return Ledger(spark, path, ["k", "day"], ["v"], F.date_format("day", "yyyy-MM"))
+
+
+def test_ledger_reads_only_parts_that_may_hold_a_key(spark, tmp_path):
+    path = str(tmp_path / "log")
+    book = month_ledger(spark, path)
+    rows = spark.range(600).select(F.concat(F.lit("k"), "id").alias("k"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("day"), F.col("id").cast("int").alias("v"))
+    assert book.append(rows).isEmpty()
+    assert book.append(rows).isEmpty()
+    assert spark.read.parquet(f"{path}/rows").count() == 600
+    few = rows.filter("v in (1, 2)")
+    placed = book._placed(few)
+    read = book.rows(few, book._maybe_stored(placed))
+    assert {f.split("part=")[1][:7] for f in read.inputFiles()} == {"2020-01"}
+    assert len(book.rows(few).inputFiles()) > 15
+    new = few.withColumn("k", F.concat(F.lit("other"), "v"))
+    assert book._maybe_stored(book._placed(new)).count() <= 1  # a bit of 262,144 set by chance
+    assert book.append(new).isEmpty()
+    assert spark.read.parquet(f"{path}/rows").count() == 602
+
+
+def test_ledger_equals_a_plain_dictionary_on_random_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    book, plain = month_ledger(spark, str(tmp_path / "log")), {}
+    for _ in range(6):
+        batch = [(rng.choice(["a", "b", None]), rng.choice([None, DAY, date(2020, 2, 1), date(2021, 3, 1)]), rng.choice([1, 1, 2, None])) for _ in range(rng.choice([0, 3, 9]))]
+        got = {(r["k"], r["day"]): r["reject"] for r in book.append(spark.createDataFrame(batch, "k string, day date, v int")).collect()}
+        want, seen = {}, {}
+        for k, day, v in batch:
+            seen.setdefault((k, day), set()).add(v)
+        for key, values in seen.items():
+            if len(values) > 1:
+                want[key] = "differs_within_batch"
+            elif key in plain and plain[key] not in values:
+                want[key] = "changed_payload"
+            else:
+                plain.setdefault(key, *values)
+        assert got == want
+    like = spark.createDataFrame([], "k string, day date, v int")
+    stored = book.rows(like).collect()
+    assert {(r["k"], r["day"]): r["v"] for r in stored} == plain and len(stored) == len(plain)
+
+
+def test_ledger_inserts_once_and_keeps_the_first(spark, tmp_path):
+    book = month_ledger(spark, str(tmp_path / "log"))
+    make = lambda *rows: spark.createDataFrame(rows, "k string, day date, v int")
+    first = book.insert_once(make(("a", DAY, 5), ("a", DAY, 3), (None, None, 9)), F.col("v"))
+    assert {(r["k"], r["v"], r["inserted"]) for r in first.collect()} == {("a", 3, True), (None, 9, True)}
+    again = book.insert_once(make(("a", DAY, 1), (None, None, 1), ("b", DAY, 1)), F.col("v"))
+    assert {(r["k"], r["v"], r["inserted"]) for r in again.collect()} == {("a", 3, False), (None, 9, False), ("b", 1, True)}
+    with pytest.raises(ValueError, match="part"):
+        book.append(make().withColumn("part", F.lit("x")))
+
+
+def test_ledger_survives_a_writer_lost_after_its_bits(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "log")
+    book = month_ledger(spark, path)
+    rows = spark.createDataFrame([("a", DAY, 1), ("b", date(2020, 5, 5), 2)], "k string, day date, v int")
+    book.append(rows)
+    shutil.rmtree(f"{path}/rows/part=2020-05")  # its bits stay
+    assert book.append(rows).isEmpty()
+    assert spark.read.parquet(f"{path}/rows").count() == 2
