@@ -85,6 +85,40 @@ def binomial_tail(events: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Seri
     return pd.Series(np.where(x <= 0, 1.0, np.where(x > n, 0.0, value)))
 
 
+def two_sided(events: int, trials: int, p: float) -> float:
+    """Exact two-sided binomial p-value: the chance of all counts that are no likelier than ``events``.
+
+    The chances fall on both sides of the mode, so the far tail starts where a bisection finds it.
+    """
+    def weight(k):
+        return math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p)
+
+    def upper(k):
+        return 1.0 if k <= 0 else 0.0 if k > trials else float(beta_cdf(k, trials - k + 1, p))
+
+    limit, mode = weight(events) + 1e-7, min(trials, int((trials + 1) * p))
+    if events == mode:
+        return 1.0
+    if events > mode:  # greatest count below the mode that is no likelier, or -1
+        low, high = -1, mode
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if weight(mid) <= limit else (low, mid)
+        return min(1.0, upper(events) + 1.0 - upper(low + 1))
+    low, high = mode, trials + 1  # least count above the mode that is no likelier
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if weight(mid) <= limit else (mid, high)
+    return min(1.0, upper(high) + 1.0 - upper(events + 1))
+
+
+@F.pandas_udf(T.DoubleType())
+def binomial_two_sided(events: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Series:
+    """Two-sided exact binomial p-values of grouped rows; null where a value is missing or ``p`` is 0 or 1."""
+    rows = zip(events.astype(float), trials.astype(float), p.astype(float))
+    return pd.Series([two_sided(int(x), int(n), q) if not math.isnan(x + n + q) and 0 < q < 1 else None for x, n, q in rows], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import match_tail, unit_uniform
-from drawloom.functions.tails import binomial_tail, clopper_pearson
-from drawloom.operators.scoring import holm
+from drawloom.functions.tails import binomial_tail, binomial_two_sided, clopper_pearson
+from drawloom.operators.scoring import calibration_bins, holm, probability_scores
 from drawloom.session import cut_lineage
 
 
 #: Fixed value: replicates of the study's bootstrap tests.
 REPLICATES = 10_000
+#: Null replicates that the check of the exact null needs, and its level.
+CHECK_REPLICATES = 100
+CHECK_ALPHA = 0.001
 
 
 def exact_rates(hits: DataFrame, keys: list[str], hit: str = "hit", pool: str = "pool", matches: int = 3) -> DataFrame:
@@ -145,3 +148,74 @@ def verdict(improvement: Column, excludes_zero: Column, p_value: Column, final:
         .when(~F.coalesce(final, F.lit(False)), "not_final")
         .otherwise("no_advantage")
     )
+
+
+def rotated_nulls(lines: DataFrame, keys: list[str], replicates: int = CHECK_REPLICATES, threshold: int = 3) -> DataFrame:
+    """Hits of each series' lines against outcomes of other dates: keys, replicate, events, trials.
+
+    Replicate s sets the line of date i against the outcome of date i + s, going round, so each is a history in which
+    lines know nothing of their outcome, with as many trials. A series of n dates has n - 1 of them. It holds one line
+    a day at most and travels as one array to its replicates, which are dealt over all tasks.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("draw_date", "mains", "outcome")))
+    series = lines.groupBy(*keys).agg(ordered.alias("_rows")).withColumn("trials", F.size("_rows")).filter("trials > 1")
+    dealt = series.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.least(F.lit(replicates), F.col("trials") - 1))))
+    dealt = dealt.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "replicate")
+
+    def hit(i: Column) -> Column:
+        other = F.get("_rows", F.pmod(i + F.col("replicate"), F.col("trials")))["outcome"]
+        return (F.size(F.array_intersect(F.get("_rows", i)["mains"], other)) >= threshold).cast("int")
+
+    events = F.aggregate(F.sequence(F.lit(0), F.col("trials") - 1), F.lit(0), lambda acc, i: acc + hit(i))
+    return dealt.select(*keys, "replicate", events.alias("events"), "trials")
+
+
+def exact_null(primary: DataFrame, nulls: DataFrame, keys: list[str]) -> DataFrame:
+    """Primary rows with the exact p, the Monte Carlo p and the two-sided check of pooled null hits against ``p0``.
+
+    ``final`` needs enough null replicates and a check that passes. A series without nulls is not final.
+    """
+    tested = exact_tests(primary, out="exact_p")
+    observed = nulls.join(tested.select(*keys, F.col("events").alias("_events"), "p0"), keys)
+    pooled = observed.groupBy(*keys).agg(
+        F.count("*").alias("null_replicates"),
+        F.sum("events").alias("_hits"),
+        F.sum("trials").alias("_trials"),
+        F.max("p0").alias("_p0"),
+        ((F.count_if(F.col("events") >= F.col("_events")) + 1) / (F.count("*") + 1)).alias("monte_carlo_p"),
+    )
+    checked = pooled.withColumn("check_p", binomial_two_sided("_hits", "_trials", "_p0")).withColumn("check_passed", F.col("check_p") > CHECK_ALPHA)
+    checked = checked.withColumn("final", (F.col("null_replicates") >= CHECK_REPLICATES) & F.col("check_passed")).drop("_hits", "_trials", "_p0")
+    return tested.join(checked, keys, "left").na.fill({"null_replicates": 0, "final": False})
+
+
+def findings(evaluated: DataFrame, probabilities: DataFrame, single: str, uniform: str, budgets: dict[int, tuple[str, str]], replicates: int = REPLICATES, seed: str = "") -> DataFrame:
+    """One row per game: the primary rate at 3+ with its exact null, plain and block bootstrap against uniform lines at
+    the same threshold, secondary tests with Holm values, calibration and verdict.
+
+    ``evaluated`` holds the lines of the holdout (method, game, draw_date, pool, mains, outcome, matched) and
+    ``probabilities`` its numbers (game, draw_date, probability, drawn).
+    """
+    keys = ["game"]
+    top = evaluated.filter(F.col("method") == single)
+    span = top.groupBy(*keys).agg(F.min("draw_date").alias("first_date"), F.max("draw_date").alias("last_date"), F.count("*").alias("holdout_draws"))
+    primary = exact_rates(top.withColumn("hit", (F.col("matched") >= 3).cast("int")), keys)
+    out = exact_null(primary, rotated_nulls(top, keys), keys).join(span, keys)
+    hits = any_line_hits(evaluated.filter(F.col("method").isin(single, uniform)), ["method"], 3).withColumnRenamed("method", "policy")
+    rows = cut_lineage(paired_differences(hits, single, uniform, keys))
+    for name, block in (("", 1), ("block_", 5)):
+        means = bootstrap_means(rows, keys, replicates, f"{seed}{name}", block)
+        summary = bootstrap_summary(rows, means, keys, block)
+        kept = [F.col(c).alias(f"{name}{c}") for c in ("lower", "upper")]
+        out = out.join(summary.select(*keys, *([] if name else ["mean_difference"]), *kept), keys, "left")
+    tests = secondary_tests(evaluated, single, budgets, replicates, f"{seed}second")
+    named = [("five", "one_line_5_plus"), *((f"budget_{b}", f"budget_{b}_any_line_3_plus") for b in budgets)]
+    columns = [F.max(F.when(F.col("test") == test, F.col(c))).alias(f"{name}_{short}") for name, test in named for c, short in (("p_value", "p"), ("holm_p_value", "holm"))]
+    bins = calibration_bins(probabilities, keys, "probability", "drawn").filter("count > 0")
+    gap = F.sum(F.col("count") * F.abs(F.col("mean_probability") - F.col("observed_rate"))) / F.sum("count")
+    out = (
+        out.join(tests.groupBy(*keys).agg(*columns), keys, "left")
+        .join(bins.groupBy(*keys).agg(gap.alias("calibration_gap"), F.count("*").alias("calibration_bins")), keys, "left")
+        .join(probability_scores(probabilities, keys).select(*keys, "brier", "log_loss"), keys, "left")
+    )
+    return out.withColumn("verdict", verdict(F.col("improvement"), F.col("excludes_zero"), F.col("exact_p"), F.col("final"), F.col("check_passed")))

@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from drawloom.functions import scalars as sc
-from drawloom.operators import inference, returns, scoring
+from drawloom.operators import features, inference, returns, scoring
 from drawloom.functions.tails import normal_tail
 from drawloom.plans import relations as rel
 from drawloom.plans.catalog.scoring import DIGEST, matched, probabilities  # noqa: F401
 from drawloom.plans.registry import query
 from drawloom.plans.relations_sql import RELATIONS, uniform
+from drawloom.session import cut_lineage
 
 SINGLES = ("top6", "hot", "cold", "overdue")
 
@@ -242,6 +243,76 @@ def secondary(spark, d):
     return inference.secondary_tests(rows, "top6", {b: (f"coverage{b}", f"random{b}") for b in BUDGETS}, REPLICATES, "second")
 
 
+_HOLD = "SELECT game, draw_date FROM (SELECT *, count(*) OVER (PARTITION BY game) AS n FROM week_pop) x WHERE draw_idx >= n - CAST(ceil(n / 5.0) AS INT)"
+_BEFORE = "(lgamma(trials + 1) - lgamma(k + 1) - lgamma(trials - k + 1) + k * ln(p0) + (trials - k) * ln(1 - p0))"
+
+
+def _means_sql(rows, keys, seed, block=1):
+    """Resampled means of ``rows`` (keys, row_idx, n, difference) as the operator draws them."""
+    names = [f"p.{k}" for k in keys]
+    start = uniform(f"'{seed}'", *names, "CAST(r.replicate AS VARCHAR)", f"CAST(p.row_idx // {block} AS VARCHAR)")
+    same = " AND ".join(f"q.{k} = k.{k}" for k in keys)
+    listed = ", ".join(f"k.{k}" for k in keys)
+    return f"""SELECT {listed}, k.replicate, avg(q.difference) AS mean, max(q.n) AS n FROM (
+        SELECT {", ".join(names)}, r.replicate, (CAST(floor({start} * p.n) AS BIGINT) + p.row_idx % {block}) % p.n AS at FROM {rows} p, (SELECT range AS replicate FROM range(0, {REPLICATES})) r) k
+      JOIN {rows} q ON {same} AND q.row_idx = k.at GROUP BY {listed}, k.replicate"""
+
+
+@query(
+    "R22_holdout_findings",
+    "game:s holdout_draws:i first_date:s last_date:s events:i rate:f rate_lower:f rate_upper:f p0:f exact_p:f null_replicates:i monte_carlo_p:f check_p:f final:i mean_difference:f lower:f upper:f "
+    "block_lower:f block_upper:f five_p:f five_holm:f budget_5_p:f budget_5_holm:f budget_10_p:f budget_10_holm:f calibration_gap:f calibration_bins:i brier:f log_loss:f verdict:s",
+    f"""WITH /*RECURSIVE*/ hold AS MATERIALIZED (SELECT l.* FROM scored_lines l JOIN ({_HOLD}) h USING (game, draw_date)),
+      tops AS MATERIALIZED (SELECT game, draw_date, mains, outcome, matched, row_number() OVER (PARTITION BY game ORDER BY draw_date) - 1 AS i, count(*) OVER (PARTITION BY game) AS n FROM hold WHERE method = 'top6'),
+      hr AS MATERIALIZED (SELECT game, CAST(sum(CAST(matched >= 3 AS INT)) AS DOUBLE) AS events, CAST(sum(CAST(matched >= 5 AS INT)) AS DOUBLE) AS fives, CAST(count(*) AS DOUBLE) AS trials,
+        75249.0 / 3579191.0 AS p0, 247.0 / 10737573.0 AS p5, min(draw_date) AS first_date, max(draw_date) AS last_date FROM tops GROUP BY 1),
+      bisect AS (SELECT game, events, trials, side, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS step FROM hr, (VALUES ('lower'), ('upper')) s(side)
+        UNION ALL SELECT game, events, trials, side, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, step + 1
+        FROM (SELECT r.*, CASE WHEN side = 'lower' THEN {_TAIL.format(p='((r.lo + r.hi) / 2)', x='r.events')} < 0.025 ELSE {_TAIL.format(p='((r.lo + r.hi) / 2)', x='r.events + 1')} < 0.975 END AS below FROM bisect r WHERE r.step < 40) z),
+      bounds AS (SELECT game, max(CASE WHEN side = 'lower' THEN CASE WHEN events = 0 THEN 0 ELSE (lo + hi) / 2 END END) AS rate_lower, max(CASE WHEN side = 'upper' THEN CASE WHEN events = trials THEN 1 ELSE (lo + hi) / 2 END END) AS rate_upper
+        FROM bisect WHERE step = 40 GROUP BY 1),
+      nulls AS MATERIALIZED (SELECT a.game, s.s, sum(CAST(len(list_intersect(a.mains, b.outcome)) >= 3 AS INT)) AS e FROM tops a JOIN (SELECT range AS s FROM range(1, {inference.CHECK_REPLICATES + 1})) s ON s.s < a.n
+        JOIN tops b ON b.game = a.game AND b.i = (a.i + s.s) % a.n GROUP BY 1, 2),
+      pooled AS MATERIALIZED (SELECT n.game, count(*) AS null_replicates, CAST(sum(e) AS DOUBLE) AS events, count(*) * max(r.trials) AS trials, max(r.p0) AS p0, (1 + count(*) FILTER (WHERE n.e >= r.events)) / (count(*) + 1) AS monte_carlo_p
+        FROM nulls n JOIN hr r USING (game) GROUP BY 1),
+      pmf AS MATERIALIZED (SELECT game, k, events, {_BEFORE} AS w FROM pooled, (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 200000)) t WHERE k <= trials),
+      checked AS (SELECT p.game, least(1.0, sum(exp(p.w))) AS check_p FROM pmf p JOIN pmf o ON o.game = p.game AND o.k = o.events WHERE p.w <= o.w + 1e-7 GROUP BY 1),
+      hits AS MATERIALIZED (SELECT game, draw_date, method, CAST(max(matched) >= 3 AS INT) AS hit FROM hold GROUP BY 1, 2, 3),
+      pairs AS (SELECT game, draw_date, t.test, CAST(sum(CASE WHEN h.method = t.model THEN h.hit ELSE -h.hit END) AS DOUBLE) AS difference
+        FROM hits h JOIN (VALUES ('single', 'top6', 'random1'), ('budget_5_any_line_3_plus', 'coverage5', 'random5'), ('budget_10_any_line_3_plus', 'coverage10', 'random10')) t(test, model, base) ON h.method IN (t.model, t.base) GROUP BY 1, 2, 3),
+      placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY game, test ORDER BY draw_date) - 1 AS row_idx, count(*) OVER (PARTITION BY game, test) AS n FROM pairs),
+      ones AS MATERIALIZED (SELECT * FROM placed WHERE test = 'single'), others AS MATERIALIZED (SELECT * FROM placed WHERE test <> 'single'),
+      boot AS (SELECT game, quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper FROM ({_means_sql('ones', ['game'], 'found')}) m GROUP BY 1),
+      blocks AS (SELECT game, quantile_cont(mean, 0.025) AS block_lower, quantile_cont(mean, 0.975) AS block_upper FROM ({_means_sql('ones', ['game'], 'foundblock_', 5)}) m GROUP BY 1),
+      tests AS (SELECT game, 'one_line_5_plus' AS test, {_TAIL.format(p='r.p5', x='r.fives')} AS p_value FROM hr r
+        UNION ALL SELECT game, test, (1 + count(*) FILTER (WHERE mean <= 0)) / (count(*) + 1) FROM ({_means_sql('others', ['game', 'test'], 'foundsecond')}) m GROUP BY 1, 2),
+      steps AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY game) - row_number() OVER (PARTITION BY game ORDER BY p_value, test) + 1) * p_value) AS st FROM tests),
+      held AS MATERIALIZED (SELECT game, test, p_value AS p, max(st) OVER (PARTITION BY game ORDER BY p_value, test) AS h FROM steps),
+      pivoted AS (SELECT game, max(p) FILTER (WHERE test LIKE 'one%') AS five_p, max(h) FILTER (WHERE test LIKE 'one%') AS five_holm, max(p) FILTER (WHERE test LIKE 'budget_5%') AS budget_5_p, max(h) FILTER (WHERE test LIKE 'budget_5%') AS budget_5_holm,
+        max(p) FILTER (WHERE test LIKE 'budget_10%') AS budget_10_p, max(h) FILTER (WHERE test LIKE 'budget_10%') AS budget_10_holm FROM held GROUP BY 1),
+      guesses AS MATERIALIZED (SELECT p.* FROM probability_rows p JOIN ({_HOLD}) h USING (game, draw_date) WHERE p.source = 'frequency'),
+      cal AS (SELECT game, sum(c * abs(p - y)) / sum(c) AS calibration_gap, count(*) AS calibration_bins FROM (
+        SELECT game, least(floor(probability * 10), 9) AS bin, count(*) AS c, avg(probability) AS p, avg(drawn) AS y FROM guesses GROUP BY 1, 2) b GROUP BY 1),
+      loss AS (SELECT game, avg(b) AS brier, avg(l) AS log_loss FROM (SELECT game, draw_date, avg(pow(probability - drawn, 2)) AS b,
+        avg(-(drawn * ln(greatest(least(probability, 1 - 1e-15), 1e-15)) + (1 - drawn) * ln(1 - greatest(least(probability, 1 - 1e-15), 1e-15)))) AS l FROM guesses GROUP BY 1, 2) t GROUP BY 1),
+      whole AS (SELECT r.*, r.trials AS holdout_draws, r.events / r.trials AS rate, {_TAIL.format(p='r.p0', x='r.events')} AS exact_p, b.* EXCLUDE (game), coalesce(p.null_replicates, 0) AS null_replicates, p.monte_carlo_p, c.check_p,
+        CAST(coalesce(p.null_replicates >= {inference.CHECK_REPLICATES} AND c.check_p > {inference.CHECK_ALPHA}, FALSE) AS INT) AS final, o.mean_difference, boot.* EXCLUDE (game), blocks.* EXCLUDE (game), pivoted.* EXCLUDE (game), cal.* EXCLUDE (game), loss.* EXCLUDE (game)
+        FROM hr r JOIN bounds b USING (game) LEFT JOIN pooled p USING (game) LEFT JOIN checked c USING (game) LEFT JOIN (SELECT game, avg(difference) AS mean_difference FROM ones GROUP BY 1) o USING (game)
+        LEFT JOIN boot USING (game) LEFT JOIN blocks USING (game) LEFT JOIN pivoted USING (game) LEFT JOIN cal USING (game) LEFT JOIN loss USING (game))
+      ;; SELECT *, CASE WHEN rate > p0 AND rate_lower > p0 AND final = 1 AND exact_p <= 0.05 THEN 'promising' WHEN NOT coalesce(check_p > {inference.CHECK_ALPHA}, TRUE) THEN 'invalid' WHEN final = 0 THEN 'not_final' ELSE 'no_advantage' END AS verdict FROM whole""",
+)
+def holdout_findings(spark, d):
+    """Findings over the holdout fifth of each series, all at the study's threshold of three numbers."""
+    from drawloom.plans.catalog.scoring import study_lines
+
+    roles = features.protocol_splits(rel.population(spark, d)).filter("role = 'holdout'").select("game", "draw_date")
+    wanted = ("top6", "random1", *(f"{m}{b}" for m in ("coverage", "random") for b in BUDGETS))
+    rows = scoring.match_lines(study_lines(spark, d, wanted), rel.draws(spark, d)).join(roles, ["game", "draw_date"])
+    guesses = probabilities(spark, d).filter("source = 'frequency'").join(roles, ["game", "draw_date"])
+    pairs = {b: (f"coverage{b}", f"random{b}") for b in BUDGETS}
+    return inference.findings(cut_lineage(rows), cut_lineage(guesses), "top6", "random1", pairs, REPLICATES, "found")
+
+
 # --- odds and returns ----------------------------------------------------------------
 
 _C = "(SELECT exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)))"

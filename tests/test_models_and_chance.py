@@ -155,3 +155,26 @@ def test_ranks_over_ranges_equal_a_plain_sort(spark):
     top = scoring.top_candidates(rows, 10, F.desc("v"), F.col("id"))
     assert {r["id"]: r["rank"] for r in top.collect()} == {k: n for k, n in want.items() if n <= 10}
     assert scoring.rank_candidates(rows.limit(0), F.col("id")).isEmpty()
+
+
+def test_two_sided_binomial_equals_the_sum_of_no_likelier_counts():
+    from drawloom.functions.tails import two_sided
+
+    for n, p in ((1, 0.5), (7, 0.02), (40, 0.3), (40, 0.5), (300, 0.021), (60, 0.97)):
+        mass = [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        for x in range(n + 1):
+            if mass[x] > 1e-280:
+                assert two_sided(x, n, p) == pytest.approx(min(1.0, sum(m for m in mass if m <= mass[x] * (1 + 1e-7))), rel=1e-6, abs=1e-12)
+
+
+def test_findings_are_judged_by_their_nulls(spark):
+    from drawloom.operators import inference
+
+    primary = spark.createDataFrame([("a", 9, 100, 0.02), ("b", 2, 100, 0.02), ("c", 2, 100, 0.02)], "game string, events bigint, trials bigint, p0 double")
+    nulls = spark.createDataFrame([("a", s, 2, 100) for s in range(100)] + [("b", s, 9, 100) for s in range(100)], "game string, replicate int, events int, trials int")
+    got = {r["game"]: r for r in inference.exact_null(primary, nulls, ["game"]).collect()}
+    assert got["a"]["final"] and got["a"]["monte_carlo_p"] == pytest.approx(1 / 101)
+    assert not got["b"]["final"] and got["b"]["check_p"] < 1e-9  # null histories disagree with the exact chance
+    assert not got["c"]["final"] and got["c"]["null_replicates"] == 0
+    lines = spark.createDataFrame([("g", i, [1, 2, 3], [1, 2, 3] if i == 0 else [7, 8, 9]) for i in range(3)], "game string, draw_date int, mains array<int>, outcome array<int>")
+    assert [(r["replicate"], r["events"], r["trials"]) for r in inference.rotated_nulls(lines, ["game"]).orderBy("replicate").collect()] == [(1, 1, 3), (2, 1, 3)]
