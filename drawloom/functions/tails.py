@@ -97,7 +97,7 @@ def two_sided(events: int, trials: int, p: float) -> float:
         return 1.0 if k <= 0 else 0.0 if k > trials else float(beta_cdf(k, trials - k + 1, p))
 
     limit, mode = weight(events) + 1e-7, min(trials, int((trials + 1) * p))
-    if events == mode:
+    if limit >= weight(mode):  # the mode itself, or its equal neighbour
         return 1.0
     if events > mode:  # greatest count below the mode that is no likelier, or -1
         low, high = -1, mode
