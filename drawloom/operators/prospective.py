@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.functions.scalars import overlap
+from drawloom.functions.scalars import choose, overlap
 
 SLOT = ["game", "draw_date", "arm"]
 LINE = ["game", "draw_date", "arm", "budget", "line_index"]
 
 
-def classify_issues(requests: DataFrame, results: DataFrame, deadlines: DataFrame) -> DataFrame:
+def issue_failure(history: Column, needed: Column, pool: Column, budget: Column) -> Column:
+    """Why lines cannot be made for a request, or null: too few earlier draws, or more lines than the pool allows."""
+    return F.when(F.coalesce(history, F.lit(0)) < needed, "short_history").when(choose(pool, 6) < budget, "portfolio_too_large")
+
+
+def classify_issues(requests: DataFrame, results: DataFrame, deadlines: DataFrame, failure: Column | None = None) -> DataFrame:
     """Status of issue requests (game, draw_date, arm, recorded_at).
 
     A request outside the start date or schedule is refused. A result known by the time of the request
-    (``results`` has game, draw_date, known_at) is checked first, then the deadline.
+    (``results`` has game, draw_date, known_at) is checked first, then the deadline, then whether lines can be made
+    (``failure``, a reason or null): a request that comes in time but gets no lines is ``failed:<reason>``.
     """
     known = results.groupBy("game", "draw_date").agg(F.min("known_at").alias("_known_at"))
     joined = requests.join(deadlines, ["game", "draw_date"], "left").join(known, ["game", "draw_date"], "left")
@@ -26,6 +32,7 @@ def classify_issues(requests: DataFrame, results: DataFrame, deadlines: DataFram
     state = (
         F.when(F.col("_known_at") <= F.col("recorded_at"), "missed:result_available")
         .when(F.col("recorded_at") >= F.col("deadline"), "missed:deadline_passed")
+        .when(failure.isNotNull() if failure is not None else F.lit(False), F.concat(F.lit("failed:"), failure if failure is not None else F.lit("")))
         .otherwise("issued")
     )
     return joined.withColumn("status", F.coalesce(refused, state)).drop("_known_at")

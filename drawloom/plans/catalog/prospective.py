@@ -1,5 +1,6 @@
 """Prospective tracking: issues before the deadline, scoring with revisions, ledgers and snapshots."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drawloom.functions.scalars import deadline_instant
@@ -179,6 +180,33 @@ def coverage(spark, d):
     return prospective.coverage_summary(prospective.coverage(spine, classified(spark, d), results(spark, d)))
 
 
+NEEDED = 150  # earlier draws that the frequency arm needs
+
+
+@query(
+    "D29_coverage_with_failures",
+    "game:s arm:s scheduled:i completed:i pending:i disputed:i missed:i failed:i unrecorded:i review_reached:i",
+    f"""WITH k AS (SELECT game, draw_date, row_number() OVER (PARTITION BY game ORDER BY draw_date) - 1 AS history FROM week_draws),
+       c AS (SELECT s.game, a.arm, CASE WHEN {_h(1, 's.')} = '0' OR {_h(3, 's.')} = '0' THEN 'missed' WHEN a.arm = 'frequency' AND k.history < {NEEDED} THEN 'failed'
+         WHEN r.status IS NULL THEN 'pending' WHEN r.status <> 'accepted' THEN 'disputed' ELSE 'completed' END AS st
+         FROM week_draws s JOIN k ON k.game = s.game AND k.draw_date = s.draw_date CROSS JOIN (VALUES ('uniform-a'), ('frequency')) a(arm)
+         LEFT JOIN result_rows r ON r.game = s.game AND r.draw_date = s.draw_date WHERE s.draw_date >= DATE '{START}')
+       ;; SELECT game, arm, count(*) AS scheduled, """
+    + ", ".join(f"count(*) FILTER (WHERE st = '{s}') AS {s}" for s in prospective.STATES)
+    + ", CAST(count(*) FILTER (WHERE st = 'completed') >= 100 AS INT) AS review_reached FROM c GROUP BY 1, 2",
+)
+def coverage_with_failures(spark, d):
+    """A uniform arm, and one that ranks numbers by their history and fails while there are too few draws."""
+    order = Window.partitionBy("game").orderBy("draw_date")
+    history = rel.draws(spark, d).select("game", "draw_date", asked_at().alias("recorded_at"), (F.row_number().over(order) - 1).alias("history"))
+    asked = history.withColumn("arm", F.explode(F.array(F.lit("uniform-a"), F.lit("frequency"))))
+    needed = F.when(F.col("arm") == "frequency", NEEDED).otherwise(0)
+    failure = prospective.issue_failure(F.col("history"), needed, F.lit(47), F.lit(max(BUDGETS)))
+    classified = prospective.classify_issues(asked, early_results(spark, d), deadlines(spark, d), failure)
+    spine = asked.filter(F.col("draw_date") >= START).select("game", "draw_date", "arm")
+    return prospective.coverage_summary(prospective.coverage(spine, classified, results(spark, d)))
+
+
 @query(
     "D30_prospective_performance",
     "game:s arm:s budget:i completed_draws:i any_3_plus:i any_5_plus:i line_3_plus:i lines:i",
