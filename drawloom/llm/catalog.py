@@ -66,7 +66,7 @@ def op8_ngram_jaccard_join(spark, sf_dir):
 
 @query
 def op9_quality_rules(spark, sf_dir):
-    return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    return quality.report(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import map_batches, texts
+from drawloom.llm.common import map_batches, stored, texts
 
 #: Bit positions, in order. A new rule goes to the end, so that stored ledgers stay readable.
 RULES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "long_words", "shouting")
@@ -124,3 +124,18 @@ def ablation(rows: DataFrame, version: str = "v2_default") -> DataFrame:
     one = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.bit_or(active).alias("any_bits"), *counts)
     pairs = [F.struct(F.lit(r).alias("rule"), F.col(f"{r}_failed").alias("n_failed"), F.col(f"{r}_alone").alias("n_alone")) for r in RULES if BIT[r] & POLICIES[version]]
     return one.select("n_docs", F.explode(F.array(*pairs)).alias("r")).select(F.lit(version).alias("version"), "r.rule", "n_docs", "r.n_failed", "r.n_alone")
+
+
+def report(docs: DataFrame, version: str = "v2_default") -> DataFrame:
+    """The ledger, written once and read by everything that follows, with the verdict of every policy.
+
+    Adds ``base_failed``, ``kept`` by ``version``, ``kept_<version>`` for each policy, and the ablation of ``version``:
+    ``sole_rule`` is the only rule of it that rejects the document (null if none or several do), ``sole_rule_docs`` the
+    number of documents of the whole table that this rule alone rejects, so that dropping it would bring them back.
+    """
+    rows = stored(ledger(docs))
+    active = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[version]))
+    rule = F.element_at(F.create_map(*[F.lit(x) for name in RULES for x in (BIT[name], name)]), active.cast("int"))
+    judged = apply_policy(rows, version).select("*", *[F.col("failed_bits").bitwiseAND(F.lit(m)).eqNullSafe(0).alias(f"kept_{v}") for v, m in POLICIES.items()], rule.alias("sole_rule"))
+    counts = ablation(rows, version).select(F.col("rule").alias("sole_rule"), F.col("n_alone").alias("sole_rule_docs"))
+    return judged.join(F.broadcast(counts), "sole_rule", "left")  # one row for each rule of the policy

@@ -82,6 +82,15 @@ def test_ledger_policies_and_ablation(spark):
     for rule, bit in quality.BIT.items():
         assert table[rule].n_failed == sum(bool(b & bit) for b in bits) and table[rule].n_alone == sum(b == bit for b in bits)
     assert quality.ledger(edge(spark, [])).count() == 0
+    active = [b & quality.POLICIES["v2_default"] for b in bits]
+    for r in quality.report(edge(spark, rows)).collect():
+        mine = r.failed_bits & quality.POLICIES["v2_default"]
+        alone = [name for name, bit in quality.BIT.items() if bit == mine]
+        assert r.sole_rule == (alone[0] if alone else None)
+        assert r.sole_rule_docs == (active.count(mine) if alone else None)
+        assert r.kept == (mine == 0) and r.base_failed == (r.failed_bits & quality.BASE != 0)
+        assert (r.kept_v1_base, r.kept_v2_default, r.kept_v3_strict) == (not r.base_failed, r.kept, r.failed_bits == 0)
+    assert quality.report(edge(spark, [])).count() == 0
 
 
 def check_packing(pieces, docs):
