@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import small_side, spread_rows, stored
+from drawloom.llm.common import shuffle_width, small_side, stored
 from drawloom.llm.winnowing import let
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed.
@@ -154,7 +154,9 @@ def scan(docs: DataFrame) -> DataFrame:
     so_far = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = stored(each.withColumn("end", so_far).filter("kept").withColumn("start", F.col("end") - F.col("length")).select("k1", "k2", "kind", "start", "end", "token"))
     distinct = placed.filter("kind = 'random'").select("token").distinct()
-    tokens = stored(tested(spread_rows(distinct)))  # small rows, costly tests: adaptive execution would put them in one task
+    # Small rows, costly tests: adaptive execution would put them in one task, and drops a second shuffle by the token itself.
+    dealt = distinct.repartition(shuffle_width(docs.sparkSession), F.xxhash64("token"))
+    tokens = stored(tested(dealt))
     limit = ordinary_below(tokens)  # a few classes
     cell = F.floor(-F.log10("p") * GRID).cast("int")
     random = stored(tokens.withColumn("own", cell).join(F.broadcast(limit), ["encoding", "length_class"], "left").filter("cell is null or own < cell").select("token"))
