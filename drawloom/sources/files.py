@@ -201,9 +201,19 @@ def evidence_bodies(spark: SparkSession, root: str) -> DataFrame:
     return files.select(below(F.col("path"), root).alias("body_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("size"))
 
 
-def artifact_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Artifacts of version-1 manifests with their position in the list."""
-    raw = spark.read.schema(schemas.ARTIFACT_MANIFEST).option("multiLine", True).json(path)
+def bundled_bodies(bundles: DataFrame) -> DataFrame:
+    """The same of bodies kept as rows (``body_path``, ``content``) of a few large files, where there are too many to list.
+
+    A path may come again; copies that differ leave it without a hash, so that no artifact fits it.
+    """
+    hashed = bundles.select("body_path", F.sha2("content", 256).alias("_sha256"), F.octet_length("content").cast("long").alias("_size"))
+    same = F.min("_sha256") == F.max("_sha256")
+    return hashed.groupBy("body_path").agg(F.when(same, F.min("_sha256")).alias("actual_sha256"), F.max("_size").alias("size"))
+
+
+def artifact_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Artifacts of version-1 manifests with their position in the list. A file is one manifest, or with ``lines`` one a line."""
+    raw = spark.read.schema(schemas.ARTIFACT_MANIFEST).option("multiLine", not lines).json(path)
     return raw.filter("version = 1").select(F.posexplode("artifacts").alias("artifact_index", "a")).select("artifact_index", "a.*")
 
 
