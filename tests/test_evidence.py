@@ -3,6 +3,7 @@
 import os
 
 from drawloom.plans.catalog import sources
+from drawloom.sources import files
 
 
 def pages(spark, tmp_path, n):
@@ -28,3 +29,11 @@ def test_every_page_is_checked_once(spark, tmp_path):
     assert got == sorted(truth, key=str)
     listed = {r.status: (r.artifacts, r.positions) for r in sources.artifact_manifest(spark, d).collect()}
     assert listed == {"blocked": (36, 98), "valid": (214, 99)}
+
+
+def test_damaged_and_lost_bodies_do_not_pass(spark):
+    bodies = spark.createDataFrame([("a", b"x"), ("a", b"x"), ("b", b"x"), ("b", b"y")], "body_path string, content binary")
+    sha = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"  # of x
+    listed = spark.createDataFrame([(p, sha, "valid") for p in "abc"], "body_path string, sha256 string, status string")
+    checked = files.check_evidence(listed, files.bundled_bodies(bodies)).collect()
+    assert sorted((r.body_path, r.body_ok) for r in checked) == [("a", True), ("b", False), ("c", False)]
