@@ -49,10 +49,14 @@ def canonical_draws(spark, d):
 
 
 def resolutions(spark, d):
+    return resolutions_of(spark, rel.draws(spark, d))
+
+
+def resolutions_of(spark, draws):
     """Operator decisions, after the last observation, on half of the draws that source b contradicts."""
     hexes = F.md5(F.concat_ws("|", "game", F.col("draw_date").cast("string")))
     chosen = (F.substring(hexes, 2, 1) == "0") & (F.substring(hexes, 4, 1) < "8")
-    ruled = intervals.attach_rule(rel.draws(spark, d).filter(chosen), rel.rules(spark)).filter("rule_count = 1")
+    ruled = intervals.attach_rule(draws.filter(chosen), rel.rules(spark)).filter("rule_count = 1")
     return ruled.select("game", "draw_date", F.lit(10).alias("resolution_seq"), "mains", "bonus")
 
 
@@ -154,8 +158,9 @@ def draw_context(spark, d):
 
 def replayed_log(spark, d):
     """(observations, resolutions): draws that were resolved are published by all sources once more, ten places later."""
-    first = staged(spark, d)
-    fixes = resolutions(spark, d)
+    draws = cut_lineage(rel.draws(spark, d))  # few rows, read four times; the items behind them once
+    first = reconcile.stage_observations(rel.sightings_of(draws), rel.rules(spark))
+    fixes = resolutions_of(spark, draws)
     again = first.join(fixes.select("game", "draw_date"), ["game", "draw_date"], "left_semi").withColumn("arrival_seq", F.col("arrival_seq") + 10)
     return first.unionByName(again.select(first.columns)), fixes
 

@@ -35,11 +35,12 @@ def stream_ingest(spark, d):
 def stream_reconciliation(spark, d):
     """Arrivals one and two in a first run, three and four in a second one that resumes from the state store."""
     root = scratch(spark, "reconcile")
-    valid = staged(spark, d).filter("issue is null").select("game", "draw_date", "arrival_seq", "mains", "bonus")
+    valid = cut_lineage(staged(spark, d).filter("issue is null").select("game", "draw_date", "arrival_seq", "mains", "bonus"))
+    width = jobs.state_width(spark, valid.select("game", "draw_date").distinct().count())
     for part in ("arrival_seq <= 2", "arrival_seq > 2"):
         valid.filter(part).write.mode("append").parquet(root + "/in")
         outcomes = jobs.reconcile(jobs.file_stream(spark, root + "/in", valid.schema))
-        jobs.run_append(outcomes, root + "/checkpoint", root + "/out")
+        jobs.run_append(outcomes, root + "/checkpoint", root + "/out", width)
     return spark.read.parquet(root + "/out")
 
 
@@ -67,10 +68,11 @@ def stream_resolutions(spark, d):
     seen = log.filter("issue is null").select(*columns, F.lit(False).alias("resolves"))
     events = seen.unionByName(fixes.withColumnRenamed("resolution_seq", "arrival_seq").select(*columns, F.lit(True).alias("resolves")))
     events = cut_lineage(events)
+    width = jobs.state_width(spark, events.select("game", "draw_date").distinct().count())
     for part in ("arrival_seq <= 2", "arrival_seq > 2 and arrival_seq <= 11", "arrival_seq > 11"):
         events.filter(part).write.mode("append").parquet(root + "/in")
         outcomes = jobs.reconcile(jobs.file_stream(spark, root + "/in", events.schema))
-        jobs.run_append(outcomes, root + "/checkpoint", root + "/out")
+        jobs.run_append(outcomes, root + "/checkpoint", root + "/out", width)
     latest = F.max_by("outcome", "revision").alias("outcome")
     return spark.read.parquet(root + "/out").groupBy("game", "draw_date", "arrival_seq").agg(latest)
 

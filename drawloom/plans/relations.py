@@ -67,6 +67,10 @@ def _hex(*parts, at=1):
 
 def sightings(spark, sf_dir) -> DataFrame:
     """Observations of each weekly draw by four sources, with missing, contradicting and invalid values."""
+    return sightings_of(draws(spark, sf_dir))
+
+
+def sightings_of(rows: DataFrame) -> DataFrame:
     day = F.col("draw_date").cast("string")
     h1, h2, h3 = (_hex("game", day, at=i) for i in (1, 2, 3))
     mains, bonus = F.col("mains"), F.col("bonus")
@@ -81,7 +85,7 @@ def sightings(spark, sf_dir) -> DataFrame:
     c = seen("c", 3, mains, F.when(h3 == "1", (bonus % POOL + 1).cast("int")).otherwise(bonus))
     d = F.when(h2.isin("0", "1") | (h3 == "1"), seen("d", 4, mains, bonus))
     every = F.explode(F.array_compact(F.array(a, b, c, d))).alias("x")
-    return draws(spark, sf_dir).select("game", "draw_date", every).select(
+    return rows.select("game", "draw_date", every).select(
         "x.source", "x.arrival_seq", "game", "draw_date", "x.mains", "x.bonus"
     )
 

@@ -36,9 +36,18 @@ def run_batches(stream: DataFrame, checkpoint: str, on_batch) -> None:
     query.awaitTermination()
 
 
-def run_append(stream: DataFrame, checkpoint: str, path: str) -> None:
+def run_append(stream: DataFrame, checkpoint: str, path: str, width: int | None = None) -> None:
+    """``width``: partitions of the state where not the session's shuffle width; the first run of a checkpoint fixes them."""
+    spark, key = stream.sparkSession, "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    try:
+        if width is not None:
+            spark.conf.set(key, width)
+        started = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, usual)
+    started.awaitTermination()
 
 
 # --- ingest ------------------------------------------------------------------------------
@@ -77,6 +86,15 @@ def _differs(mains: list[int], bonus: int | None, now: list[int], now_bonus: int
     return mains != now or (bonus is not None and now_bonus is not None and bonus != now_bonus)
 
 
+#: Draws of a state partition, about. Each costs a store and a worker in every trigger, whatever it holds.
+STATE_DRAWS = 100
+
+
+def state_width(spark: SparkSession, draws: int) -> int:
+    """State partitions for about so many draws: no more than the session's shuffle width."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-draws // STATE_DRAWS)))
+
+
 class Reconcile(StatefulProcessor):
     """Numbers of one draw under observations and operator resolutions; a trigger's events are taken in arrival order.
 
