@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.llm import line_chunks, ngram_join, packing, quality, winnowing
-from drawloom.llm.common import public_tokenizer, small_side, stored, table
+from drawloom.llm.common import public_tokenizer, small_batches, small_side, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the default policy keeps. Null and empty texts have too few words and go."""
+    small_batches(spark)
     return quality.kept_rows(docs)
 
 
@@ -28,6 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays; of rows with one id and words,
     the one whose text has the least hash."""
+    small_batches(spark)
     found = stored(ngram_join.jaccard_components(docs))
     others = stored(found.filter("component_id != doc_id").select("doc_id").distinct())
     kept = docs.join(small_side(others), "doc_id", "left_anti").select(docs.columns)
@@ -47,6 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"), public_tokenizer("byte_bpe_50k.tiktoken"))
 
 

@@ -18,6 +18,8 @@ from drawloom.session import cut_lineage
 BROADCAST_ROWS = 500_000
 #: A task turns so much text at a time into Python objects (a longer text is taken alone).
 SLICE_BYTES = 1 << 21
+#: Rows and bytes of an Arrow batch where many Python stages share the executors.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,12 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session's later steps are small: executors keep what buffers of the largest one took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def release_memory() -> None:
     """Gives back what a task's objects and Arrow batches have left free in a Python worker, which outlives its tasks."""
     pa.default_memory_pool().release_unused()

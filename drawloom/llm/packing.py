@@ -20,6 +20,8 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ from pyspark.sql import DataFrame
 
 from drawloom.llm.common import release_memory
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 TIERS = (2048, 1024, 512, 256)
 BLOCK_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 14
-MEMO = 200_000
+MEMO = 50_000
 BATCH_CHARS = 1 << 17
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -51,17 +56,24 @@ class Encoder:
     def __init__(self, vocabulary: str, ranks: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.opens = np.zeros(max(table.values()) + 1, bool)
         self.opens[[rank for token, rank in table.items() if token[:1] == b" "]] = True
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.encode_special_tokens = True
+        self.vocabulary = vocabulary
         self.memo: dict[str, bytes] = {}
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The reference tokenizer, for texts that are not plain; a worker that meets none does not hold it."""
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.vocabulary)
+        slow.encode_special_tokens = True
+        return slow
+
     def batch(self, whole: list[str]) -> list[np.ndarray]:
         """Ids of some texts. Their pieces that are not remembered are tokenised in one go."""
         get = self.memo.get

@@ -6,8 +6,9 @@ from test_text_counts import check_packing
 from test_winnowing import brute as brute_windows
 
 import corpus_pipeline as cp
-from drawloom.llm import quality
+from drawloom.llm import packing, quality
 from drawloom.llm.catalog import QUERIES
+from drawloom.llm.common import public_tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,12 @@ def test_query_and_edges(spark):
     assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, None]
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_loads_the_reference_tokenizer_only_for_texts_that_need_it():
+    worker = packing.Encoder(public_tokenizer("byte_bpe_50k.json"), public_tokenizer("byte_bpe_50k.tiktoken"))
+    texts = [" ".join(f"w{k}" for k in range(packing.MEMO + 1000)), "plain words of ünusual length " * 9]
+    plain = worker.batch(texts)
+    assert "slow" not in vars(worker) and len(worker.memo) <= 50_000
+    assert [ids.tolist() for ids in plain] == [worker.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert worker.batch(["日本語 テキスト"])[0].tolist() == worker.slow.encode("日本語 テキスト", add_special_tokens=False).ids
