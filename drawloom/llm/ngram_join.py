@@ -17,7 +17,7 @@ component under these links.
    groups, and a group found under many shingles is compared once. No pair leaves a task before it is verified.
 5. A comparison takes one set against others held in a prefix tree. The walk shares the overlap of common paths and
    leaves a subtree once the lengths that remain cannot reach the threshold. The overlap is exact. In groups a union-find
-   keeps back links inside a component, as they change nothing: a group gives fewer links than it has members.
+   leaves out sets of the own component, as their links change nothing: a group gives fewer links than it has members.
 
 A star with very many partners is split into blocks of bounded size; tables go to the shared folder between steps.
 
@@ -27,7 +27,7 @@ component; repeated rows share a class; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import map_batches, release_memory, shuffle_width, small_side, stored, texts
+from drawloom.llm.common import map_batches, release_memory, shuffle_width, small_side, stored
 
 NUM, DEN = 3, 4
 WORDS = 5
@@ -47,6 +47,10 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 BITMAP, ROUNDS = 8, 2
 _MAPS = [f"m{k}" for k in range(BITMAP)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are hashed with those of all others; longer words are taken alone.
+LONG_WORD = 64
+#: The low bytes of a 64-bit word, by their number.
+_BYTES = np.array([256**k - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,28 +62,81 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct fingerprints. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as bytes split them."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(size, len(words))
-    total = each[: len(words) - width + 1] + np.uint64(width)
-    for k in range(1, width):
-        total = total * _STEP + each[k : len(words) - width + 1 + k]
-    return np.unique(mixed(total).view(np.int64))
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a text column, and where each text's words begin. A null text has no words.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, hashed in steps of eight bytes that start from the length.
+    """
+    column = column.fill_null("").cast(pa.large_string())
+    starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    starts = starts - starts[0]
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    own = starts[:-1][starts[:-1] < starts[1:]]  # a word ends with its text
+    first[own] = inside[own]
+    own = starts[1:][starts[:-1] < starts[1:]] - 1
+    last[own] = inside[own]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    low = np.concatenate([data + ((data - np.uint8(65) < 26).view(np.uint8) << 5), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))  # the bytes from each place on
+    size = last - first
+    hashes = size.astype(np.uint64) * _STEP
+    some = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        if not len(some):
+            break
+        hashes[some] = mixed(hashes[some] ^ (eight[first[some] + k] & _BYTES[np.minimum(size[some] - k, 8)]))
+        some = some[size[some] > k + 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(low[first[i] : last[i]].tobytes())
+    return hashes, np.searchsorted(first, starts)
+
+
+def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints of each text, one text behind the other, and where each begins."""
+    each, starts = word_hashes(column)
+    begin, words = starts[:-1], np.diff(starts)
+    total = np.zeros(len(each), np.uint64)
+    keep = np.ones(len(each), bool)
+    rolled = each[: max(0, len(each) - size + 1)] + np.uint64(size)
+    for k in range(1, size):
+        rolled = rolled * _STEP + each[k : len(rolled) + k]
+        keep[starts[1:][words >= size] - k] = False
+    total[: len(rolled)] = rolled
+    # A shorter text is one shingle.
+    for width in range(1, size):
+        where = begin[words == width]
+        value = each[where] + np.uint64(width)
+        for k in range(1, width):
+            value = value * _STEP + each[where + k]
+            keep[where + k] = False
+        total[where] = value
+    values = mixed(total[keep]).view(np.int64)
+    places = np.append(0, np.cumsum(keep))[starts]
+    for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[places[:-1][places[:-1] < places[1:]]] = True
+    return values[new], np.append(0, np.cumsum(new))[places]
 
 
 def in_zone(x: np.ndarray) -> np.ndarray:
     return (x & 255) < ZONE
 
 
-def digest(x: np.ndarray) -> tuple[int, int]:
-    """Two order-free sums over the set, with its size."""
-    u = x.view(np.uint64)
-    first = mixed(u + _STEP).sum(dtype=np.uint64) + np.uint64(len(x))
-    return int(first.view(np.int64)), int(mixed(u * _STEP).sum(dtype=np.uint64).view(np.int64))
+def _sums(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype))[places])
+
+
+def digests(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free sums over each set, with its size."""
+    u = values.view(np.uint64)
+    first = _sums(mixed(u + _STEP), places) + np.diff(places).astype(np.uint64)
+    return first.view(np.int64), _sums(mixed(u * _STEP), places).view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -92,9 +149,8 @@ def summaries(docs: DataFrame) -> DataFrame:
     """doc_id, set size and digests of every document."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts(batch, "text")]
-        d1, d2 = zip(*map(digest, sets), strict=True)
-        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+        values, places = shingle_sets(batch.column("text"))
+        columns = [batch.column("doc_id").cast(pa.int64()), *map(pa.array, (np.diff(places), *digests(values, places)))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2"])
 
     return map_batches(docs.select("doc_id", "text"), one, "doc_id long, n long, d1 long, d2 long")
@@ -104,10 +160,10 @@ def zone_rows(docs: DataFrame) -> DataFrame:
     """One row per document and zone shingle: token, d1."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts(batch, "text")]
-        zones = [s[in_zone(s)] for s in sets]
-        keys = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(z) for z in zones])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(zones)), pa.array(keys)], ["token", "d1"])
+        values, places = shingle_sets(batch.column("text"))
+        keys = np.repeat(digests(values, places)[0], np.diff(places))
+        zone = in_zone(values)
+        return pa.RecordBatch.from_arrays([pa.array(values[zone]), pa.array(keys[zone])], ["token", "d1"])
 
     return map_batches(docs.filter("doc_id is not null").select("text"), one, "token long, d1 long")
 
@@ -122,8 +178,10 @@ def class_sets(docs: DataFrame) -> DataFrame:
     """The whole sets of some documents; rows whose text is not that of the class go."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = [shingles(t) for t in texts(batch, "text")]
-        keep = [(k, s) for k, s in zip(batch.column("k").to_pylist(), sets, strict=True) if digest(s)[0] == k]
+        values, places = shingle_sets(batch.column("text"))
+        same = digests(values, places)[0] == batch.column("k").to_numpy()
+        sets = np.split(values, places[1:-1])
+        keep = [(k, s) for k, s, own in zip(batch.column("k").to_pylist(), sets, same, strict=True) if own]
         if not keep:
             return None
         maps = np.stack([bitmap(s) for _, s in keep])
@@ -293,25 +351,21 @@ def tied(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
     rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))
     ordered = np.split(rank[inverse], np.cumsum([len(s) for _, _, s in held])[:-1])
     ordered = [np.sort(s) for s in ordered]
-    tree = PrefixTree([(i, s) for i, s in enumerate(ordered)])
-    parent = {label: label for _, label, _ in held}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out, left = [], len(parent) - 1
-    for (k, label, _), s in zip(held, ordered, strict=True):
+    tree = PrefixTree(list(enumerate(ordered)))
+    places = np.argsort(tree.keys)
+    _, start, counts = np.unique([held[i][1] for i in tree.keys], return_inverse=True, return_counts=True)
+    own = start.copy()  # the component of each set, in the order of the tree
+    out, left = [], len(counts) - 1
+    # Of two sets of different components one at least is not in the largest, so its sets need no walk.
+    for (k, _, _), s, me in zip(held, ordered, places, strict=True):
+        if start[me] == np.argmax(counts):
+            continue
         if not left:
             break
-        for i in tree.links(s):
-            a, b = root(label), root(held[i][1])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((k, held[i][0]))
-                left -= 1
+        for i in tree.links(s, lambda low, high, me=me: (own[low:high] != own[me]).any()):
+            own[own == own[places[i]]] = own[me]
+            out.append((k, held[i][0]))
+            left -= 1
     return out
 
 
@@ -324,7 +378,7 @@ class PrefixTree:
         self.sets = [sets[i][1] for i in order]
         self.root = self._node(0, len(self.sets), 0)
 
-    def _node(self, low: int, high: int, depth: int) -> tuple[np.ndarray, int, list[int], list, int, int]:
+    def _node(self, low: int, high: int, depth: int) -> tuple[np.ndarray, int, list[int], list, int, int, int, int]:
         first, last = self.sets[low], self.sets[high - 1]
         size = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:size] != last[depth:size])
@@ -340,13 +394,18 @@ class PrefixTree:
             children.append((start, k))
         nodes = [self._node(lo, hi, end) for lo, hi in children]
         lengths = [end] * bool(here) + [n[4] for n in nodes], [end] * bool(here) + [n[5] for n in nodes]
-        return first[depth:end], end, here, nodes, min(lengths[0]), max(lengths[1])
+        return first[depth:end], end, here, nodes, min(lengths[0]), max(lengths[1]), low, high
+
+    def links(self, query: np.ndarray, wanted: Callable[[int, int], bool] = lambda low, high: True, stretch: int = 128) -> Iterator[int]:
+        """Keys of the sets that reach the threshold with ``query``, one by one as they are asked for.
 
-    def links(self, query: np.ndarray, stretch: int = 128) -> list[int]:
-        """Keys of the sets that reach the threshold with ``query``."""
-        found, todo, n = [], [(self.root, 0)], len(query)
+        A subtree is left where ``wanted`` is false for its sets, a range of ``keys``.
+        """
+        todo, n = [(self.root, 0)], len(query)
         while todo:
-            (edge, end, here, nodes, shortest, longest), overlap = todo.pop()
+            (edge, end, here, nodes, shortest, longest, low, high), overlap = todo.pop()
+            if not wanted(low, high):
+                continue
             depth = end - len(edge)
             for k in range(0, len(edge), stretch):
                 part = edge[k : k + stretch]
@@ -358,9 +417,8 @@ class PrefixTree:
                     break
             else:
                 if here and (NUM + DEN) * overlap >= NUM * (n + end):
-                    found += [self.keys[k] for k in here]
-                todo += [(node, overlap) for node in nodes]
-        return found
+                    yield from (self.keys[k] for k in here if wanted(k, k + 1))
+                todo += [(node, overlap) for node in reversed(nodes)]
 
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
